@@ -1 +1,17 @@
 """Registered queries over the star-schema tables, each with SQL giving the same answer."""
+
+from tablewise.workloads import registry
+
+
+def _load() -> None:
+    from tablewise.workloads import lists, profiles  # noqa: F401
+
+
+def all_queries() -> dict:
+    _load()
+    return dict(registry.QUERIES)
+
+
+def all_sql() -> dict[str, str]:
+    _load()
+    return dict(registry.SQL)
