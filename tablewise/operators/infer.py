@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 
 from tablewise.functions import text
 from tablewise.functions import vocab as V
-from tablewise.operators.numbering import TABLE
+from tablewise.operators.numbering import TABLE, explode_cells
 from tablewise.operators.profile import (
-    COLUMN, column_profiles, effective_counts, presence, value_sets,
+    COLUMN, column_facts, presence, value_sets,
 )
 
 
 def sample_ratios(sample: DataFrame) -> DataFrame:
     """Share of sampled values matching each format, markers left out, and lengths."""
-    cells = sample.select(*TABLE, F.posexplode("cells").alias("pos", "value"))
+    cells = explode_cells(sample, *TABLE)
     real = F.when(~text.is_missing(F.col("value")), F.col("value"))
     share = lambda test: F.avg(F.when(F.col("real").isNotNull(), F.when(test(F.col("real")), 1.0).otherwise(0.0)))
     return cells.withColumn("real", real).groupBy(*COLUMN).agg(
@@ -112,8 +112,7 @@ def infer_fields(columns: DataFrame, counts: DataFrame, sample: DataFrame) -> Da
     key = list(COLUMN)
     facts = (
         columns.select(*COLUMN, "column")
-        .join(column_profiles(counts), key, "left")
-        .join(effective_counts(counts), key, "left")
+        .join(column_facts(counts), key, "left")
         .join(sample_ratios(sample), key, "left")
         .join(value_sets(counts), key, "left")
         .fillna(0, ["total_count", "null_count", "non_null_count", "distinct_count", "sample_values",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tablewise.functions import text
 from tablewise.functions import vocab as V
-from tablewise.operators.numbering import TABLE
+from tablewise.operators.numbering import TABLE, explode_cells
 from tablewise.operators.query import Entity, Field
 
 REJECT = "struct<field:string,value:string,cause:string>"
@@ -193,7 +193,7 @@ def validate(df: DataFrame, entity: Entity, control: tuple[str, ...] = ()) -> Da
 def coerce_long(rows: DataFrame, fields: DataFrame) -> DataFrame:
     """Typed cells of all tables in one job: ``(table, row_no, field_key, type, text, number,
     date, error)``. ``fields`` carry ``(table, pos, field_key, type, values)``."""
-    cells = rows.select(*TABLE, "row_no", F.posexplode("cells").alias("pos", "value")).join(
+    cells = explode_cells(rows, *TABLE, "row_no").join(
         fields.select(*TABLE, "pos", "field_key", "type", "values"), [*TABLE, "pos"])
     cell = text.null_blank(F.col("value"))
     real = F.when((F.col("type") == "string") | ~text.is_missing(cell), cell)

@@ -16,6 +16,16 @@ TABLE = ("source_file", "sheet")
 BLOCK_BITS = 16
 
 
+def explode_cells(rows: DataFrame, *keep: str) -> DataFrame:
+    """Long form ``(*keep, pos, value)`` of the cells.
+
+    The outer variant keeps the optimizer from testing the size of the array first, which
+    would compute every cell twice.
+    """
+    long = rows.select(*keep, F.posexplode_outer("cells").alias("pos", "value"))
+    return long.filter(F.col("pos").isNotNull())
+
+
 def block_of(row_no: Column, level: int = 1) -> Column:
     return F.shiftright(row_no, BLOCK_BITS * level)
 
@@ -54,8 +64,11 @@ def number_rows(df: DataFrame, order: str = "row_no", into: str = "row_no") -> D
     return dense.drop("block", "before", "_local", into).withColumnRenamed("_dense", into)
 
 
-def stride_positions(size: int) -> Column:
-    """Sample positions that fall in a block, from its ``before``, ``n`` and ``total``."""
+def stride_positions(size: int, every: bool = True) -> Column:
+    """Sample positions that fall in a block, from its ``before``, ``n`` and ``total``.
+
+    ``every`` lists all positions of tables no larger than the sample.
+    """
     last = max(size - 1, 1)
     span = F.greatest(F.col("total") - 1, F.lit(1))
     low = F.floor(F.col("before") * last / span) - 1
@@ -64,24 +77,30 @@ def stride_positions(size: int) -> Column:
     exact = F.transform(
         steps, lambda i: F.rint((i * (F.col("total") - 1)).cast("double") / F.lit(float(last))).cast("bigint")
     )
-    every = F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)
-    one = F.array(F.lit(0).cast("bigint"))
-    if size == 1:
-        picks = F.when(F.col("total") <= 1, every).otherwise(one)
-    else:
-        picks = F.when(F.col("total") <= size, every).otherwise(exact)
+    picks = F.array(F.lit(0).cast("bigint")) if size == 1 else exact
+    if every:
+        small = F.when(F.col("total") <= size, F.sequence(F.col("before"), F.col("before") + F.col("n") - 1))
+        picks = F.coalesce(small, picks)
     inside = lambda p: (p >= F.col("before")) & (p < F.col("before") + F.col("n"))
     return F.array_distinct(F.filter(picks, inside))
 
 
-def stride_sample(rows: DataFrame, size: int = V.SAMPLE_ROWS) -> DataFrame:
+def stride_sample(rows: DataFrame, size: int = V.SAMPLE_ROWS, dense: bool = False) -> DataFrame:
     """All rows of small tables, else ``size`` evenly spaced rows with first and last.
 
     The block counts tell which blocks hold the wanted positions, so only those blocks
-    are ranked and shuffled, not the tables.
+    are ranked and shuffled, not the tables. Where row numbers are known to run 0, 1, 2 ...
+    without gaps, the positions are the row numbers and a join on them is all it takes.
     """
     if size < 1:
         raise ValueError("sample size must be at least 1")
+    if dense:
+        totals = rows.groupBy(*TABLE).agg((F.max("row_no") + 1).alias("n")).withColumns(
+            {"total": F.col("n"), "before": F.lit(0).cast("bigint")})
+        few = F.when(F.col("n") <= size, F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).otherwise(
+            stride_positions(size, every=False))
+        picks = totals.select(*TABLE, F.explode(few).alias("row_no"))
+        return rows.join(picks, [*TABLE, "row_no"]).withColumn("position", F.col("row_no"))
     wanted = (
         block_offsets(rows)
         .select(*TABLE, "block", "before", stride_positions(size).alias("picks"))

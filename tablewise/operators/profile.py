@@ -12,26 +12,34 @@ from pyspark.sql import functions as F
 
 from tablewise.functions import text
 from tablewise.functions import vocab as V
-from tablewise.operators.numbering import TABLE, number_rows, stride_sample
+from tablewise.operators.numbering import TABLE, explode_cells, number_rows, stride_sample
 
 COLUMN = (*TABLE, "pos")
 
 
 def value_counts(rows: DataFrame) -> DataFrame:
     """``(table, pos, value, n)`` with one row for the nulls of each column."""
-    cells = rows.select(*TABLE, F.posexplode("cells").alias("pos", "value"))
-    return cells.groupBy(*COLUMN, "value").agg(F.count(F.lit(1)).alias("n"))
+    return explode_cells(rows, *TABLE).groupBy(*COLUMN, "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def column_profiles(counts: DataFrame) -> DataFrame:
-    """Null, distinct, unique and repeated counts with ratios, and the key flag."""
+def _profile_columns() -> list:
     filled = F.col("value").isNotNull()
-    base = counts.groupBy(*COLUMN).agg(
+    return [
         F.sum("n").alias("total_count"),
         F.sum(F.when(filled, 0).otherwise(F.col("n"))).alias("null_count"),
         F.count("value").alias("distinct_count"),
         F.count_if(filled & (F.col("n") == 1)).alias("unique_value_count"),
-    )
+    ]
+
+
+def _effective_columns(real) -> list:
+    return [
+        F.count_if(real).alias("effective_distinct"),
+        F.coalesce(F.sum(F.when(real, F.col("n"))), F.lit(0)).alias("effective_filled"),
+    ]
+
+
+def _ratios(base: DataFrame, *more: str) -> DataFrame:
     non_null = F.col("total_count") - F.col("null_count")
     ratio = lambda a, b: F.coalesce(F.bround(F.try_divide(a, b), 4), F.lit(0.0))
     return base.select(
@@ -40,10 +48,27 @@ def column_profiles(counts: DataFrame) -> DataFrame:
         "distinct_count", "unique_value_count",
         (non_null - F.col("unique_value_count")).alias("duplicate_cell_count"),
         ((non_null > 0) & (F.col("unique_value_count") == non_null)).alias("is_unique"),
-        ratio(F.col("distinct_count"), non_null).alias("unique_ratio"),
+        ratio(F.col("distinct_count"), non_null).alias("unique_ratio"), *more,
     )
 
 
+def column_profiles(counts: DataFrame) -> DataFrame:
+    """Null, distinct, unique and repeated counts with ratios, and the key flag."""
+    return _ratios(counts.groupBy(*COLUMN).agg(*_profile_columns()))
+
+
+def effective_counts(counts: DataFrame) -> DataFrame:
+    """Distinct and filled counts over all rows with missing markers left out."""
+    return counts.groupBy(*COLUMN).agg(*_effective_columns(~text.is_missing(F.col("value"))))
+
+
+def column_facts(counts: DataFrame) -> DataFrame:
+    """Profiles and marker-free counts in one pass over the value counts."""
+    real = ~text.is_missing(F.col("value"))
+    base = counts.groupBy(*COLUMN).agg(*_profile_columns(), *_effective_columns(real))
+    return _ratios(base, "effective_distinct", "effective_filled")
+
+
 def top_values(counts: DataFrame, n: int = V.TOP_VALUES) -> DataFrame:
     """Most frequent values per column, ties by value; the rank is cut per task first."""
     order = Window.partitionBy(*COLUMN).orderBy(F.col("n").desc(), "value")
@@ -78,15 +103,6 @@ def value_sets(counts: DataFrame, limit: int = V.ENUM_MAX_DISTINCT) -> DataFrame
     )
 
 
-def effective_counts(counts: DataFrame) -> DataFrame:
-    """Distinct and filled counts over all rows with missing markers left out."""
-    real = ~text.is_missing(F.col("value"))
-    return counts.groupBy(*COLUMN).agg(
-        F.count_if(real).alias("effective_distinct"),
-        F.coalesce(F.sum(F.when(real, F.col("n"))), F.lit(0)).alias("effective_filled"),
-    )
-
-
 def presence(profiles: DataFrame) -> DataFrame:
     """Share of rows with a value and share of distinct among them, per column."""
     return profiles.select(
@@ -132,7 +148,7 @@ def table_profiles(rows: DataFrame, size: int = V.SAMPLE_ROWS) -> DataFrame:
 
 
 __all__ = [
-    "COLUMN", "column_profiles", "duplicate_rows", "effective_counts", "number_rows", "presence",
+    "COLUMN", "column_facts", "column_profiles", "duplicate_rows", "effective_counts", "number_rows", "presence",
     "preview", "row_digest", "stride_sample", "table_profiles", "top_value_lists", "top_values",
     "value_counts", "value_sets",
 ]

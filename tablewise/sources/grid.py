@@ -8,6 +8,7 @@ import io
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewise.functions import text
 from tablewise.functions import vocab as V
@@ -125,9 +126,14 @@ def read_plain_text(spark: SparkSession, path: str, sep: str = ",") -> DataFrame
     return spark.read.option("header", True).option("sep", sep).csv(path)
 
 
-def table_rows(df: DataFrame, source_file: str, sheet: str, order: str) -> DataFrame:
+def _cell(df: DataFrame, name: str):
+    c = text.as_text(df, name)
+    return text.null_blank(c) if isinstance(df.schema[name].dataType, T.StringType) else c
+
+
+def table_rows(df: DataFrame, source_file: str, sheet: str, order: str, columns=None) -> DataFrame:
     """A wide table as rows of text cells; ``order`` is a unique non-negative number."""
-    cells = F.array(*[text.null_blank(text.as_text(df, c)) for c in df.columns])
+    cells = F.array(*[_cell(df, c) for c in columns or df.columns])
     return df.select(
         F.lit(source_file).alias("source_file"), F.lit(sheet).alias("sheet"),
         F.col(order).cast("bigint").alias("row_no"), cells.alias("cells"),

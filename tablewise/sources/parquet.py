@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def indexed_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Rows with ``row_no``, 0, 1, 2 ... in file order, files in name order.
+def indexed_parquet(df: DataFrame) -> DataFrame:
+    """A freshly read Parquet table with ``row_no``, 0, 1, 2 ... in file order, files in name order.
 
     The number comes from the position inside the file plus the rows of earlier files, so
     no row is sorted or shuffled; only one count per file is.
     """
-    df = spark.read.parquet(path)
     placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     files = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)

@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tablewise.functions import vocab as V
 from tablewise.operators.query import Entity, Field
@@ -19,8 +20,15 @@ from tablewise.sources.parquet import indexed_parquet
 BOOK = "shop"
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A table; its schema is taken from the files once, as that costs a job each time."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 # --- typed tables ------------------------------------------------------------
@@ -86,9 +94,10 @@ def _c(name, expr, other=None):
     return name, expr, other or expr
 
 
+_typed = lambda c: (c, f"cast({c} as string)")
+_cents = lambda c: (f"cast({c} as decimal(18,2))", f"cast(cast({c} as decimal(18,2)) as string)")
+_day = lambda c: (f"cast({c} as date)", f"strftime({c}, '%Y-%m-%d')")
 _money = lambda c: f"cast(cast({c} as decimal(18,2)) as string)"
-_text = lambda c: f"cast({c} as string)"
-_date = lambda c, d="%Y-%m-%d", s="yyyy-MM-dd": (f"date_format({c}, '{s}')", f"strftime({c}, '{d}')")
 
 AMOUNT = (
     "case {k} % 5 when 0 then concat('¥', {n}) when 1 then concat({n}, '元') when 2 then {n} "
@@ -131,40 +140,40 @@ REMARK = "concat('shipped with order number ', cast(o_orderkey % 1000 as string)
 
 SHEETS = (
     ("customer", "customer", "c_custkey", (
-        _c("customer_id", _text("c_custkey")), _c("customer_name", "c_name"), _c("nation_id", _text("c_nationkey")),
-        _c("balance", _money("c_acctbal")), _c("segment_type", "c_mktsegment"))),
+        _c("customer_id", *_typed("c_custkey")), _c("customer_name", "c_name"), _c("nation_id", *_typed("c_nationkey")),
+        _c("balance", *_cents("c_acctbal")), _c("segment_type", "c_mktsegment"))),
     ("order", "orders", "o_orderkey", (
-        _c("order_id", _text("o_orderkey")), _c("customer_id", _text("o_custkey")), _c("order_status", "o_orderstatus"),
-        _c("amount", _money("o_totalprice")), _c("order_date", *_date("o_orderdate")),
+        _c("order_id", *_typed("o_orderkey")), _c("customer_id", *_typed("o_custkey")), _c("order_status", "o_orderstatus"),
+        _c("amount", *_cents("o_totalprice")), _c("order_date", *_day("o_orderdate")),
         _c("priority_level", "o_orderpriority"))),
     ("line item", "lineitem", None, (
-        _c("line_id", _text("row_no")), _c("order_id", _text("l_orderkey")), _c("part_id", _text("l_partkey")),
-        _c("supplier_id", _text("l_suppkey")), _c("quantity", _text("cast(l_quantity as bigint)")),
-        _c("line_amount", _money("l_extendedprice")), _c("return_status", "l_returnflag"),
-        _c("ship_date", *_date("l_shipdate")))),
+        _c("line_id", *_typed("row_no")), _c("order_id", *_typed("l_orderkey")), _c("part_id", *_typed("l_partkey")),
+        _c("supplier_id", *_typed("l_suppkey")), _c("quantity", *_typed("cast(l_quantity as bigint)")),
+        _c("line_amount", *_cents("l_extendedprice")), _c("return_status", "l_returnflag"),
+        _c("ship_date", *_day("l_shipdate")))),
     ("product", "part", "p_partkey", (
-        _c("part_id", _text("p_partkey")), _c("product_name", "p_name"), _c("brand", "p_brand"),
-        _c("product_type", "p_type"), _c("size", _text("p_size")), _c("unit_price", _money("p_retailprice")))),
+        _c("part_id", *_typed("p_partkey")), _c("product_name", "p_name"), _c("brand", "p_brand"),
+        _c("product_type", "p_type"), _c("size", *_typed("p_size")), _c("unit_price", *_cents("p_retailprice")))),
     ("supplier", "supplier", "s_suppkey", (
-        _c("supplier_id", _text("s_suppkey")), _c("supplier_name", "s_name"), _c("nation_id", _text("s_nationkey")))),
+        _c("supplier_id", *_typed("s_suppkey")), _c("supplier_name", "s_name"), _c("nation_id", *_typed("s_nationkey")))),
     ("nation", "nation", "n_nationkey", (
-        _c("nation_id", _text("n_nationkey")), _c("nation_name", "n_name"), _c("region_id", _text("n_regionkey")))),
+        _c("nation_id", *_typed("n_nationkey")), _c("nation_name", "n_name"), _c("region_id", *_typed("n_regionkey")))),
     ("region", "region", "r_regionkey", (
-        _c("region_id", _text("r_regionkey")), _c("region_name", "r_name"))),
+        _c("region_id", *_typed("r_regionkey")), _c("region_name", "r_name"))),
     ("sales dirty", "orders", "o_orderkey", (
-        _c("record_no", _text("o_orderkey + 1")), _c("amount_text", *amount_text("o_orderkey", "o_totalprice")),
+        _c("record_no", *_typed("o_orderkey + 1")), _c("amount_text", *amount_text("o_orderkey", "o_totalprice")),
         _c("date_text", *date_text("o_orderkey", "o_orderdate")), _c("status_text", STATUS_TEXT),
         _c("note_text", NOTE_TEXT), _c("contact_phone", PHONE), _c("remark", REMARK),
-        _c("customer", _text("o_custkey")), _c("flag", "case when o_orderkey % 3 = 0 then 'Y' else 'N' end"))),
+        _c("customer", *_typed("o_custkey")), _c("flag", "case when o_orderkey % 3 = 0 then 'Y' else 'N' end"))),
     ("keyless lines", "lineitem", None, (
-        _c("item_no", _text("l_orderkey")), _c("tag_no", _text("l_linenumber")))),
+        _c("item_no", *_typed("l_orderkey")), _c("tag_no", *_typed("l_linenumber")))),
 )
 
 
 def sheet_wide(spark: SparkSession, sf: str, sheet: str) -> DataFrame:
     """One sheet as a wide table of text with its row number."""
     _, table, key, columns = next(s for s in SHEETS if s[0] == sheet)
-    df = indexed_parquet(spark, f"{sf}/{table}.parquet") if key is None else read(spark, sf, table).withColumn("row_no", F.col(key))
+    df = indexed_parquet(read(spark, sf, table)) if key is None else read(spark, sf, table).withColumn("row_no", F.col(key))
     return df.select("row_no", *[F.expr(e).alias(n) for n, e, _ in columns])
 
 
@@ -173,8 +182,7 @@ def corpus_rows(spark: SparkSession, sf: str, sheets=None) -> DataFrame:
     for sheet, *_ in SHEETS:
         if sheets is None or sheet in sheets:
             wide = sheet_wide(spark, sf, sheet)
-            rows = table_rows(wide, BOOK, sheet, "row_no")
-            parts.append(rows.withColumn("cells", F.slice("cells", 2, len(wide.columns) - 1)))
+            parts.append(table_rows(wide, BOOK, sheet, "row_no", wide.columns[1:]))
     return reduce(DataFrame.unionAll, parts)
 
 

@@ -68,15 +68,16 @@ def profile_tables(spark, sf):
     return profile.table_profiles(rows).select("sheet", "row_count", "sample_size_requested", "sample_is_full")
 
 
-SAMPLE = f"""{CELLS}, sizes AS (SELECT sheet, max(row_no) + 1 AS total FROM cells GROUP BY sheet),
+PICKED = """sizes AS (SELECT sheet, max(row_no) + 1 AS total FROM cells GROUP BY sheet),
 picks AS (SELECT sheet, unnest(CASE WHEN total <= 100 THEN range(0, total)
   ELSE list_transform(range(0, 100), lambda i: CAST(round_even(i * (total - 1) / 99.0::DOUBLE, 0) AS BIGINT)) END) AS row_no FROM sizes),
 sampled AS (SELECT cells.* FROM cells SEMI JOIN picks USING (sheet, row_no))"""
+SAMPLE = f"{CELLS}, {PICKED}"
 
 
 @query("stride_sample", f"WITH {SAMPLE} SELECT sheet, row_no AS position, pos, value FROM sampled")
 def sample(spark, sf):
-    rows = stride_sample(fx.corpus_rows(spark, sf))
+    rows = stride_sample(fx.corpus_rows(spark, sf), dense=True)
     return rows.select("sheet", "position", F.posexplode("cells").alias("pos", "value"))
 
 
@@ -132,7 +133,7 @@ SELECT sheet, pos, count(*) AS sample_values, round(avg(CASE WHEN {fx.sql_is_dat
   round(avg(CASE WHEN {fx.sql_number('value')} THEN 1.0 ELSE 0 END), 9) AS r_number,
   max(length(value)) AS max_chars, round(avg(length(value)), 9) AS avg_chars FROM real GROUP BY sheet, pos""")
 def type_ratios(spark, sf):
-    ratios = infer.sample_ratios(stride_sample(fx.corpus_rows(spark, sf)))
+    ratios = infer.sample_ratios(stride_sample(fx.corpus_rows(spark, sf), dense=True))
     kept = ratios.filter(F.col("sample_values") > 0)
     r9 = [F.round(c, 9).alias(c) for c in ("r_date", "r_phone", "r_money", "r_number", "avg_chars")]
     return kept.select("sheet", "pos", "sample_values", "max_chars", *r9)

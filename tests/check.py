@@ -31,5 +31,5 @@ if __name__ == "__main__":
         except Exception as error:  # noqa: BLE001
             diff = "ERROR " + (str(error)[:1500] if os.environ.get("SHORT") else traceback.format_exc()[-2500:])
         bad += bool(diff)
-        print(f"{'ok  ' if not diff else 'DIFF'} {name:28s} {time.time() - start:6.2f}s {diff}", flush=True)
+        print(f"{'ok  ' if not diff else 'DIFF'} {name:28s} spark {harness.TIMES[-1] if harness.TIMES else 0:6.2f}s all {time.time() - start:6.2f}s {diff}", flush=True)
     print("differences:", bad)

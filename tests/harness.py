@@ -1,9 +1,11 @@
 """Compare a registered query with its SQL on the same files."""
 
 import math
+import time
 
 import duckdb
 
+TIMES: list[float] = []
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 
@@ -35,8 +37,10 @@ def rows_of(names, rows):
 
 def compare(spark, con, sf_dir, query, sql):
     """Empty text when equal, else a description of the first difference."""
+    start = time.time()
     df = query(spark, sf_dir)
     names, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    TIMES.append(time.time() - start)
     cur = con.execute(sql)
     want_names, want = rows_of([d[0] for d in cur.description], cur.fetchall())
     if names != want_names:
