@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewise.functions import text
 from tablewise.functions import vocab as V
@@ -77,7 +78,7 @@ def fill_merges(grid: DataFrame, merges: DataFrame) -> DataFrame:
         .filter(F.length("label") > 0)
     )
     covered = anchors.select(
-        *TABLE, F.explode(F.sequence("min_row", "max_row")).cast("bigint").alias("row_no"),
+        *TABLE, F.explode(F.sequence(F.col("min_row").cast("bigint"), F.col("max_row").cast("bigint"))).alias("row_no"),
         F.col("col").cast("int").alias("col"), "label", "min_row",
     )
     per_row = covered.groupBy(*at).agg(
@@ -150,7 +151,7 @@ def detect_headers(grid: DataFrame, widths: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def compatible_form(names: pd.Series) -> pd.Series:
     """NFKC and trim; only ever run on header rows, as Spark has no such function."""
     fix = lambda v: None if v is None else unicodedata.normalize("NFKC", v).strip()
@@ -181,7 +182,8 @@ def header_columns(headers: DataFrame, spans: DataFrame | None = None) -> DataFr
         .filter(F.size("s") >= 2).select(*TABLE, F.explode("s").alias("s"))
         .withColumn("group", F.get(compatible_form(F.array("s.label")), F.lit(0)))
         .filter(F.length("group") > 0)
-        .select(*TABLE, "group", F.explode(F.sequence("s.min_col", "s.max_col")).cast("int").alias("pos"))
+        .select(*TABLE, "group", F.explode(F.sequence(
+            F.col("s.min_col").cast("int"), F.col("s.max_col").cast("int"))).alias("pos"))
     )
     prefixed = F.when(
         F.col("group").isNotNull() & ~F.startswith("column", F.lit("column_")),

@@ -15,6 +15,7 @@ from tablewise.functions import vocab as V
 
 GRID = "source_file string, sheet string, row_no bigint, cells array<string>"
 _CHUNK_ROWS = 10_000
+_DELIMITERS = V.DELIMITERS
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -64,7 +65,7 @@ def delimiter(body: str) -> str:
         head += [line for line in lines if line.strip()]
         pos += len(piece)
     sample = "\n".join(head[:10])
-    return max(V.DELIMITERS, key=sample.count)
+    return max(_DELIMITERS, key=sample.count)
 
 
 def _unreadable(path: str, content: bytes) -> str | None:
