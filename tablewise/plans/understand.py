@@ -47,16 +47,17 @@ class Corpus:
 def understand(
     rows: DataFrame, columns: DataFrame, *, sample_size: int = V.SAMPLE_ROWS,
     field_hints: DataFrame | None = None, entity_hints: DataFrame | None = None,
-    link_hints: DataFrame | None = None, store: bool = True,
+    link_hints: DataFrame | None = None, store: bool = True, dense: bool = False,
 ) -> Corpus:
     """Profile, infer and link ``rows (table, row_no, cells)`` with ``columns (table, pos, column)``.
 
     The value counts feed profiles, inference and links. With ``store`` they and the
-    per-column results are written to the work folder, so the cells are read once.
+    per-column results are written to the work folder, so the cells are read once. ``dense``
+    says that row numbers run 0, 1, 2 ... without gaps.
     """
     keep = materialize if store else (lambda df, name: df)
     counts = keep(profile.value_counts(rows), "value_counts")
-    sample = keep(stride_sample(rows, sample_size), "sample")
+    sample = keep(stride_sample(rows, sample_size, dense), "sample")
     fields = infer.infer_fields(columns, counts, sample)
     if field_hints is not None:
         fields = infer.merge_field_hints(fields, field_hints)

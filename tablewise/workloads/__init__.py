@@ -4,7 +4,7 @@ from tablewise.workloads import registry
 
 
 def _load() -> None:
-    from tablewise.workloads import cleaning, inference, linking, lists, profiles  # noqa: F401
+    from tablewise.workloads import cataloging, cleaning, inference, linking, lists, profiles  # noqa: F401
 
 
 def all_queries() -> dict:

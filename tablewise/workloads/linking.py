@@ -32,9 +32,7 @@ def profiled(spark, sf):
     return plans, columns, profile.column_profiles(counts), counts
 
 
-LINKS = f"""{COUNTS}, keys(sheet, pos) AS (VALUES {_KEYS_SQL}),
-names AS (SELECT DISTINCT sheet, pos, col FROM cells),
-st AS (SELECT sheet, pos, count(value) AS d, coalesce(sum(n) FILTER (value IS NOT NULL), 0) AS filled FROM vc GROUP BY ALL),
+TAIL = f"""st AS (SELECT sheet, pos, count(value) AS d, coalesce(sum(n) FILTER (value IS NOT NULL), 0) AS filled FROM vc GROUP BY ALL),
 p AS (SELECT k.sheet AS parent, k.pos AS ppos, n.col AS pcol, s.d AS pd FROM keys k JOIN names n USING (sheet, pos) JOIN st s USING (sheet, pos)),
 c AS (SELECT n.sheet AS child, n.pos, n.col, s.d AS cd FROM names n JOIN st s USING (sheet, pos)
   WHERE s.d < s.filled AND n.sheet IN (SELECT sheet FROM keys) AND (n.sheet, n.pos) NOT IN (SELECT (sheet, pos) FROM keys)),
@@ -54,6 +52,7 @@ rownos AS (SELECT k.sheet FROM keys k JOIN vc USING (sheet, pos) WHERE value IS
   HAVING count(*) >= 2 AND bool_and(regexp_matches(value, '^[+-]?[0-9]+$')) AND min(try_cast(value AS BIGINT)) = 1
     AND max(try_cast(value AS BIGINT)) = count(*)),
 final AS (SELECT *, CASE WHEN parent IN (SELECT sheet FROM rownos) AND recall > 0 THEN least(confidence, 0.5) ELSE confidence END AS capped FROM mutual)"""
+LINKS = f"{COUNTS}, keys(sheet, pos) AS (VALUES {_KEYS_SQL}), names AS (SELECT DISTINCT sheet, pos, col FROM cells), {TAIL}"
 
 
 @query("link_overlap", f"""WITH {LINKS} SELECT parent, child, pos, overlap, CAST(pd AS BIGINT) AS parent_distinct, CAST(cd AS BIGINT) AS child_distinct
