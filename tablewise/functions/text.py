@@ -90,40 +90,58 @@ def is_phone(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)[\s\-]", "").rlike(_PHONE)
 
 
-def full_date(c: Column) -> Column:
-    """Calendar-checked date in one of the accepted spellings, else null."""
-    text = plain_digits(strip(c))
+def date_text(c: Column) -> Column:
+    return plain_digits(strip(c))
+
+
+def _full_date(text: Column) -> Column:
     day = F.regexp_replace(F.regexp_replace(text, r"T.*$|日", ""), "[/.年月]", "-")
     return F.when(text.rlike(_FULL_DATE), day.try_cast("date"))
 
 
+def full_date(c: Column) -> Column:
+    """Calendar-checked date in one of the accepted spellings, else null."""
+    return _full_date(date_text(c))
+
+
 def is_date(c: Column) -> Column:
-    return F.coalesce(full_date(c).isNotNull(), F.lit(False)) | plain_digits(strip(c)).rlike(_PERIOD)
+    text = date_text(c)
+    return text.rlike(_PERIOD) | F.coalesce(_full_date(text).isNotNull(), F.lit(False))
 
 
-def to_date(c: Column) -> Column:
-    """Date of a cell; a bare year or year-month stands for its first day."""
-    text = plain_digits(strip(c))
+def parse_date(text: Column) -> Column:
+    """Date of a ``date_text``; a bare year or year-month stands for its first day."""
     head = F.when(text.rlike("[T ]"), F.left(text, F.lit(10))).otherwise(text)
-    iso = F.when(head.rlike(r"^(?!0000)\d{4}-\d{2}-\d{2}$"), head.try_cast("date"))
+    iso = F.when(text.rlike(r"^(?!0000)\d{4}-\d{2}-\d{2}(?:$|[T ])"), F.left(text, F.lit(10)).try_cast("date"))
     packed = F.when(
         head.rlike(r"^(?!0000)\d{8}$"),
         F.regexp_replace(head, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3").try_cast("date"),
     )
     month = F.regexp_replace(F.regexp_replace(text, "月|年$", ""), "[/.年]", "-")
     first = F.when(text.rlike(_ANY_PERIOD), month.try_cast("date"))
-    return F.coalesce(iso, packed, full_date(c), first)
+    return F.coalesce(iso, _full_date(text), first, packed)
 
 
-def to_number(c: Column) -> Column:
-    """Number of a cell without currency signs, commas and blanks, else null.
+def to_date(c: Column) -> Column:
+    """Date of a cell, else null."""
+    return parse_date(date_text(c))
+
+
+def bare_number(c: Column) -> Column:
+    return plain_digits(F.regexp_replace(c, rf"(?U)[{V.CURRENCY},\s]|[元块]", ""))
 
-    Infinity and NaN spellings are not numbers here: they go to the rejects.
-    """
-    text = plain_digits(F.regexp_replace(c, rf"(?U)[{V.CURRENCY},\s]|[元块]", ""))
+
+def parse_number(text: Column) -> Column:
+    """Number of a ``bare_number``. Infinity and NaN spellings are not numbers here: they go
+    to the rejects."""
     return F.when(text.rlike(_FLOAT), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
 
 
+def to_number(c: Column) -> Column:
+    """Number of a cell without currency signs, commas and blanks, else null."""
+    return parse_number(bare_number(c))
+
+
 def looks_numeric(c: Column) -> Column:
     return strip(c).rlike(_NUMBER)
 

@@ -21,10 +21,10 @@ REJECT = "struct<field:string,value:string,cause:string>"
 
 def enum_value(c: Column, allowed) -> Column:
     """Exact label, else the only label equal without any whitespace, else the cell."""
-    values = F.array(*[F.lit(v) for v in allowed]).cast("array<string>")
-    same = F.filter(values, lambda v: text.compact(v) == text.compact(c))
-    loose = F.when(F.size(same) == 1, F.get(same, F.lit(0)))
-    return F.when(c.isin(*allowed), c).otherwise(F.coalesce(loose, c)) if allowed else c
+    if not allowed:
+        return c
+    label = _label(c, text.compact(c), allowed)
+    return F.when(label.isin(*allowed), label).otherwise(c)
 
 
 def coerce(c: Column, field: Field) -> Column:
@@ -40,18 +40,39 @@ def coerce(c: Column, field: Field) -> Column:
     return text.to_date(real) if field.type == "date" else text.to_number(real)
 
 
-def cell_error(c: Column, value: Column, field: Field) -> Column:
-    """Cause of a filled cell that gave no value, or null."""
-    cell = text.null_blank(c)
-    real = cell.isNotNull() & ~text.is_missing(cell)
-    if field.type in ("number", "money"):
-        return F.when(real & value.isNull(), "not a number")
-    if field.type == "date":
-        return F.when(real & value.isNull(), "not a date")
-    if field.type == "enum":
-        known = value.isin(*field.values) if field.values else F.lit(False)
-        return F.when(value.isNotNull() & ~known, "not a declared value")
-    return F.lit(None).cast("string")
+def _staged(rows: DataFrame, fields, positions: dict[str, int]) -> DataFrame:
+    """``row_no`` with, per field, the cell (``c_``), its text free of markers (``r_``) and the
+    typed value (``v_``). The steps are separate projections so that none is computed twice.
+    """
+    named = lambda f, p: F.col(f"{p}_{f.key}")
+    cells = rows.select("row_no", *[text.null_blank(_cell(positions, f)).alias(f"c_{f.key}") for f in fields])
+    real = cells.select("*", *[
+        (named(f, "c") if f.type == "string" else F.when(~text.is_missing(named(f, "c")), named(f, "c"))).alias(f"r_{f.key}")
+        for f in fields])
+    spelled = {"date": text.date_text, "number": text.bare_number, "money": text.bare_number, "enum": text.compact}
+    ready = real.select("*", *[
+        spelled[f.type](named(f, "r")).alias(f"n_{f.key}") for f in fields if f.type in spelled])
+
+    def value(f: Field) -> Column:
+        if f.type == "date":
+            return text.parse_date(named(f, "n"))
+        if f.type in ("number", "money"):
+            return text.parse_number(named(f, "n"))
+        return _label(named(f, "r"), named(f, "n"), f.values) if f.type == "enum" else named(f, "r")
+
+    return ready.select("row_no", *[c for f in fields for c in (
+        named(f, "c"), named(f, "r"), value(f).alias(f"v_{f.key}"))])
+
+
+def _label(real: Column, compact: Column, allowed) -> Column:
+    """Declared label of a cell, else the cell without its layout whitespace."""
+    if not allowed:
+        return compact
+    # Labels that collapse to the same text are ambiguous and match nothing.
+    squeezed = ["".join(v.split()) for v in allowed]
+    unique = {s: v for s, v in zip(squeezed, allowed) if squeezed.count(s) == 1}
+    found = F.try_element_at(F.create_map(*[F.lit(x) for p in unique.items() for x in p]), compact) if unique else F.lit(None)
+    return F.when(real.isin(*allowed), real).otherwise(F.coalesce(found, compact))
 
 
 def unseen_labels(rows: DataFrame, entity: Entity, positions: dict[str, int]) -> DataFrame:
@@ -63,15 +84,15 @@ def unseen_labels(rows: DataFrame, entity: Entity, positions: dict[str, int]) ->
     enums = [f for f in entity.fields if f.type == "enum"]
     if not enums:
         return rows.sparkSession.createDataFrame([], "field string, label string, first_row bigint")
-    extras = [
-        F.struct(F.lit(f.key).alias("field"), F.when(
-            cell_error(_cell(positions, f), coerce(_cell(positions, f), f), f).isNotNull(),
-            text.compact(coerce(_cell(positions, f), f))).alias("label"))
-        for f in enums
-    ]
+    staged = _staged(rows, enums, positions)
+    extras = []
+    for f in enums:
+        c = F.col(f"v_{f.key}")
+        known = c.isin(*f.values) if f.values else F.lit(False)
+        extras.append(F.struct(F.lit(f.key).alias("field"), F.when(~known, c).alias("label")))
     order = Window.partitionBy("field").orderBy("first_row")
     return (
-        rows.select("row_no", F.inline(F.array(*extras))).filter(F.length("label") > 0)
+        staged.select("row_no", F.inline_outer(F.array(*extras))).filter(F.length("label") > 0)
         .groupBy("field", "label").agg(F.min("row_no").alias("first_row"))
         .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= V.ENUM_MAX_DISTINCT + 1)
         .drop("rank")
@@ -130,20 +151,25 @@ def typed_rows(rows: DataFrame, entity: Entity, positions: dict[str, int]) -> Da
 
     ``positions`` maps field keys to cell positions. Blank rows are dropped.
     """
-    filled = rows.filter(F.exists("cells", lambda c: text.null_blank(c).isNotNull()))
-    values, errors = [], []
+    staged = _staged(rows, entity.fields, positions)
+    filled = staged.filter(text.any_of(F.col(f"c_{f.key}").isNotNull() for f in entity.fields))
+    errors = []
     for f in entity.fields:
-        cell = _cell(positions, f)
-        value = coerce(cell, f)
-        if f.type == "enum":
-            # A label outside the set is stored without its layout whitespace.
-            value = F.when(value.isin(*f.values), value).otherwise(text.compact(value)) if f.values else value
-        values.append(value.alias(f.key))
-        errors.append(_error(f.key, cell, cell_error(cell, value, f)))
+        cell, real, value = (F.col(f"{p}_{f.key}") for p in "crv")
+        cause = None
+        if f.type in ("number", "money", "date"):
+            kind = "date" if f.type == "date" else "number"
+            cause = F.when(real.isNotNull() & value.isNull(), f"not a {kind}")
+        elif f.type == "enum":
+            known = value.isin(*f.values) if f.values else F.lit(False)
+            cause = F.when(value.isNotNull() & ~known, "not a declared value")
+        if cause is not None:
+            errors.append(_error(f.key, cell, cause))
         if f.key == entity.key_field:
-            missing = F.when(value.isNull(), "key is empty")
-            errors.append(_error(f.key, cell, F.when(cell_error(cell, value, f).isNull(), missing)))
-    return filled.select("row_no", *values, F.array_compact(F.array(*errors)).alias("errors"))
+            errors.append(_error(f.key, cell, F.when(real.isNull(), "key is empty")))
+    return filled.select(
+        "row_no", *[F.col(f"v_{f.key}").alias(f.key) for f in entity.fields],
+        F.array_compact(F.array(*errors)).alias("errors"))
 
 
 def _error(key: str, value: Column, cause: Column) -> Column:

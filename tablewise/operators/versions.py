@@ -2,13 +2,14 @@
 
 ``model_versions (app_key, version, snapshot, patch, operator, source_request,
 validation_status, created_at)`` is append-only; the snapshot is a JSON document.
-Stored partitioned by app, so the history of one app reads one folder.
+Stored in folders by a hash of the app key: the history of one app reads one folder, and
+the number of folders does not grow with the number of apps.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewise.operators.query import Entity, Field
@@ -26,17 +27,24 @@ SNAPSHOT = (
 APP_KEY = r"^[a-z0-9][a-z0-9_-]{0,63}$"
 
 
-class VersionConflict(ValueError):
-    """The wanted version cannot be restored, or was written twice."""
+BUCKETS = 64
 
 
-def read_versions(spark: SparkSession, path: str) -> DataFrame:
+def bucket_of(app) -> Column:
+    return F.pmod(F.xxhash64(app), F.lit(BUCKETS)).cast("int")
+
+
+def read_versions(spark: SparkSession, path: str, app: str | None = None) -> DataFrame:
+    """Stored versions, of all apps or from the folder of one; empty when nothing is stored."""
     try:
-        return spark.read.schema(VERSIONS).parquet(path)
+        stored = spark.read.schema(VERSIONS + ", bucket int").parquet(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
         return spark.createDataFrame([], VERSIONS)
+    if app is not None:
+        stored = stored.filter((F.col("bucket") == bucket_of(F.lit(app))) & (F.col("app_key") == app))
+    return stored.drop("bucket")
 
 
 def current_versions(versions: DataFrame) -> DataFrame:
@@ -70,7 +78,8 @@ def next_versions(versions: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def append_versions(versions_path: str, rows: DataFrame) -> None:
-    rows.write.mode("append").partitionBy("app_key").parquet(versions_path)
+    placed = rows.withColumn("bucket", bucket_of(F.col("app_key")))
+    placed.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(versions_path)
 
 
 def version_conflicts(versions: DataFrame) -> DataFrame:

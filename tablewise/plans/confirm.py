@@ -114,8 +114,8 @@ def confirm(
     if not placed:
         raise ConfirmError("no table of the file can be loaded")
     path = f"{root.rstrip('/')}/model_versions"
-    known = versions.read_versions(spark, path)
-    last = known.filter(F.col("app_key") == app).agg(F.max("version")).first()[0] or 0
+    known = versions.read_versions(spark, path, app)
+    last = known.agg(F.max("version")).first()[0] or 0
     version, final, counts, rejected = last + 1, [], {}, {}
     for sheet, entity, positions in placed:
         rows = sheet_rows(corpus.rows, source_file, sheet)

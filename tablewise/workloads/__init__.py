@@ -4,7 +4,9 @@ from tablewise.workloads import registry
 
 
 def _load() -> None:
-    from tablewise.workloads import cataloging, cleaning, inference, linking, lists, profiles  # noqa: F401
+    from tablewise.workloads import (  # noqa: F401
+        cataloging, cleaning, editing, inference, linking, lists, loading, profiles, versioning,
+    )
 
 
 def all_queries() -> dict:
