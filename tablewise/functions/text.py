@@ -69,12 +69,19 @@ def plain_digits(c: Column) -> Column:
 
 
 def is_missing(c: Column) -> Column:
-    """Null, blank, or a conventional marker for absent data."""
+    """Null, blank, or a conventional marker for absent data.
+
+    Most values are neither, and their first character tells; only the others are compared
+    with the words.
+    """
+    words = V.MISSING_EN + V.MISSING_ZH + V.MISSING_SYMBOLS
+    initials = "".join(sorted({escape(w[0]) + escape(w[0].upper()) for w in words}))
     text = collapse(c)
     opener = any_word(sorted(V.MISSING_EN + V.MISSING_ZH, key=len, reverse=True))
-    words = V.MISSING_EN + V.MISSING_ZH + V.MISSING_SYMBOLS + ("",)
     phrase = rf"(?i)^{opener}\s*(?:[:：].*|[(（].*[)）])\s*$"
-    return c.isNull() | F.lower(text).isin(*words) | text.rlike(phrase)
+    marker = F.lower(text).isin(*words, "") | text.rlike(phrase)
+    possible = c.rlike(rf"(?U)^[\s\x1c-\x1f]*(?:$|[{initials}])")
+    return c.isNull() | F.when(possible, marker).otherwise(F.lit(False))
 
 
 def is_number(c: Column) -> Column:

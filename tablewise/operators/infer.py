@@ -107,6 +107,12 @@ def role_ladder() -> Column:
     )
 
 
+def _decide(df: DataFrame, verdict: Column) -> DataFrame:
+    """Append the fields of a verdict. Going through a generator, the ladder is evaluated once
+    and later filters on its outcome do not repeat it."""
+    return df.select("*", F.inline_outer(F.array(verdict)))
+
+
 def infer_fields(columns: DataFrame, counts: DataFrame, sample: DataFrame) -> DataFrame:
     """One row per column: statistics, type, role, confidences, signals, enum values."""
     key = list(COLUMN)
@@ -118,13 +124,13 @@ def infer_fields(columns: DataFrame, counts: DataFrame, sample: DataFrame) -> Da
         .fillna(0, ["total_count", "null_count", "non_null_count", "distinct_count", "sample_values",
                     "effective_distinct", "effective_filled"])
     )
-    typed = facts.withColumn("t", type_ladder()).select("*", "t.*").drop("t").withColumn(
+    typed = _decide(facts, type_ladder()).withColumn(
         "enum_values",
         F.when((F.col("type") == "enum") & F.col("values").isNotNull(), F.col("values"))
         .otherwise(F.array().cast("array<string>")),
     ).drop("values")
     return (
-        typed.withColumn("r", role_ladder()).select("*", "r.*").drop("r")
+        _decide(typed, role_ladder())
         .withColumn("needs_review", text.needs_review(F.col("confidence")))
         .withColumn("role_needs_review", text.needs_review(F.col("role_confidence")))
     )

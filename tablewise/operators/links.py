@@ -95,9 +95,8 @@ def score(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     scored = scored.withColumn("recall", F.col("overlap") / F.col("parent_distinct")).withColumn(
         "precision", F.col("overlap") / F.col("child_distinct")
     )
-    return scored.withColumn("v", link_ladder()).filter(F.col("v").isNotNull()).select(
-        "*", "v.*"
-    ).drop("v")
+    judged = scored.select("*", F.inline_outer(F.array(link_ladder())))
+    return judged.filter(F.col("confidence").isNotNull())
 
 
 def _verdict(confidence: float, reason: str, *signals: str) -> Column:

@@ -152,7 +152,7 @@ def typed_rows(rows: DataFrame, entity: Entity, positions: dict[str, int]) -> Da
     ``positions`` maps field keys to cell positions. Blank rows are dropped.
     """
     staged = _staged(rows, entity.fields, positions)
-    filled = staged.filter(text.any_of(F.col(f"c_{f.key}").isNotNull() for f in entity.fields))
+    filled = text.any_of(F.col(f"c_{f.key}").isNotNull() for f in entity.fields)
     errors = []
     for f in entity.fields:
         cell, real, value = (F.col(f"{p}_{f.key}") for p in "crv")
@@ -167,9 +167,12 @@ def typed_rows(rows: DataFrame, entity: Entity, positions: dict[str, int]) -> Da
             errors.append(_error(f.key, cell, cause))
         if f.key == entity.key_field:
             errors.append(_error(f.key, cell, F.when(real.isNull(), "key is empty")))
-    return filled.select(
+    row = F.struct(
         "row_no", *[F.col(f"v_{f.key}").alias(f.key) for f in entity.fields],
         F.array_compact(F.array(*errors)).alias("errors"))
+    # Rows leave through a generator: later filters on values or errors then stay above it,
+    # where a plain projection would let them sink and repeat every conversion inside them.
+    return staged.select(F.inline_outer(F.array(F.when(filled, row)))).filter(F.col("row_no").isNotNull())
 
 
 def _error(key: str, value: Column, cause: Column) -> Column:

@@ -110,75 +110,63 @@ def restore(versions: DataFrame, targets: DataFrame, operator: str = "local") ->
     return rows, placed.filter(F.col("cause").isNotNull()).select("app_key", "target_version", "cause")
 
 
+def _risks(before: Column, after: Column) -> Column:
+    """Array of ``(category, item)`` for two neighbouring snapshots."""
+    def tell(items: Column, category: str, name) -> Column:
+        return F.transform(items, lambda m: F.struct(F.lit(category).alias("category"), name(m).alias("item")))
+
+    def own(items: Column, key: Column) -> Column:
+        return F.get(F.filter(items, lambda x: x["key"] == key), F.lit(0))
+
+    def pairs(a: Column, b: Column) -> Column:
+        return F.transform(a, lambda x: F.struct(x.alias("old"), own(b, x["key"]).alias("new")))
+
+    def lost(m: Column) -> Column:
+        gone = F.filter(m["old"]["fields"], lambda f: ~F.exists(m["new"]["fields"], lambda g: g["key"] == f["key"]))
+        return F.transform(gone, lambda f: F.concat_ws(".", m["old"]["key"], f["key"]))
+
+    def ids(e: Column) -> Column:
+        return F.size(F.filter(e["fields"], lambda f: f["role"] == "identifier"))
+
+    def key_of(e: Column) -> Column:
+        return own(e["fields"], e["key_field"])
+
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    name = lambda m: m["old"]["key"]
+    entities = pairs(before["entities"], after["entities"])
+    kept = F.filter(entities, lambda m: m["new"].isNotNull())
+    metrics = pairs(before["metrics"], after["metrics"])
+    same_key = lambda m: m["old"]["key_field"] == m["new"]["key_field"]
+    ends = lambda items: F.array_distinct(F.transform(items, lambda x: F.struct(
+        x["from"].alias("from"), x["to"].alias("to"), x["on_from"].alias("on_from"), x["on_to"].alias("on_to"))))
+    return F.flatten(F.array(
+        tell(F.filter(entities, lambda m: m["new"].isNull()), "entity_removed", name),
+        tell(F.flatten(F.transform(kept, lost)), "field_removed", lambda item: item),
+        tell(F.filter(kept, lambda m: (ids(m["new"]) > 1) & (ids(m["new"]) > ids(m["old"]))), "identifier_conflict", name),
+        tell(F.filter(kept, lambda m: ~same_key(m)), "identifier_changed", name),
+        tell(F.filter(kept, lambda m: same_key(m) & yes(key_of(m["old"])["role"] == "identifier")
+                      & yes(key_of(m["new"])["role"] != "identifier")), "identifier_demoted", name),
+        tell(F.filter(kept, lambda m: yes(key_of(m["old"])["type"] != key_of(m["new"])["type"])), "key_field_type_changed", name),
+        tell(F.filter(metrics, lambda m: m["new"].isNull()), "metric_removed", name),
+        tell(F.filter(metrics, lambda m: yes(m["old"]["business_definition"] != m["new"]["business_definition"])),
+             "metric_definition_changed", name),
+        tell(F.array_except(ends(before["links"]), ends(after["links"])), "link_removed",
+             lambda x: F.concat_ws(".", x["from"], x["to"])),
+    ))
+
+
 def version_risks(versions: DataFrame) -> DataFrame:
     """Risky changes between each version and the one before, for all apps at once.
 
-    Gives ``(app_key, version, category, item)``.
+    Gives ``(app_key, version, category, item)``. Neighbouring snapshots meet in one join on
+    (app, version), so even an app owning a third of all versions is spread over the tasks.
     """
-    parsed = versions.select("app_key", "version", F.from_json("snapshot", SNAPSHOT).alias("s"))
     at = ["app_key", "version"]
-    steps = parsed.select(*at).join(
-        parsed.select("app_key", (F.col("version") + 1).alias("version")), at, "left_semi")
-
-    def sides(df: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
-        old = df.withColumn("version", F.col("version") + 1).join(steps, at, "left_semi")
-        return old, df, [*at, *key]
-
-    def tell(df: DataFrame, category: str, *item: str) -> DataFrame:
-        return df.select(*at, F.lit(category).alias("category"), F.concat_ws(".", *item).alias("item"))
-
-    def prior(df: DataFrame, names: dict[str, str]) -> DataFrame:
-        return df.withColumnsRenamed(names)
-
-    ents = parsed.select(*at, F.explode("s.entities").alias("e")).select(
-        *at, F.col("e.key").alias("entity"), F.col("e.key_field").alias("key_field"), "e.fields")
-    fields = ents.select(*at, "entity", "key_field", F.explode("fields").alias("f")).select(
-        *at, "entity", "key_field", F.col("f.key").alias("field"), F.col("f.type").alias("type"),
-        F.col("f.role").alias("role"))
-    metrics = parsed.select(*at, F.explode("s.metrics").alias("m")).select(
-        *at, F.col("m.key").alias("metric"), F.col("m.business_definition").alias("definition"))
-    links = parsed.select(*at, F.explode("s.links").alias("l")).select(
-        *at, F.col("l.from").alias("from"), F.col("l.to").alias("to"), "l.on_from", "l.on_to").distinct()
-
-    old_e, new_e, ekey = sides(ents.select(*at, "entity", "key_field"), ["entity"])
-    old_f, new_f, fkey = sides(fields.select(*at, "entity", "field"), ["entity", "field"])
-    kept = new_e.select(*ekey)
-    removed_field = old_f.join(kept, ekey, "left_semi").join(new_f, fkey, "left_anti")
-
-    ids = fields.groupBy(*at, "entity").agg(F.count_if(F.col("role") == "identifier").alias("ids"))
-    old_i, new_i, ikey = sides(ids, ["entity"])
-    conflict = new_i.join(prior(old_i, {"ids": "had"}), ikey).filter(
-        (F.col("ids") > 1) & (F.col("ids") > F.col("had")))
-
-    key_fields = fields.filter(F.col("field") == F.col("key_field"))
-    own = ents.select(*at, "entity", "key_field").join(
-        key_fields.select(*at, "entity", "type", "role"), ekey, "left")
-    old_k, new_k, _ = sides(own, ["entity"])
-    change = new_k.join(
-        prior(old_k, {"key_field": "o_key", "type": "o_type", "role": "o_role"}), ekey)
-    same_key = F.col("key_field") == F.col("o_key")
-    demoted = same_key & (F.col("o_role") == "identifier") & (F.col("role") != "identifier")
-
-    old_m, new_m, mkey = sides(metrics, ["metric"])
-    redefined = new_m.join(prior(old_m, {"definition": "was"}), mkey).filter(
-        F.col("definition") != F.col("was"))
-    old_l, new_l, lkey = sides(links, ["from", "to", "on_from", "on_to"])
-
-    found = [
-        tell(old_e.join(kept, ekey, "left_anti"), "entity_removed", "entity"),
-        tell(removed_field, "field_removed", "entity", "field"),
-        tell(conflict, "identifier_conflict", "entity"),
-        tell(change.filter(~same_key), "identifier_changed", "entity"),
-        tell(change.filter(demoted), "identifier_demoted", "entity"),
-        tell(change.filter(F.col("type") != F.col("o_type")), "key_field_type_changed", "entity"),
-        tell(old_m.join(new_m, mkey, "left_anti"), "metric_removed", "metric"),
-        tell(redefined, "metric_definition_changed", "metric"),
-        tell(old_l.join(new_l, lkey, "left_anti"), "link_removed", "from", "to"),
-    ]
-    risks = found[0]
-    for more in found[1:]:
-        risks = risks.unionByName(more)
-    return risks
+    parsed = versions.select(*at, F.from_json("snapshot", SNAPSHOT).alias("after"))
+    earlier = versions.select(
+        "app_key", (F.col("version") + 1).alias("version"), F.from_json("snapshot", SNAPSHOT).alias("before"))
+    found = parsed.join(earlier, at).select(*at, F.explode_outer(_risks(F.col("before"), F.col("after"))).alias("r"))
+    return found.filter(F.col("r").isNotNull()).select(*at, "r.category", "r.item")
 
 
 # --- publications ------------------------------------------------------------

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tablewise.operators import catalog, links, load, versions
 from tablewise.operators.query import Entity, Field
 from tablewise.plans.understand import Corpus, sheet_rows
+from tablewise.session import materialize
 from tablewise.sources.records import write_records
 
 
@@ -80,26 +81,26 @@ def confirm(
     """
     spark = corpus.rows.sparkSession
     book = F.col("source_file") == source_file
-    scope = Corpus(*[
-        d.filter(book) if d is not None else None
-        for d in (corpus.rows, corpus.columns, corpus.counts, corpus.sample, corpus.fields, corpus.entities,
-                  corpus.plans, corpus.keys, corpus.links)
-    ])
-    named = catalog.build_links(scope.links, scope.plans, scope.keys)
-    decided = links.apply_decisions(named, decisions.filter(book))
+    decisions = decisions.filter(book)
+    # Catalog-sized tables that several checks read are stored once.
+    keep = lambda df, name: materialize(df.coalesce(1), name)
+    plans, keys = corpus.plans.filter(book), keep(corpus.keys.filter(book), "keys")
+    named = keep(catalog.build_links(corpus.links.filter(book), plans, keys), "named")
+    decided = links.apply_decisions(named, decisions)
     if missing := _items(decided["missing"], "key"):
         raise ConfirmError("links without a decision", [f"relation:{k}" for k in missing])
     if unknown := _items(decided["unknown"], "key"):
         raise ConfirmError("decisions on unknown links", unknown)
     # Column overrides are given as field keys; the catalog is rebuilt around the kept links.
-    pos = scope.keys.select("source_file", F.col("sheet").alias("child"), F.col("field_key").alias("on_to"),
+    pos = keys.select("source_file", F.col("sheet").alias("child"), F.col("field_key").alias("on_to"),
                             F.col("pos").alias("new_pos"))
-    kept = decided["kept"].join(pos, ["source_file", "child", "on_to"], "left").withColumn(
-        "pos", F.coalesce("new_pos", "pos")).drop("new_pos")
-    fields = catalog.build_fields(scope.plans, scope.fields, scope.keys, kept)
+    kept = keep(decided["kept"].join(pos, ["source_file", "child", "on_to"], "left").withColumn(
+        "pos", F.coalesce("new_pos", "pos")).drop("new_pos"), "kept")
+    fields = keep(catalog.build_fields(plans, corpus.fields.filter(book), keys, kept), "catalog_fields")
     cat = {
-        "fields": fields, "links": kept, "entities": catalog.build_entities(scope.plans, fields),
-        "metrics": catalog.build_metrics(scope.plans, fields),
+        "fields": fields, "links": kept,
+        "entities": keep(catalog.build_entities(plans, fields), "catalog_entities"),
+        "metrics": keep(catalog.build_metrics(plans, fields), "catalog_metrics"),
     }
     errors = catalog.catalog_errors(
         cat["entities"].withColumnRenamed("key_field_key", "key_field"), fields, kept, cat["metrics"])

@@ -10,6 +10,7 @@ from tablewise.operators import clean
 from tablewise.operators.numbering import TABLE, number_rows
 from tablewise.session import materialize
 from tablewise.sources import grid as g
+from tablewise.sources.parquet import spread
 from tablewise.workloads import fixtures as fx
 from tablewise.workloads.registry import query
 
@@ -49,7 +50,7 @@ _HEADS = {"plain": [("2024 orders",), ("by", None, "money", None, None), _PLAIN]
 
 def messy_grid(spark: SparkSession, sf: str) -> DataFrame:
     typed = lambda e: F.expr(e.format(s="string"))
-    long = fx.read(spark, sf, "orders").select(
+    long = spread(fx.read(spark, sf, "orders"), "o_orderkey").select(
         typed(_FILE).alias("source_file"), typed(_SHEET).alias("sheet"), "o_orderkey",
         F.explode(F.expr(f"array_compact(array({_kinds(True)}))")).alias("r"),
     ).select("source_file", "sheet", (F.col("o_orderkey") * 8 + F.col("r.j")).alias("order"), "r.cells")

@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 from tablewise.functions import vocab as V
 from tablewise.operators.query import Entity, Field
 from tablewise.sources.grid import table_columns, table_rows
-from tablewise.sources.parquet import indexed_parquet
+from tablewise.sources.parquet import indexed_parquet, spread
 
 BOOK = "shop"
 
@@ -173,7 +173,8 @@ SHEETS = (
 def sheet_wide(spark: SparkSession, sf: str, sheet: str) -> DataFrame:
     """One sheet as a wide table of text with its row number."""
     _, table, key, columns = next(s for s in SHEETS if s[0] == sheet)
-    df = indexed_parquet(read(spark, sf, table)) if key is None else read(spark, sf, table).withColumn("row_no", F.col(key))
+    scan = read(spark, sf, table)
+    df = indexed_parquet(scan) if key is None else spread(scan, key).withColumn("row_no", F.col(key))
     return df.select("row_no", *[F.expr(e).alias(n) for n, e, _ in columns])
 
 

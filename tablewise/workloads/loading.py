@@ -87,7 +87,8 @@ def coerce_missing(spark, sf):
 
 @query("widen_enums", f"""WITH o AS (SELECT 'e' || o_custkey % 40 AS entity, 'L' || (o_orderkey * 7 % (5 + o_custkey % 40)) AS label, o_orderkey AS first_row FROM orders),
 fresh AS (SELECT entity, label, min(first_row) AS first_row FROM o WHERE label NOT IN ('L0', 'L1') GROUP BY ALL),
-merged AS (SELECT entity, 2 + count(*) AS label_count, 'L0|L1|' || string_agg(label, '|' ORDER BY first_row) AS labels FROM fresh GROUP BY entity)
+ents AS (SELECT DISTINCT entity FROM o),
+merged AS (SELECT entity, 2 + count(label) AS label_count, concat_ws('|', 'L0|L1', string_agg(label, '|' ORDER BY first_row)) AS labels FROM ents LEFT JOIN fresh USING (entity) GROUP BY entity)
 SELECT entity, CASE WHEN label_count > 20 THEN 'string' ELSE 'enum' END AS type, least(label_count, 21) AS label_count,
   CASE WHEN label_count > 20 THEN '' ELSE labels END AS labels FROM merged""")
 def widen_enums(spark, sf):
