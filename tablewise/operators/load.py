@@ -23,8 +23,7 @@ def enum_value(c: Column, allowed) -> Column:
     """Exact label, else the only label equal without any whitespace, else the cell."""
     if not allowed:
         return c
-    label = _label(c, text.compact(c), allowed)
-    return F.when(label.isin(*allowed), label).otherwise(c)
+    return F.when(c.isin(*allowed), c).otherwise(F.coalesce(_only_match(text.compact(c), allowed), c))
 
 
 def coerce(c: Column, field: Field) -> Column:
@@ -68,11 +67,17 @@ def _label(real: Column, compact: Column, allowed) -> Column:
     """Declared label of a cell, else the cell without its layout whitespace."""
     if not allowed:
         return compact
-    # Labels that collapse to the same text are ambiguous and match nothing.
+    return F.when(real.isin(*allowed), real).otherwise(F.coalesce(_only_match(compact, allowed), compact))
+
+
+def _only_match(compact: Column, allowed) -> Column:
+    """The one label equal to a text without whitespace; labels that collapse to the same text
+    are ambiguous and match nothing."""
     squeezed = ["".join(v.split()) for v in allowed]
     unique = {s: v for s, v in zip(squeezed, allowed) if squeezed.count(s) == 1}
-    found = F.try_element_at(F.create_map(*[F.lit(x) for p in unique.items() for x in p]), compact) if unique else F.lit(None)
-    return F.when(real.isin(*allowed), real).otherwise(F.coalesce(found, compact))
+    if not unique:
+        return F.lit(None).cast("string")
+    return F.try_element_at(F.create_map(*[F.lit(x) for p in unique.items() for x in p]), compact)
 
 
 def unseen_labels(rows: DataFrame, entity: Entity, positions: dict[str, int]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tablewise.functions import text
 from tablewise.functions import vocab as V
+from tablewise.operators.numbering import number_rows
 
 GRID = "source_file string, sheet string, row_no bigint, cells array<string>"
 _CHUNK_ROWS = 10_000
@@ -141,6 +142,29 @@ def table_rows(df: DataFrame, source_file: str, sheet: str, order: str, columns=
     )
 
 
+def read_large_grid(spark: SparkSession, path: str, width: int, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
+    """Grid of delimited files too large for one task; no cell may contain a line break.
+
+    Spark splits the files. A line's place is its split's first byte plus its number inside the
+    split: that grows along the file and is unique, as every line takes a byte or more, and
+    ranks to a dense ``row_no`` by blocks. ``width`` is the number of columns to read; blank
+    lines are not kept.
+    """
+    names = [f"c{i}" for i in range(width)]
+    lines = (
+        spark.read.schema(", ".join(f"{n} string" for n in names)).option("sep", sep).option("encoding", encoding)
+        .option("escape", '"').csv(path)
+        .select(*names, F.col("_metadata.file_path").alias("source_file"),
+                F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("mid"))
+    )
+    firsts = lines.groupBy("source_file", "start").agg(F.min("mid").alias("first"))
+    placed = lines.join(firsts, ["source_file", "start"]).select(
+        "source_file", F.regexp_extract("source_file", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("sheet"),
+        (F.col("start") + F.col("mid") - F.col("first")).alias("place"),
+        F.array(*[text.null_blank(F.col(n)) for n in names]).alias("cells"))
+    return number_rows(placed, "place").select("source_file", "sheet", "row_no", "cells")
+
+
 def table_columns(df: DataFrame, source_file: str, sheet: str) -> DataFrame:
     """Header rows ``(source_file, sheet, pos, column)`` of a wide table."""
     names = [(i, c) for i, c in enumerate(df.columns)]
