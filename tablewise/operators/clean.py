@@ -37,28 +37,36 @@ def is_filled(cells: Column) -> Column:
     return F.exists(cells, lambda c: c.isNotNull())
 
 
-def is_blank_row(cells: Column) -> Column:
+# The row tests look at all cells as one text, joined by a mark no cell contains: one pattern
+# over it is compiled code, where a test per array element would be interpreted.
+MARK = "\x00\x1f\x00"
+
+
+def row_text(cells: Column) -> Column:
+    return F.array_join(cells, MARK)
+
+
+def is_blank_row(joined: Column) -> Column:
     """No letter, digit or ideograph anywhere in the row."""
-    return ~F.exists(cells, lambda c: F.coalesce(text.has_content(c), F.lit(False)))
+    return ~text.has_content(joined)
 
 
-def is_total_row(cells: Column) -> Column:
+def is_total_row(joined: Column) -> Column:
     """Some cell, without blanks and colons around it, is a total word."""
-    word = lambda c: F.lower(text.strip(F.btrim(text.strip(c), F.lit(":："))))
-    return F.exists(cells, lambda c: F.coalesce(word(c).isin(*V.TOTAL_WORDS), F.lit(False)))
+    words = text.any_word(V.TOTAL_WORDS)
+    return joined.rlike(
+        rf"(?iU)(?:^|\x00\x1f\x00)\s*[:：]*\s*{words}\s*[:：]*\s*(?:\x00\x1f\x00|\z)")
 
 
-def is_note_row(cells: Column) -> Column:
+def is_note_row(joined: Column) -> Column:
     """Exactly one filled cell, which opens with an emoji or a note word."""
-    filled = F.filter(cells, lambda c: c.isNotNull())
-    head = text.strip(F.get(filled, F.lit(0)))
-    opens = head.rlike(V.EMOJI) | head.rlike("^" + text.any_word(V.NOTE_PREFIXES))
-    return (F.size(filled) == 1) & F.coalesce(opens, F.lit(False))
+    opens = joined.rlike(V.EMOJI) | joined.rlike("^" + text.any_word(V.NOTE_PREFIXES))
+    return opens & ~F.contains(joined, F.lit(MARK))
 
 
 def align(cells: Column, width: Column) -> Column:
     pad = F.array_repeat(F.lit(None).cast("string"), F.greatest(width - F.size(cells), F.lit(0)))
-    return F.slice(F.concat(cells, pad), F.lit(1), width)
+    return F.when(F.size(cells) == width, cells).otherwise(F.slice(F.concat(cells, pad), F.lit(1), width))
 
 
 # --- merged cells and formulas -----------------------------------------------
@@ -209,14 +217,13 @@ def judge_rows(grid: DataFrame, headers: DataFrame, widths: DataFrame, columns:
         "numbered", F.lower(text.strip(F.col("first_column"))).isin(*V.SEQUENCE_HEADERS)
     )
     first = F.get("cells", F.lit(0))
+    joined = F.col("joined")
     below = with_table_facts(grid, facts).filter(F.col("row_no") > F.col("header_row")).withColumn(
-        "cause", F.when(is_blank_row(F.col("cells")), "blank")
-        .when(is_total_row(F.col("cells")), "total")
-    )
+        "joined", row_text(F.col("cells")))
     order = Window.partitionBy(*TABLE).orderBy("row_no")
     counted = with_table_facts(grid, facts.filter("numbered")).filter(
         (F.col("row_no") > F.col("header_row")) & first.isNotNull()
-        & ~is_blank_row(F.col("cells")) & ~is_total_row(F.col("cells"))
+        & ~is_blank_row(row_text(F.col("cells"))) & ~is_total_row(row_text(F.col("cells")))
     )
     opening = (
         counted
@@ -232,8 +239,8 @@ def judge_rows(grid: DataFrame, headers: DataFrame, widths: DataFrame, columns:
         "sequence", F.coalesce("sequence", F.lit(False))
     )
     return judged.withColumn("cells", align(F.col("cells"), F.col("width"))).withColumn(
-        "cause", F.when(F.col("cause").isNotNull(), F.col("cause"))
-        .when(F.coalesce(breaks, F.lit(False)) | is_note_row(F.col("cells")), "note")
+        "cause", F.when(is_blank_row(joined), "blank").when(is_total_row(joined), "total")
+        .when(F.coalesce(breaks, F.lit(False)) | is_note_row(joined), "note")
     ).select(*TABLE, "row_no", "cells", "cause", "sequence", "first_column")
 
 
