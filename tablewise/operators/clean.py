@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from tablewise.functions import text
 from tablewise.functions import vocab as V
 from tablewise.operators.numbering import TABLE, with_table_facts
+from tablewise.session import materialize
 
 _INTEGER = r"(?U)^[+-]?\d+(?:\.0+)?$"
 
@@ -216,6 +217,9 @@ def judge_rows(grid: DataFrame, headers: DataFrame, widths: DataFrame, columns:
     ).join(first_name, list(TABLE)).withColumn(
         "numbered", F.lower(text.strip(F.col("first_column"))).isin(*V.SEQUENCE_HEADERS)
     )
+    # Stored, the facts have a known size: while small, they are broadcast and the grid is not
+    # shuffled; beyond that the join is by row blocks.
+    facts = materialize(facts, "sheet_facts")
     first = F.get("cells", F.lit(0))
     joined = F.col("joined")
     below = with_table_facts(grid, facts).filter(F.col("row_no") > F.col("header_row")).withColumn(
@@ -231,9 +235,9 @@ def judge_rows(grid: DataFrame, headers: DataFrame, widths: DataFrame, columns:
         .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= V.SEQUENCE_MIN_RUN)
         .groupBy(*TABLE).agg(F.count_if("integer").alias("run"))
     )
-    sequences = facts.select(*TABLE, "last_row").join(opening, list(TABLE)).select(
+    sequences = materialize(facts.select(*TABLE, "last_row").join(opening, list(TABLE)).select(
         *TABLE, "last_row", (F.col("run") >= V.SEQUENCE_MIN_RUN).alias("sequence")
-    )
+    ), "sequences")
     breaks = F.col("sequence") & first.isNotNull() & ~text.strip(first).rlike(_INTEGER)
     judged = with_table_facts(below, sequences, "left").withColumn(
         "sequence", F.coalesce("sequence", F.lit(False))

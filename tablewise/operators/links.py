@@ -16,6 +16,7 @@ from tablewise.functions import text
 from tablewise.functions import vocab as V
 from tablewise.operators.numbering import TABLE
 from tablewise.operators.profile import COLUMN
+from tablewise.session import materialize
 
 # Overlap thresholds and confidences of the link ladder.
 STRONG_RECALL, MEDIUM_RECALL = 0.80, 0.50
@@ -76,13 +77,27 @@ def candidates(plans: DataFrame, columns: DataFrame, profiles: DataFrame) -> Dat
     return same.unionByName(differ)
 
 
+SALTS = 32
+
+
+def column_values(values: DataFrame, catalog: DataFrame, key: list[str]) -> DataFrame:
+    """Values of the columns a catalog table names.
+
+    The values of one column may be a third of all, so a shuffled join splits them by a salt,
+    with the catalog row copied once per salt.
+    """
+    salt = F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int")
+    copies = catalog.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return values.withColumn("_salt", salt).join(copies, [*key, "_salt"]).drop("_salt")
+
+
 def value_overlap(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     """Shared distinct values of every pair ``(source_file, parent, parent_pos, child, pos)``."""
     values = counts.filter(F.col("value").isNotNull()).select(*COLUMN, "value")
     ids = pairs.select("source_file", "parent", "parent_pos", "child", "pos")
-    left = ids.join(values.withColumnsRenamed({"sheet": "parent", "pos": "parent_pos"}),
-                    ["source_file", "parent", "parent_pos"])
-    right = ids.join(values.withColumnRenamed("sheet", "child"), ["source_file", "child", "pos"])
+    left = column_values(values.withColumnsRenamed({"sheet": "parent", "pos": "parent_pos"}), ids,
+                         ["source_file", "parent", "parent_pos"])
+    right = column_values(values.withColumnRenamed("sheet", "child"), ids, ["source_file", "child", "pos"])
     key = ["source_file", "parent", "parent_pos", "child", "pos"]
     shared = left.select(*key, "value").join(right.select(*key, "value"), [*key, "value"])
     return shared.groupBy(*key).agg(F.count(F.lit(1)).alias("overlap"))
@@ -163,7 +178,7 @@ def positional_keys(plans: DataFrame, counts: DataFrame) -> DataFrame:
     keys = plans.select(*TABLE, F.col("key_pos").alias("pos"))
     number = F.col("value").try_cast("decimal(38,0)")
     return (
-        counts.filter(F.col("value").isNotNull()).join(keys, list(COLUMN)).groupBy(*TABLE)
+        column_values(counts.filter(F.col("value").isNotNull()), keys, list(COLUMN)).groupBy(*TABLE)
         .agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("value").rlike(r"(?U)^[+-]?\d+$")).alias("whole"),
              F.min(number).alias("low"), F.max(number).alias("high"))
         .filter((F.col("n") >= 2) & F.col("whole") & (F.col("low") == 1)
@@ -196,7 +211,10 @@ def discover_links(
     plans: DataFrame, columns: DataFrame, profiles: DataFrame, counts: DataFrame
 ) -> DataFrame:
     """All inferred links of a corpus, normalised."""
-    scored = score(candidates(plans, columns, profiles), counts)
+    # Stored, the candidates have a known size: while small, they are broadcast and the value
+    # counts are not shuffled by column at all.
+    pairs = materialize(candidates(plans, columns, profiles), "candidates")
+    scored = score(pairs, counts)
     return normalize_links(best_per_pair(scored), positional_keys(plans, counts))
 
 
@@ -246,6 +264,7 @@ def verify_links(
         ["source_file", "parent", "parent_pos"]
     ).join(size.withColumnsRenamed({"sheet": "child", "distinct_count": "child_distinct"}),
            ["source_file", "child", "pos"])
+    good = materialize(good, "given_links")
     key = ["source_file", "parent", "parent_pos", "child", "pos"]
     seen = good.join(value_overlap(good.select(*key).distinct(), counts), key, "left").fillna(0, ["overlap"])
     overlaps = F.col("overlap") > 0

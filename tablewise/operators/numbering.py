@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewise.functions import vocab as V
+from tablewise.session import materialize
 
 TABLE = ("source_file", "sheet")
 BLOCK_BITS = 16
@@ -99,13 +100,14 @@ def stride_sample(rows: DataFrame, size: int = V.SAMPLE_ROWS, dense: bool = Fals
             {"total": F.col("n"), "before": F.lit(0).cast("bigint")})
         few = F.when(F.col("n") <= size, F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).otherwise(
             stride_positions(size, every=False))
-        picks = totals.select(*TABLE, F.explode(few).alias("row_no"))
+        picks = materialize(totals.select(*TABLE, F.explode(few).alias("row_no")), "picks")
         return rows.join(picks, [*TABLE, "row_no"]).withColumn("position", F.col("row_no"))
-    wanted = (
+    # Stored, the wanted positions have a known size: while small, they are broadcast and rows
+    # outside the wanted blocks are never shuffled.
+    wanted = materialize(
         block_offsets(rows)
         .select(*TABLE, "block", "before", stride_positions(size).alias("picks"))
-        .filter(F.size("picks") > 0)
-    )
+        .filter(F.size("picks") > 0), "wanted")
     local = Window.partitionBy(*TABLE, "block").orderBy("row_no")
     return (
         rows.withColumn("block", block_of(F.col("row_no")))

@@ -52,6 +52,7 @@ rownos AS (SELECT k.sheet FROM keys k JOIN vc USING (sheet, pos) WHERE value IS
   HAVING count(*) >= 2 AND bool_and(regexp_matches(value, '^[+-]?[0-9]+$')) AND min(try_cast(value AS BIGINT)) = 1
     AND max(try_cast(value AS BIGINT)) = count(*)),
 final AS (SELECT *, CASE WHEN parent IN (SELECT sheet FROM rownos) AND recall > 0 THEN least(confidence, 0.5) ELSE confidence END AS capped FROM mutual)"""
+_stored = lambda df: materialize(df, "candidates")
 LINKS = f"{COUNTS}, keys(sheet, pos) AS (VALUES {_KEYS_SQL}), names AS (SELECT DISTINCT sheet, pos, col FROM cells), {TAIL}"
 
 
@@ -59,7 +60,7 @@ LINKS = f"{COUNTS}, keys(sheet, pos) AS (VALUES {_KEYS_SQL}), names AS (SELECT D
 FROM pairs WHERE same OR ({_PARTY.replace('c.col', 'col')} AND cd >= 0.9 * pd - 1 AND cd <= 2 * pd + 1)""")
 def link_overlap(spark, sf):
     plans, columns, profiles, counts = profiled(spark, sf)
-    pairs = links.candidates(plans, columns, profiles)
+    pairs = _stored(links.candidates(plans, columns, profiles))
     key = ["source_file", "parent", "parent_pos", "child", "pos"]
     found = pairs.join(links.value_overlap(pairs, counts), key, "left").fillna(0, ["overlap"])
     return found.select("parent", "child", "pos", "overlap", "parent_distinct", "child_distinct")
@@ -69,7 +70,7 @@ def link_overlap(spark, sf):
   round(precision, 6) AS precision, confidence::DOUBLE AS confidence FROM good""")
 def link_scores(spark, sf):
     plans, columns, profiles, counts = profiled(spark, sf)
-    scored = links.score(links.candidates(plans, columns, profiles), counts)
+    scored = links.score(_stored(links.candidates(plans, columns, profiles)), counts)
     return scored.select("parent", "child", "parent_key", "column", F.round("recall", 6).alias("recall"),
                          F.round("precision", 6).alias("precision"), "confidence")
 
@@ -80,7 +81,7 @@ _BEST = "parent, child, pcol AS on_from, col AS on_to, confidence, recall, preci
 @query("link_best", f"WITH {LINKS} SELECT {_BEST} FROM best")
 def link_best(spark, sf):
     plans, columns, profiles, counts = profiled(spark, sf)
-    scored = links.score(links.candidates(plans, columns, profiles), counts)
+    scored = links.score(_stored(links.candidates(plans, columns, profiles)), counts)
     return links.best_per_pair(scored).select("parent", "child", "on_from", "on_to", "confidence", "recall", "precision")
 
 
@@ -92,7 +93,7 @@ SELECT parent, child, pcol AS on_from, col AS on_to, confidence::DOUBLE AS confi
 def link_mutual(spark, sf):
     # Every link gets an opposite one; those of the order table tie and vanish both.
     plans, columns, profiles, counts = profiled(spark, sf)
-    best = links.best_per_pair(links.score(links.candidates(plans, columns, profiles), counts))
+    best = links.best_per_pair(links.score(_stored(links.candidates(plans, columns, profiles)), counts))
     confidence = F.when(F.col("child") == "order", F.col("confidence")).otherwise(0.5)
     mirrored = best.select(
         "source_file", F.col("child").alias("parent"), F.col("parent").alias("child"), F.col("pos").alias("parent_pos"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,8 +155,7 @@ def record_checks(spark, sf):
 @query("stored_records", "SELECT o_orderkey % 2 AS half, o_orderkey AS order_id, CAST(o_totalprice AS DOUBLE) AS amount, CAST(o_orderdate AS DATE) AS order_date FROM orders WHERE o_orderkey % 2 = 0")
 def stored_records(spark, sf):
     # Written twice: the second write replaces the first. An entity never written reads as empty.
-    root = f"{work_folder(spark)}/records"
-    app = f"app{abs(hash(sf)) % 10**6}"
+    root, app = f"{work_folder(spark)}/records-{uuid.uuid4().hex}", "shop"
     entity = Entity("order", "order_id", (Field("order_id", "number"), Field("amount", "money"), Field("order_date", "date")))
     df = records.conform(fx.orders(spark, sf), entity)
     records.write_records(df, root, app, "order")
@@ -176,7 +177,7 @@ def confirm_load(spark, sf):
                                     F.lit(None).cast("string").alias("on_from"), F.lit(None).cast("string").alias("on_to"))
     ids = catalog.review_queue(cat["entities"], cat["fields"], cat["metrics"], cat["links"]).select(
         "source_file", F.regexp_replace("item", "^(entity|field):", "").alias("id"))
-    root = f"{work_folder(spark)}/apps"
+    root = f"{work_folder(spark)}/apps-{uuid.uuid4().hex}"
     loaded = confirm(found, fx.BOOK, "workspace", root, decisions, ids)
     out, money = None, {"customer": "field_4", "order": "field_4", "product": "field_6"}
     for entity in loaded.entities:
