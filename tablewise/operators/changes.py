@@ -3,6 +3,9 @@
 Keys compare as text. Changes may carry ``change_no``, their order in the batch, and
 updates ``target_key``, the key of the row they are meant for. Every function gives the
 new table and a rejects table ``(key, cause, rows)``; the old table is never modified.
+
+The batch is reduced to one row per key and stored first: its size is then known, and a small
+batch is broadcast to the table instead of the table being shuffled.
 """
 
 from __future__ import annotations
@@ -13,7 +16,8 @@ from pyspark.sql import functions as F
 from tablewise.functions import text
 from tablewise.operators.load import validate
 from tablewise.operators.query import Entity
-from tablewise.sources.records import conform
+from tablewise.session import materialize
+from tablewise.sources.records import SPARK_TYPES, conform
 
 CONTROL = ("change_no", "target_key")
 
@@ -38,13 +42,10 @@ def check_rows(changes: DataFrame, entity: Entity) -> tuple[DataFrame, DataFrame
     causes = F.transform("errors", lambda e: F.concat_ws(": ", e["field"], e["cause"]))
     bad = _rejects(checked.filter(F.size("errors") > 0), F.array_join(causes, "; "))
     sound = checked.filter(F.size("errors") == 0)
-    fields = conform(sound, entity).columns
     have = set(changes.columns)
-    from tablewise.sources.records import SPARK_TYPES
-
     row = F.struct(*[
         (F.col(f.key) if f.key in have else F.lit(None)).cast(SPARK_TYPES[f.type]).alias(f.key)
-        for f in entity.fields if f.key in fields
+        for f in entity.fields
     ])
     return sound.select("_k", row.alias("_row"), *control), bad
 
@@ -57,8 +58,8 @@ def _order(df: DataFrame) -> Column:
 def create_rows(table: DataFrame, new: DataFrame, entity: Entity) -> tuple[DataFrame, DataFrame]:
     """Append rows with a free key; a taken key, in the table or the batch, is a conflict."""
     sound, bad = check_rows(new, entity)
-    first = sound.groupBy("_k").agg(
-        F.min_by("_row", _order(sound)).alias("_row"), F.count(F.lit(1)).alias("n"))
+    first = materialize(sound.groupBy("_k").agg(
+        F.min_by("_row", _order(sound)).alias("_row"), F.count(F.lit(1)).alias("n")), "creates")
     owned = _keyed(table, entity.key_field).select("_k")
     fresh = first.join(owned, "_k", "left_anti")
     taken = first.join(owned, "_k", "left_semi")
@@ -78,8 +79,8 @@ def update_rows(table: DataFrame, changed: DataFrame, entity: Entity) -> tuple[D
         other = F.col("_k") != F.col("target_key")
         rejects = rejects.unionAll(_rejects(sound.filter(other), F.lit("key cannot change")))
         sound = sound.filter(~other)
-    last = sound.groupBy("_k").agg(
-        F.max_by("_row", _order(sound)).alias("_row"), F.count(F.lit(1)).alias("n"))
+    last = materialize(sound.groupBy("_k").agg(
+        F.max_by("_row", _order(sound)).alias("_row"), F.count(F.lit(1)).alias("n")), "updates")
     current = _keyed(conform(table, entity), entity.key_field)
     names = [f.key for f in entity.fields]
     merged = current.join(last, "_k", "left").select(*[
@@ -91,8 +92,8 @@ def update_rows(table: DataFrame, changed: DataFrame, entity: Entity) -> tuple[D
 
 def delete_rows(table: DataFrame, keys: DataFrame, entity: Entity) -> tuple[DataFrame, DataFrame]:
     """Remove rows by key (``keys`` has a ``key`` column); absent keys are rejected."""
-    wanted = keys.select(text.as_text(keys, "key").alias("_k")).groupBy("_k").agg(
-        F.count(F.lit(1)).alias("n"))
+    wanted = materialize(keys.select(text.as_text(keys, "key").alias("_k")).groupBy("_k").agg(
+        F.count(F.lit(1)).alias("n")), "deletes")
     current = _keyed(table, entity.key_field)
     left = current.join(wanted, "_k", "left_anti").drop("_k")
     owned = current.select("_k")

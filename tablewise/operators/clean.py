@@ -96,7 +96,8 @@ def fill_merges(grid: DataFrame, merges: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(
             F.struct("col", (F.col("row_no") == F.col("min_row")).alias("own")))).alias("own"),
     )
-    joined = grid.join(per_row, at, "left")
+    # Stored, the fills have a known size: few of them are broadcast, and the grid stays put.
+    joined = grid.join(materialize(per_row, "fills"), at, "left")
     padded = align(F.col("cells"), F.greatest(F.size("cells"), F.col("last") + 1))
     filled = F.transform(padded, lambda c, i: F.when(
         c.isNull() | F.try_element_at("own", i), F.coalesce(F.try_element_at("fill", i), c)

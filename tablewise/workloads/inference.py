@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablewise.functions import text
@@ -209,13 +210,8 @@ def entity_hints(spark, sf):
     entities = infer.infer_entities(fields)
     # The proposed key of the dirty sheet is empty on a quarter of the rows.
     hints = entities.filter(F.col("sheet").isin("sales dirty", "keyless lines")).select(
-        "source_file", "sheet", F.row_number().over(infer_order()).alias("position"), F.lit(" My Table!").alias("key"),
+        "source_file", "sheet", F.row_number().over(Window.partitionBy("source_file").orderBy("sheet")).alias("position"), F.lit(" My Table!").alias("key"),
         F.lit("Proposed").alias("name"), F.when(F.col("sheet") == "sales dirty", "note_text").alias("key_field"),
         F.lit(0.9).alias("confidence"), F.lit(False).alias("needs_review"), F.lit("proposed").alias("reason"))
     _, out = infer.apply_entity_hints(fields, entities, hints)
     return out.select("sheet", "kind", "key_field", "confidence", "needs_review")
-
-
-def infer_order():
-    from pyspark.sql import Window
-    return Window.partitionBy("source_file").orderBy("sheet")
