@@ -21,6 +21,8 @@ from tablewise.session import materialize
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 BLOCK_DOCS = 1024
+#: Small documents that join the last two of a source in the landing.
+LANDING_DOCS = 10
 WORD = r"[^\x20\x09-\x0D]+"
 _STATE = "doc_id bigint, source string, size bigint, chance double, block bigint, salt bigint"
 
@@ -108,21 +110,26 @@ def fly(chance: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
 
 
 def land(chance: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The last two of a source: the choice whose words are nearest to what they should give."""
+    """Settle the last few documents: the choice nearest in words, then in documents, to what they should give."""
     out = chance.copy()
     left = np.flatnonzero((out > 0) & (out < 1))
     if len(left):
-        want = float((out[left] * size[left]).sum())
-        choices = [np.array([(k >> j) & 1 for j in range(len(left))], float) for k in range(1 << len(left))]
-        out[left] = min(choices, key=lambda c: (abs(float((c * size[left]).sum()) - want), c.tolist()))
+        choices = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
+        words = np.abs(choices @ size[left] - (out[left] * size[left]).sum())
+        docs = np.abs(choices.sum(axis=1) - out[left].sum())
+        out[left] = choices[np.lexsort((docs, np.round(words, 6)))[0]]
     return out
 
 
 def _block(last: bool):
+    """The flight of one block; the last one of a source keeps its smallest documents for the landing."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "salt", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        size = rows["size"].to_numpy()
-        chance = fly(rows["chance"].to_numpy(), size, int(rows["salt"].iloc[0]) & 0x7FFFFFFF)
+        size, chance = rows["size"].to_numpy(), rows["chance"].to_numpy().copy()
+        between = np.flatnonzero((chance > 0) & (chance < 1) & (size > 0))
+        held = between[len(between) - LANDING_DOCS:] if last and len(between) > LANDING_DOCS else between[:0]
+        flies = np.setdiff1d(np.arange(len(rows)), held)
+        chance[flies] = fly(chance[flies], size[flies], int(rows["salt"].iloc[0]) & 0x7FFFFFFF)
         rows["chance"] = land(chance, size) if last else chance
         return rows
     return run
