@@ -21,8 +21,8 @@ from tablewise.session import materialize
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 BLOCK_DOCS = 1024
-#: Small documents that join the last two of a source in the landing.
-LANDING_DOCS = 10
+#: Documents that join the last two of a source in the landing.
+LANDING_DOCS = 12
 WORD = r"[^\x20\x09-\x0D]+"
 _STATE = "doc_id bigint, source string, size bigint, chance double, block bigint, salt bigint"
 
@@ -122,12 +122,13 @@ def land(chance: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _block(last: bool):
-    """The flight of one block; the last one of a source keeps its smallest documents for the landing."""
+    """The flight of one block. A source's first block keeps documents of all sizes back, for the landing."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "salt", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         size, chance = rows["size"].to_numpy(), rows["chance"].to_numpy().copy()
         between = np.flatnonzero((chance > 0) & (chance < 1) & (size > 0))
-        held = between[len(between) - LANDING_DOCS:] if last and len(between) > LANDING_DOCS else between[:0]
+        first = rows["block"].iloc[0] == 0 and len(between) > LANDING_DOCS
+        held = between[np.unique(np.linspace(len(between) // 5, len(between) - 1, LANDING_DOCS).astype(int))] if first else between[:0]
         flies = np.setdiff1d(np.arange(len(rows)), held)
         chance[flies] = fly(chance[flies], size[flies], int(rows["salt"].iloc[0]) & 0x7FFFFFFF)
         rows["chance"] = land(chance, size) if last else chance
