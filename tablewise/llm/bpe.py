@@ -19,9 +19,12 @@ import pyarrow.compute as pc
 from tablewise.llm.common import flat
 
 REMEMBER = 600_000
-_PART_BYTES = 1 << 22
+_PART_BYTES = 1 << 23
 #: Pieces that begin with a blank of any kind, or with nothing.
 _UNSAFE = re.compile("[\x00-\x20\x7f-\xa0 ᠎ -⁯　﻿]|$")
+#: Letters whose class no Unicode version disputes, with a stop or comma behind them or not.
+_LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+[.,]?$"
+
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -43,15 +46,20 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.tokenizer.model._resize_cache(0)  # pieces come once
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.lettered = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # For strings of letters and single spaces, cutting before the spaces is all there is to do.
+        self.lettered.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        for t in (self.tokenizer, self.lettered):
+            t.encode_special_tokens = True
+            t.model._resize_cache(0)  # pieces come once
         vocab = self.tokenizer.get_vocab()
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes behind each id
         for token, i in vocab.items():
             self.width[i] = len(token)
+        self.marks = {c: vocab[c] for c in ".,"}
         self.place: dict[str, int] = {}  # piece to its entry in bounds
         self._reset()
 
@@ -74,18 +82,44 @@ class Encoder:
             out[i] = _UNSAFE.match(pieces[i]) is not None
         return out
 
-    def _learn(self, pieces: list[str], wide: np.ndarray) -> None:
-        """Encode new pieces, each behind a space, joined into long strings for speed."""
-        joined = ["".join(" " + p for p in pieces[i:i + 1000]) for i in range(0, len(pieces), 1000)]
-        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
-        ids = np.concatenate(found)
-        ends = np.cumsum(wide.astype(np.int64) + 1)
-        places = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
+    def _add(self, names: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
         self.parts.append(ids)
-        self.ends.append(self.total + places)
-        self.place.update(zip(pieces, range(self.known, self.known + len(pieces))))
+        self.ends.append(self.total + np.cumsum(counts))
+        self.place.update(zip(names, range(self.known, self.known + len(names))))
         self.total += len(ids)
-        self.known += len(pieces)
+        self.known += len(names)
+
+    def _join(self) -> tuple[np.ndarray, np.ndarray]:
+        pool = np.concatenate(self.parts) if self.parts else np.zeros(0, np.uint32)
+        ends = np.concatenate(self.ends)
+        self.parts, self.ends = [pool], [ends]
+        return pool, ends
+
+    def _encode_pieces(self, tokenizer, names: list[str]) -> None:
+        """Pieces behind a space each, joined into long strings; the bytes behind the ids part them again."""
+        if not names:
+            return
+        joined = [" " + " ".join(names[i:i + 1000]) for i in range(0, len(names), 1000)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        ends = np.cumsum(pc.binary_length(pa.array(names, pa.string())).to_numpy().astype(np.int64) + 1)
+        self._add(names, ids, np.diff(np.searchsorted(np.cumsum(self.width[ids]), ends) + 1, prepend=0))
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Letters are one pre-token with the space before them; a stop or comma behind them is one of its own."""
+        words = pc.match_substring_regex(pa.array(pieces, pa.string()), _LETTERS).to_numpy(zero_copy_only=False).tolist()
+        marked = [p for p, w in zip(pieces, words) if w and p[-1] in ".,"]
+        plain = dict.fromkeys(p for p, w in zip(pieces, words) if w and p[-1] not in ".,")
+        plain |= dict.fromkeys(p[:-1] for p in marked if p[:-1] not in self.place)
+        self._encode_pieces(self.lettered, list(plain))
+        self._encode_pieces(self.tokenizer, [p for p, w in zip(pieces, words) if not w])
+        if marked:
+            pool, ends = self._join()
+            at = np.fromiter((self.place[p[:-1]] for p in marked), np.int64, len(marked))
+            n = ends[at + 1] - ends[at] + 1
+            take = np.arange(n.sum()) + np.repeat(ends[at] - (np.cumsum(n) - n), n)
+            ids = pool[np.minimum(take, len(pool) - 1)]
+            ids[np.cumsum(n) - 1] = [self.marks[p[-1]] for p in marked]
+            self._add(marked, ids, n)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: none), one after the other, and the number of ids of each."""
@@ -128,11 +162,10 @@ class Encoder:
         at = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
         new = np.flatnonzero((at < 0) & ~unsafe)
         if len(new):
-            at[new] = self.known + np.arange(len(new))
-            wide = pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False)[new]
-            self._learn([pieces[i] for i in new], wide)
-        pool, ends = np.concatenate(self.parts) if self.parts else np.zeros(0, np.uint32), np.concatenate(self.ends)
-        self.parts, self.ends = [pool], [ends]
+            unknown = [pieces[i] for i in new]
+            self._learn(unknown)
+            at[new] = np.fromiter(map(self.place.__getitem__, unknown), np.int64, len(new))
+        pool, ends = self._join()
         at = at[code]
         alone = [t if w else h for t, w, h in zip(
             texts.to_pylist() if whole.any() else [""] * len(heads), whole, [pieces[c] for c in code[heads]])]

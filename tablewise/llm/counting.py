@@ -118,7 +118,7 @@ def edited_counts(docs: DataFrame, path: str | None = None, pattern: str = MASKE
             texts = column.field("t") if given else column
             lists = column.field("e").to_pylist() if given else None
             out: list[list] = [[], [], [], [], []]
-            for low, high, _, _ in text_slices(texts, 1 << 22):
+            for low, high, _, _ in text_slices(texts, 1 << 23):
                 part = texts.slice(low, high - low)
                 pieces, chars, tokens = enc.pieces(part)
                 ends = np.cumsum(pieces)

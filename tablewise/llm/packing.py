@@ -132,7 +132,7 @@ def tokenize(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None,
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             texts = batch.column(1)
-            for low, high, _, _ in text_slices(texts, 1 << 22):
+            for low, high, _, _ in text_slices(texts, 1 << 23):
                 ids, counts = enc.encode(texts.slice(low, high - low))
                 ends = np.cumsum(counts)
                 whole = np.insert(ids, ends, end_id).astype("<u4")

@@ -56,26 +56,29 @@ def frequencies(counts: np.ndarray, bits: int = SCALE_BITS) -> np.ndarray:
 def encode_segment(ids: np.ndarray, docs: list[int | None], lengths: np.ndarray, lanes: int = LANES,
                    block_ids: int = BLOCK_IDS) -> bytes:
     """One segment: header, table, document index, block checkpoints, words."""
-    symbols, place, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    counts = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
+    symbols = np.flatnonzero(counts)
+    rank = np.zeros(len(counts), np.int64)
+    rank[symbols] = np.arange(len(symbols))
+    place, counts = rank[ids], counts[symbols]
     freq = frequencies(counts) if len(ids) else np.zeros(0, np.int64)
     start = np.cumsum(freq) - freq
     blocks = -(-len(ids) // block_ids)
     steps = block_ids // lanes
-    padded = np.zeros(blocks * block_ids, np.int64)
+    padded = np.full(blocks * block_ids, np.argmax(freq) if len(ids) else 0, np.int64)  # the cheapest symbol fills up
     padded[:len(ids)] = place
     grid = np.ascontiguousarray(padded.reshape(blocks, steps, lanes).transpose(1, 0, 2))
-    used = (np.arange(blocks * block_ids) < len(ids)).reshape(blocks, steps, lanes).transpose(1, 0, 2)
     state = np.full((blocks, lanes), LOW, np.uint64)
     words, sent = np.zeros((steps, blocks, lanes), np.uint32), np.zeros((steps, blocks, lanes), bool)
     freq64, start64 = freq.astype(np.uint64), start.astype(np.uint64)
-    bits, room = np.uint64(SCALE_BITS), np.uint64(63 - SCALE_BITS)
+    total, room = np.uint64(1 << SCALE_BITS), np.uint64(63 - SCALE_BITS)
     for s in range(steps - 1, -1, -1) if blocks else ():
-        f, c, real = freq64[grid[s]], start64[grid[s]], used[s]
-        out = (state >= (f << room)) & real
-        words[s][out], sent[s] = (state[out] & np.uint64(0xFFFFFFFF)).astype(np.uint32), out
-        low = np.where(out, state >> np.uint64(32), state)
-        q = low // f
-        state = np.where(real, (q << bits) + (low - q * f) + c, state)
+        f = freq64[grid[s]]
+        out = state >= (f << room)
+        words[s], sent[s] = state.astype(np.uint32), out
+        np.right_shift(state, np.uint64(32), out=state, where=out)
+        q = state // f
+        state += start64[grid[s]] + q * (total - f)  # q * 2**bits + the rest + start
     stream = words.transpose(1, 0, 2)[sent.transpose(1, 0, 2)]
     n_words = sent.sum(axis=(0, 2)) if blocks else np.zeros(0, np.int64)
     raw = ids.astype("<u4")
@@ -115,28 +118,29 @@ def decode_segment(data: bytes, only: range | None = None) -> tuple[np.ndarray,
     chosen = np.arange(blocks)[only.start:only.stop] if only is not None else np.arange(blocks)
     state = np.frombuffer(parts[2], "<u8").reshape(blocks, lanes)[chosen].astype(np.uint64)
     n_words = np.frombuffer(parts[3], "<u4").astype(np.int64)
-    checks, stream = np.frombuffer(parts[4], "<u4"), np.frombuffer(parts[5], "<u4")
+    checks, stream = np.frombuffer(parts[4], "<u4"), np.append(np.frombuffer(parts[5], "<u4"), np.uint32(0))
     pointer = (np.cumsum(n_words) - n_words)[chosen]
     steps = block // lanes
     start = np.cumsum(freq) - freq
-    slot_symbol = np.repeat(np.arange(len(freq)), freq)
-    freq64, start64 = freq.astype(np.uint64), start.astype(np.uint64)
+    slot_symbol = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
+    within = (np.arange(len(slot_symbol)) - np.repeat(start, freq)).astype(np.uint32)
+    freq64 = freq.astype(np.uint64)
     left = np.minimum(head["n"] - chosen * block, block)
-    place = np.arange(lanes)
-    out = np.empty((steps, len(chosen), lanes), np.int64)
+    out = np.empty((steps, len(chosen), lanes), np.int32)
     mask, bits = np.uint64((1 << SCALE_BITS) - 1), np.uint64(SCALE_BITS)
     for s in range(steps) if len(chosen) else ():
-        real = (s * lanes + place)[None, :] < left[:, None]
-        slot = state & mask
-        sym = slot_symbol[slot.astype(np.int64)]
-        out[s] = sym
-        state = np.where(real, freq64[sym] * (state >> bits) + slot - start64[sym], state)
-        more = (state < LOW) & real
-        seen = np.cumsum(more, axis=1)
-        b, lane = np.nonzero(more)
-        if len(b):
-            state[b, lane] = (state[b, lane] << np.uint64(32)) | stream[pointer[b] + seen[b, lane] - 1].astype(np.uint64)
-            pointer = pointer + seen[:, -1]
+        slot = (state & mask).astype(np.int64)
+        sym = out[s] = slot_symbol[slot]
+        state >>= bits
+        state *= freq64[sym]
+        state += within[slot]
+        more = state < LOW
+        lanes_in = np.flatnonzero(more)
+        n = np.count_nonzero(more, axis=1)
+        # The words of a block's lanes lie one behind the other.
+        at = np.arange(len(lanes_in)) + np.repeat(pointer - (np.cumsum(n) - n), n)
+        state.ravel()[lanes_in] = (state.ravel()[lanes_in] << np.uint64(32)) | stream[np.minimum(at, len(stream) - 1)]
+        pointer = pointer + n
     flat = out.transpose(1, 0, 2).reshape(len(chosen), block)
     ids = symbols[np.concatenate([flat[i, :k] for i, k in enumerate(left)])] if len(chosen) else np.zeros(0, np.uint32)
     ids = ids.astype("<u4")
@@ -181,7 +185,7 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int
 
         for batch in batches:
             texts = batch.column(1)
-            for low, high, _, _ in text_slices(texts, 1 << 22):
+            for low, high, _, _ in text_slices(texts, 1 << 23):
                 ids, counts = enc.encode(texts.slice(low, high - low))
                 held.append(np.insert(ids, np.cumsum(counts), end_id))
                 lengths.append(counts + 1)
