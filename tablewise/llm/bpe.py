@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 
 from tablewise.llm.common import flat
 
-REMEMBER = 600_000
-_PART_BYTES = 1 << 23
+REMEMBER = 400_000
+_PART_BYTES = 1 << 22
 #: Pieces that begin with a blank of any kind, or with nothing.
 _UNSAFE = re.compile("[\x00-\x20\x7f-\xa0 ᠎ -⁯　﻿]|$")
 #: Letters whose class no Unicode version disputes, with a stop or comma behind them or not.
@@ -130,22 +130,22 @@ class Encoder:
 
     def pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pieces per text, then code points and ids of every piece; a text that is not cut is one piece."""
-        parts = list(self._parts(texts))
+        parts = list(self._parts(texts, True))
         if not parts:
             return tuple(np.zeros(0, np.int64) for _ in range(3))
         return tuple(np.concatenate([p[k] for p in parts]) for k in (2, 3, 4))
 
-    def _parts(self, texts: pa.Array):
+    def _parts(self, texts: pa.Array, spans: bool = False):
         low = 0
         texts = pc.fill_null(texts, "") if texts.null_count else texts
         sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)
         while low < len(texts):
             base = sizes[low - 1] if low else 0
             high = max(low + 1, int(np.searchsorted(sizes, base + _PART_BYTES, "right")))
-            yield self._encode(texts.slice(low, high - low))
+            yield self._encode(texts.slice(low, high - low), spans)
             low = high
 
-    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
+    def _encode(self, texts: pa.Array, spans: bool) -> tuple[np.ndarray, ...]:
         cut = pc.split_pattern(texts, " ")
         bounds = np.asarray(cut.offsets, np.int64)
         bounds = bounds - bounds[0]
@@ -173,13 +173,18 @@ class Encoder:
         own = np.concatenate(single) if single else np.zeros(0, np.uint32)
         own_n = np.fromiter(map(len, single), np.int64, len(single))
         source = np.concatenate([pool, own])
-        begin, length = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+        begin, length = np.zeros(len(code), np.int32), np.zeros(len(code), np.int32)
         good = at >= 0
         begin[good], length[good] = ends[at[good]], ends[at[good] + 1] - ends[at[good]]
-        length[np.repeat(whole, np.diff(bounds))] = 0
+        if whole.any():
+            length[np.repeat(whole, np.diff(bounds))] = 0
         begin[heads], length[heads] = len(pool) + np.cumsum(own_n) - own_n, own_n
-        total = int(length.sum())
-        take = np.arange(total) + np.repeat(begin - (np.cumsum(length) - length), length)
+        total = np.add.reduceat(length, heads, dtype=np.int64) if len(heads) else np.zeros(0, np.int64)
+        take = np.repeat(begin - (np.cumsum(length, dtype=np.int32) - length), length)
+        take += np.arange(len(take), dtype=np.int32)
+        ids = source[take]
+        if not spans:
+            return ids, total
         wide = pc.utf8_length(coded.dictionary).to_numpy(zero_copy_only=False)[code].astype(np.int64) + 1
         wide[heads] -= 1
         n = np.diff(bounds)
@@ -187,5 +192,4 @@ class Encoder:
             inside = np.repeat(whole, n)
             wide = np.where(inside, 0, wide)
             wide[heads[whole]] = pc.utf8_length(texts).to_numpy(zero_copy_only=False)[whole]
-        total = np.add.reduceat(length, heads) if len(heads) else np.zeros(0, np.int64)
-        return source[take], total, n, wide, length
+        return ids, total, n, wide, length.astype(np.int64)

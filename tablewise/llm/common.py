@@ -172,6 +172,7 @@ def map_texts(df: DataFrame, added: str, work: Callable, column: str = "text") -
             values = [pa.array(v, k) if not isinstance(v, pa.Array) else v
                       for v, k in zip(make(batch.column(batch.schema.names.index(column))), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *values], names=[*batch.schema.names, *new.names])
+        pa.default_memory_pool().release_unused()  # a worker is kept for other tasks
 
     return kept.mapInArrow(run, schema)
 

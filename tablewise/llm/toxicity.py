@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.llm.common import crc_bucket, map_texts
+from tablewise.llm.common import crc_bucket, map_texts, text_slices
 from tablewise.session import materialize
 
 #: The classifier is fitted on at most so many labelled rows, the lowest by a hash of the id.
@@ -30,7 +30,8 @@ LEXICON_TERMS = 3_000
 #: Least log-likelihood ratio of a term (toxic against other texts).
 EVIDENCE = 24.0
 WINDOW = 6
-STATES = 200_000
+STATES = 50_000
+_SLICE_BYTES = 1 << 22
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words next to a hit that mark it as reported speech. Fixed values.
 REPORTING = frozenset((
@@ -189,15 +190,17 @@ class Model:
 
 
 def _suspects(texts: pa.Array, hit) -> np.ndarray:
-    """Texts with a hit; each distinct chunk between spaces is looked at once per batch."""
-    texts = pc.fill_null(texts, "")
-    cut = pc.split_pattern(texts, " ")
-    bounds = np.asarray(cut.offsets, np.int64)
-    bounds = bounds - bounds[0]
-    coded = cut.flatten().dictionary_encode()
-    marks = np.fromiter(map(hit, coded.dictionary.to_pylist()), bool, len(coded.dictionary))
-    total = np.concatenate([[0], np.cumsum(marks[np.asarray(coded.indices)])])
-    return total[bounds[1:]] > total[bounds[:-1]]
+    """Texts with a hit; each distinct chunk between spaces is looked at once per slice of a batch."""
+    found = [np.zeros(0, bool)]
+    for low, high, _, _ in text_slices(texts, _SLICE_BYTES):
+        cut = pc.split_pattern(pc.fill_null(texts.slice(low, high - low), ""), " ")
+        bounds = np.asarray(cut.offsets, np.int64)
+        coded = cut.flatten().dictionary_encode()
+        marks = np.fromiter(map(hit, coded.dictionary.to_pylist()), bool, len(coded.dictionary))
+        total = np.concatenate([[0], np.cumsum(marks[np.asarray(coded.indices)], dtype=np.int32)])
+        bounds = bounds - bounds[0]
+        found.append(total[bounds[1:]] > total[bounds[:-1]])
+    return np.concatenate(found)
 
 
 def _chunk_test(model: Model):
