@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 from tablewise.llm.common import flat
 
-REMEMBER = 400_000
+REMEMBER = 250_000
 _PART_BYTES = 1 << 22
 #: Pieces that begin with a blank of any kind, or with nothing.
 _UNSAFE = re.compile("[\x00-\x20\x7f-\xa0 ᠎ -⁯　﻿]|$")
@@ -48,13 +48,13 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.lettered = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.model._resize_cache(0)  # pieces come once
         # For strings of letters and single spaces, cutting before the spaces is all there is to do.
-        self.lettered.pre_tokenizer = pre_tokenizers.Sequence([
+        self.lettered = pre_tokenizers.Sequence([
             pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        for t in (self.tokenizer, self.lettered):
-            t.encode_special_tokens = True
-            t.model._resize_cache(0)  # pieces come once
+        self.usual = self.tokenizer.pre_tokenizer
         vocab = self.tokenizer.get_vocab()
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes behind each id
         for token, i in vocab.items():
@@ -95,12 +95,15 @@ class Encoder:
         self.parts, self.ends = [pool], [ends]
         return pool, ends
 
-    def _encode_pieces(self, tokenizer, names: list[str]) -> None:
+    def _encode_pieces(self, cutter, names: list[str]) -> None:
         """Pieces behind a space each, joined into long strings; the bytes behind the ids part them again."""
         if not names:
             return
         joined = [" " + " ".join(names[i:i + 1000]) for i in range(0, len(names), 1000)]
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        self.tokenizer.pre_tokenizer = cutter
+        found = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        self.tokenizer.pre_tokenizer = self.usual
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in found])
         ends = np.cumsum(pc.binary_length(pa.array(names, pa.string())).to_numpy().astype(np.int64) + 1)
         self._add(names, ids, np.diff(np.searchsorted(np.cumsum(self.width[ids]), ends) + 1, prepend=0))
 
@@ -111,7 +114,7 @@ class Encoder:
         plain = dict.fromkeys(p for p, w in zip(pieces, words) if w and p[-1] not in ".,")
         plain |= dict.fromkeys(p[:-1] for p in marked if p[:-1] not in self.place)
         self._encode_pieces(self.lettered, list(plain))
-        self._encode_pieces(self.tokenizer, [p for p, w in zip(pieces, words) if not w])
+        self._encode_pieces(self.usual, [p for p, w in zip(pieces, words) if not w])
         if marked:
             pool, ends = self._join()
             at = np.fromiter((self.place[p[:-1]] for p in marked), np.int64, len(marked))

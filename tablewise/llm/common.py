@@ -6,6 +6,7 @@ size, so memory does not depend on the number of rows in a batch; one text is ne
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -172,11 +173,20 @@ def map_texts(df: DataFrame, added: str, work: Callable, column: str = "text") -
             values = [pa.array(v, k) if not isinstance(v, pa.Array) else v
                       for v, k in zip(make(batch.column(batch.schema.names.index(column))), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *values], names=[*batch.schema.names, *new.names])
-        pa.default_memory_pool().release_unused()  # a worker is kept for other tasks
+        release()
 
     return kept.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give freed memory back at the end of a task: the worker process stays for other tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def whole_groups(batches, key: str) -> Iterator[pa.Table]:
     """Regroup a stream sorted by ``key`` so that no group is cut between two tables."""
     held: list[pa.RecordBatch] = []

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewise.llm.common import (
-    LOWER, batch_of, combine, documents, find_words, list_array, mix, parallelism, span_hashes, text_slices,
+    LOWER, batch_of, combine, documents, find_words, list_array, mix, parallelism, release, span_hashes, text_slices,
     whole_groups, windows,
 )
 from tablewise.llm.graph import components
@@ -110,6 +110,7 @@ def _sign(docs: DataFrame, size: int) -> DataFrame:
                 lengths[held] = BANDS
                 yield batch_of(schema, batch.column(0).slice(low, rows), n, *sums,
                                list_array(keys.ravel(), lengths, pa.int64()))
+        release()
 
     return documents(docs).mapInArrow(run, _SIGNED)
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewise.llm.bpe import default_path, encoder
-from tablewise.llm.common import batch_of, documents, text_slices
+from tablewise.llm.common import batch_of, documents, release, text_slices
 from tablewise.session import materialize
 
 CAPACITY = 1024
@@ -160,6 +160,7 @@ def tokenize(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None,
                                np.full(len(row), task, np.int32), local)
                 for k in range(0, len(row), _BATCH_PIECES):
                     yield out.slice(k, _BATCH_PIECES)
+        release()
 
     return documents(docs).mapInArrow(run, PIECES)
 
