@@ -55,14 +55,23 @@ def _order(df: DataFrame) -> Column:
     return F.struct("change_no", "_row") if "change_no" in df.columns else F.struct("_row")
 
 
+def _hits(keyed: DataFrame, batch: DataFrame) -> DataFrame:
+    """Keys of the batch that the table owns.
+
+    The batch stands on the side that can be broadcast: while it is small the table is scanned once
+    and not shuffled, and what comes out is no larger than the batch.
+    """
+    return materialize(keyed.select("_k").join(batch.select("_k"), "_k", "left_semi").distinct(), "hits")
+
+
 def create_rows(table: DataFrame, new: DataFrame, entity: Entity) -> tuple[DataFrame, DataFrame]:
     """Append rows with a free key; a taken key, in the table or the batch, is a conflict."""
     sound, bad = check_rows(new, entity)
     first = materialize(sound.groupBy("_k").agg(
         F.min_by("_row", _order(sound)).alias("_row"), F.count(F.lit(1)).alias("n")), "creates")
-    owned = _keyed(table, entity.key_field).select("_k")
-    fresh = first.join(owned, "_k", "left_anti")
-    taken = first.join(owned, "_k", "left_semi")
+    hits = _hits(_keyed(table, entity.key_field), first)
+    fresh = first.join(hits, "_k", "left_anti")
+    taken = first.join(hits, "_k", "left_semi")
     conflict = F.lit("key exists").alias("cause")
     rejects = (
         bad.unionAll(taken.select("_k", conflict, "n"))
@@ -86,7 +95,7 @@ def update_rows(table: DataFrame, changed: DataFrame, entity: Entity) -> tuple[D
     merged = current.join(last, "_k", "left").select(*[
         F.when(F.col("_row").isNotNull(), F.col(f"_row.{n}")).otherwise(F.col(n)).alias(n) for n in names
     ])
-    absent = last.join(current.select("_k"), "_k", "left_anti")
+    absent = last.join(_hits(current, last), "_k", "left_anti")
     return merged, rejects.unionAll(absent.select("_k", F.lit("not found").alias("cause"), "n"))
 
 
@@ -96,7 +105,7 @@ def delete_rows(table: DataFrame, keys: DataFrame, entity: Entity) -> tuple[Data
         F.count(F.lit(1)).alias("n")), "deletes")
     current = _keyed(table, entity.key_field)
     left = current.join(wanted, "_k", "left_anti").drop("_k")
-    owned = current.select("_k")
+    owned = _hits(current, wanted)
     absent = wanted.join(owned, "_k", "left_anti").select(
         F.col("_k").alias("key"), F.lit("not found").alias("cause"), F.col("n").alias("rows"))
     again = wanted.filter(F.col("n") > 1).join(owned, "_k", "left_semi").select(

@@ -76,11 +76,14 @@ def fill_merges(grid: DataFrame, merges: DataFrame) -> DataFrame:
     """Copy the anchor of each vertical merge into the empty cells it covers.
 
     ``merges``: ``(source_file, sheet, min_row, max_row, col)``, all counted from 0.
-    Line breaks inside the anchor are dropped, on the anchor itself as well.
+    Line breaks inside the anchor are dropped, on the anchor itself as well. Where merges overlap,
+    the one that starts first fills the cell; rows behind the sheet's last one do not count.
     """
     at = [*TABLE, "row_no"]
+    ends = materialize(grid.groupBy(*TABLE).agg(F.max("row_no").alias("end")), "ends")
     anchors = (
-        merges.filter(F.col("max_row") > F.col("min_row"))
+        merges.filter(F.col("max_row") > F.col("min_row")).join(ends, list(TABLE))
+        .withColumn("max_row", F.least("max_row", "end"))
         .withColumn("row_no", F.col("min_row").cast("bigint")).join(grid, at)
         .withColumn("raw", F.get("cells", F.col("col").cast("int")))
         .withColumn("label", text.strip(F.regexp_replace("raw", r"(?U)\s*[\r\n]+\s*", "")))
@@ -90,6 +93,8 @@ def fill_merges(grid: DataFrame, merges: DataFrame) -> DataFrame:
         *TABLE, F.explode(F.sequence(F.col("min_row").cast("bigint"), F.col("max_row").cast("bigint"))).alias("row_no"),
         F.col("col").cast("int").alias("col"), "label", "min_row",
     )
+    covered = covered.groupBy(*at, "col").agg(F.min(F.struct("min_row", "label")).alias("m")).select(
+        *at, "col", "m.label", "m.min_row")
     per_row = covered.groupBy(*at).agg(
         F.max("col").alias("last"),
         F.map_from_entries(F.collect_list(F.struct("col", "label"))).alias("fill"),
@@ -323,13 +328,15 @@ def too_wide(widths: DataFrame, limit: int = V.MAX_COLUMNS) -> DataFrame:
 
 def clean_grid(
     grid: DataFrame, merges: DataFrame | None = None, spans: DataFrame | None = None,
-    formulas: DataFrame | None = None,
+    formulas: DataFrame | None = None, column_limit: int | None = None,
 ) -> dict[str, DataFrame]:
-    """Everything about a grid: records, columns, report and refused sheets."""
+    """Everything about a grid: records, columns and report.
+
+    With ``column_limit`` the sheets above it are listed as refused; they are cleaned all the same.
+    """
     grid = fill_merges(grid, merges) if merges is not None else grid
     widths = sheet_widths(grid)
-    fits = widths.filter(F.col("width") <= V.MAX_COLUMNS)
-    headers = detect_headers(grid, fits)
+    headers = detect_headers(grid, widths)
     columns = header_columns(headers, spans)
     judged = judge_rows(grid, headers, widths, columns)
     missing = missing_formulas(grid, formulas) if formulas is not None else None
@@ -338,6 +345,6 @@ def clean_grid(
         "rows": records_of(judged),
         "columns": columns,
         "headers": headers,
-        "report": clean_report(judged, fits, headers, columns, missing),
-        "refused": too_wide(widths),
+        "report": clean_report(judged, widths, headers, columns, missing),
+        "refused": too_wide(widths, column_limit) if column_limit else too_wide(widths).limit(0),
     }

@@ -296,7 +296,9 @@ def link_key() -> Column:
 
 
 def apply_decisions(links: DataFrame, decisions: DataFrame) -> dict[str, DataFrame]:
-    """Accept, reject or correct links; open and unknown decisions are listed.
+    """Accept, reject or correct links; open, unknown and invalid decisions are listed.
+
+    Only ``accepted`` and ``rejected`` are decisions; anything else, null too, is invalid.
 
     ``links`` carry ``(source_file, key, on_from, on_to)``; ``decisions`` carry
     ``(source_file, key, decision, on_from, on_to)``.
@@ -304,7 +306,8 @@ def apply_decisions(links: DataFrame, decisions: DataFrame) -> dict[str, DataFra
     key = ["source_file", "key"]
     d = decisions.select(*key, "decision", F.col("on_from").alias("d_from"), F.col("on_to").alias("d_to"))
     joined = links.join(d, key)
-    kept = joined.filter(F.col("decision") != "rejected")
+    kept = joined.filter(F.col("decision") == "accepted")
+    valid = F.coalesce(F.col("decision").isin("accepted", "rejected"), F.lit(False))
     new = {
         "on_from": F.coalesce(F.nullif(F.col("d_from"), F.lit("")), "on_from").alias("on_from"),
         "on_to": F.coalesce(F.nullif(F.col("d_to"), F.lit("")), "on_to").alias("on_to"),
@@ -314,4 +317,5 @@ def apply_decisions(links: DataFrame, decisions: DataFrame) -> dict[str, DataFra
         "rejected": joined.filter(F.col("decision") == "rejected").select(*key),
         "missing": links.join(decisions, key, "left_anti").select(*key),
         "unknown": decisions.join(links, key, "left_anti").select(*key),
+        "invalid": joined.filter(~valid).select(*key, "decision"),
     }

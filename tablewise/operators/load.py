@@ -136,12 +136,13 @@ def widened_labels(declared: DataFrame, observed: DataFrame) -> DataFrame:
     fresh = observed.join(declared.select(*key, "label"), [*key, "label"], "left_anti").groupBy(
         *key, "label").agg(F.min("first_row").alias("at"))
     order = Window.partitionBy(*key).orderBy("at", "label")
+    counts = declared.select(*key).union(fresh.select(*key)).groupBy(*key).agg(F.count(F.lit(1)).alias("label_count"))
     fresh = fresh.withColumn("rank", F.row_number().over(order)).filter(
         F.col("rank") <= V.ENUM_MAX_DISTINCT + 1)
     both = declared.select(*key, F.lit(0).alias("late"), F.col("ord").cast("bigint").alias("at"), "label").unionByName(
         fresh.select(*key, F.lit(1).alias("late"), F.col("rank").cast("bigint").alias("at"), "label"))
-    merged = both.groupBy(*key).agg(F.count(F.lit(1)).alias("label_count"), F.transform(
-        F.array_sort(F.collect_list(F.struct("late", "at", "label"))), lambda s: s["label"]).alias("labels"))
+    merged = both.groupBy(*key).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("late", "at", "label"))), lambda s: s["label"]).alias("labels")).join(counts, key)
     wide = F.col("label_count") > V.ENUM_MAX_DISTINCT
     return merged.select(
         *key, F.when(wide, "string").otherwise("enum").alias("type"), "label_count",

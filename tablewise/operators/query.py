@@ -136,7 +136,7 @@ def page_rows(df: DataFrame, order, offset: int, size: int, deep: int = DEEP_PAG
         stored.filter(F.col("_part").isin(*[p for p, _ in picks]))
         .withColumn("_rank", rank)
         .filter((F.col("_rank") > offset) & (F.col("_rank") <= offset + size))
-        .drop("_part", "_rank")
+        .orderBy("_rank").drop("_part", "_rank")
     )
 
 
@@ -201,12 +201,14 @@ def _match_key(df: DataFrame, name: str, other: DataFrame, other_name: str) -> C
 def related_rows(
     parent: DataFrame, child: DataFrame, on_from: str, on_to: str, parent_columns=None
 ) -> DataFrame:
-    """Every child row with the columns of its parent (equality as text)."""
+    """Every child row with the columns of its parent (equality as text).
+
+    A parent's column that the child has as well comes as ``parent_<name>``.
+    """
     keep = list(parent_columns or parent.columns)
-    left = parent.select(_match_key(parent, on_from, child, on_to).alias("_k"), *keep)
+    named = [F.col(c).alias(f"parent_{c}" if c in child.columns else c) for c in keep]
+    left = parent.select(_match_key(parent, on_from, child, on_to).alias("_k"), *named)
     right = child.withColumn("_k", _match_key(child, on_to, parent, on_from))
-    clash = set(keep) & set(child.columns)
-    right = right.drop(*clash)
     return right.filter(F.col("_k").isNotNull()).join(
         left.filter(F.col("_k").isNotNull()), "_k"
     ).drop("_k")

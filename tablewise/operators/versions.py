@@ -9,7 +9,7 @@ the number of folders does not grow with the number of apps.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewise.operators.query import Entity, Field
@@ -66,20 +66,23 @@ def next_versions(versions: DataFrame, new: DataFrame) -> DataFrame:
     """New snapshots numbered after the current version of their app.
 
     ``new (app_key, snapshot, patch, operator, source_request)``; a malformed app key raises
-    when the rows are read.
+    when the rows are read. Several snapshots of an app get numbers one after the other, in the
+    order of their request and patch.
     """
     last = versions.groupBy("app_key").agg(F.max("version").alias("last"))
     key = F.when(F.col("app_key").rlike(APP_KEY), F.col("app_key")).otherwise(
         F.raise_error(F.concat(F.lit("bad app key: "), F.coalesce("app_key", F.lit("null")))))
+    place = Window.partitionBy("app_key").orderBy("source_request", F.col("patch").cast("string"))
     return new.join(last, "app_key", "left").select(
-        key.alias("app_key"), (F.coalesce("last", F.lit(0)) + 1).cast("bigint").alias("version"),
+        key.alias("app_key"), (F.coalesce("last", F.lit(0)) + F.row_number().over(place)).cast("bigint").alias("version"),
         "snapshot", "patch", "operator", "source_request",
         F.lit("passed").alias("validation_status"), F.current_timestamp().alias("created_at"))
 
 
 def append_versions(versions_path: str, rows: DataFrame) -> None:
     placed = rows.withColumn("bucket", bucket_of(F.col("app_key")))
-    placed.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(versions_path)
+    spread = F.pmod(F.xxhash64("app_key", "version"), F.lit(16))  # an app with most versions is not one task
+    placed.repartition("bucket", spread).write.mode("append").partitionBy("bucket").parquet(versions_path)
 
 
 def version_conflicts(versions: DataFrame) -> DataFrame:
@@ -103,7 +106,7 @@ def restore(versions: DataFrame, targets: DataFrame, operator: str = "local") ->
         .when(F.col("wanted") == F.col("now"), "already current")
         .when(F.col("found").isNull(), "version not found"))
     rows = placed.filter(F.col("cause").isNull()).select(
-        "app_key", (F.col("now") + 1).alias("version"), "snapshot", F.lit(None).cast("string").alias("patch"),
+        "app_key", (F.col("now") + F.row_number().over(Window.partitionBy("app_key").orderBy("wanted"))).alias("version"), "snapshot", F.lit(None).cast("string").alias("patch"),
         F.lit(operator).alias("operator"),
         F.concat(F.lit("restored from version "), F.col("wanted").cast("string")).alias("source_request"),
         F.lit("passed").alias("validation_status"), F.current_timestamp().alias("created_at"))

@@ -32,8 +32,9 @@ class Loaded:
     rejects: dict[str, int]
 
 
-def _items(df: DataFrame, column: str, limit: int = 100) -> list[str]:
-    return [r[0] for r in df.select(column).orderBy(column).limit(limit).collect()]
+def _items(df: DataFrame, column: str) -> list[str]:
+    """All items of one workbook's list."""
+    return [r[0] for r in df.select(column).orderBy(column).collect()]
 
 
 def catalog_entities(cat: dict[str, DataFrame]) -> list[tuple[str, Entity, dict[str, int]]]:
@@ -83,7 +84,7 @@ def confirm(
     book = F.col("source_file") == source_file
     decisions = decisions.filter(book)
     # Catalog-sized tables that several checks read are stored once.
-    keep = lambda df, name: materialize(df.coalesce(1), name)
+    keep = lambda df, name: materialize(df, name)
     plans, keys = corpus.plans.filter(book), keep(corpus.keys.filter(book), "keys")
     named = keep(catalog.build_links(corpus.links.filter(book), plans, keys), "named")
     decided = links.apply_decisions(named, decisions)
@@ -91,6 +92,8 @@ def confirm(
         raise ConfirmError("links without a decision", [f"relation:{k}" for k in missing])
     if unknown := _items(decided["unknown"], "key"):
         raise ConfirmError("decisions on unknown links", unknown)
+    if invalid := _items(decided["invalid"], "key"):
+        raise ConfirmError("decisions that are neither accepted nor rejected", invalid)
     # Column overrides are given as field keys; the catalog is rebuilt around the kept links.
     pos = keys.select("source_file", F.col("sheet").alias("child"), F.col("field_key").alias("on_to"),
                             F.col("pos").alias("new_pos"))
@@ -104,7 +107,7 @@ def confirm(
     }
     errors = catalog.catalog_errors(
         cat["entities"].withColumnRenamed("key_field_key", "key_field"), fields, kept, cat["metrics"])
-    if broken := [f"{r['item']}: {r['error']}" for r in errors.limit(100).collect()]:
+    if broken := [f"{r['item']}: {r['error']}" for r in errors.collect()]:
         raise ConfirmError("the catalog is not sound", broken)
     queue = catalog.review_queue(
         cat["entities"], fields, cat["metrics"], kept, acknowledged, kept.select("source_file", "key"))

@@ -63,7 +63,7 @@ def delimiter(body: str) -> str:
         elif pos + len(piece) < len(body):
             lines = body[pos:].splitlines(keepends=True)[:10]
             piece = "".join(lines)
-        head += [line for line in lines if line.strip()]
+        head += [line.strip() for line in lines if line.strip()]
         pos += len(piece)
     sample = "\n".join(head[:10])
     return max(_DELIMITERS, key=sample.count)

@@ -91,7 +91,7 @@ def coerce_missing(spark, sf):
 fresh AS (SELECT entity, label, min(first_row) AS first_row FROM o WHERE label NOT IN ('L0', 'L1') GROUP BY ALL),
 ents AS (SELECT DISTINCT entity FROM o),
 merged AS (SELECT entity, 2 + count(label) AS label_count, concat_ws('|', 'L0|L1', string_agg(label, '|' ORDER BY first_row)) AS labels FROM ents LEFT JOIN fresh USING (entity) GROUP BY entity)
-SELECT entity, CASE WHEN label_count > 20 THEN 'string' ELSE 'enum' END AS type, least(label_count, 21) AS label_count,
+SELECT entity, CASE WHEN label_count > 20 THEN 'string' ELSE 'enum' END AS type, label_count,
   CASE WHEN label_count > 20 THEN '' ELSE labels END AS labels FROM merged""")
 def widen_enums(spark, sf):
     observed = fx.read(spark, sf, "orders").select(
@@ -100,7 +100,7 @@ def widen_enums(spark, sf):
     declared = observed.select("entity", "field").distinct().select(
         "entity", "field", F.posexplode(F.array(F.lit("L0"), F.lit("L1"))).alias("ord", "label"))
     wide = load.widened_labels(declared, observed)
-    return wide.select("entity", "type", F.least("label_count", F.lit(21)).alias("label_count"),
+    return wide.select("entity", "type", "label_count",
                        F.coalesce(F.array_join("labels", "|"), F.lit("")).alias("labels"))
 
 

@@ -49,3 +49,17 @@ def test_windows_never_span_a_table(spark):
 def test_no_cross_joins(spark, sf_dir, name):
     text = plan(all_queries()[name](spark, sf_dir))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_small_batches_do_not_shuffle_the_table(spark):
+    from tablewise.operators import changes
+    from tablewise.operators.query import Entity, Field
+
+    entity = Entity("e", "k", (Field("k", "string", "identifier"), Field("v", "string", "label")))
+    big = spark.range(200_000).selectExpr("cast(id as string) k", "repeat('v', 60) v")
+    few = spark.createDataFrame([("7", "x"), ("new", "y")], "k string, v string")
+    frames = [*changes.create_rows(big, few, entity), *changes.update_rows(big, few, entity),
+              *changes.delete_rows(big, few.select(F.col("k").alias("key")), entity)]
+    for df in frames:
+        assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [df.count() for df in frames] == [200_001, 1, 200_000, 1, 199_999, 1]

@@ -78,7 +78,7 @@ def test_sort_and_page(spark):
 def test_deep_pages_equal_plain_ones(spark, offset):
     df = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") * 7919 % 13).alias("v"))
     order = q.sort_columns(df, [("v", "desc")], "k")
-    deep = [tuple(r) for r in q.page_rows(df, order, offset, 20, deep=0).orderBy(*order).collect()]
+    deep = [tuple(r) for r in q.page_rows(df.repartition(16), order, offset, 20, deep=0).collect()]
     want = sorted(((k, k * 7919 % 13) for k in range(1000)), key=lambda r: (-r[1], r[0]))[offset:offset + 20]
     assert deep == want
 
@@ -89,6 +89,22 @@ def test_related_rows_ignore_blanks_and_types(spark):
     assert [(r["no"], r["name"]) for r in q.related_rows(parent, child, "id", "pid", ["name"]).collect()] == [(10, "a")]
 
 
+def test_related_rows_keep_both_columns(spark):
+    parent = spark.createDataFrame([("1", 5)], "id string, amount int")
+    child = spark.createDataFrame([(1, 77)], "pid bigint, amount int")
+    row = q.related_rows(parent, child, "id", "pid").first()
+    assert (row["amount"], row["parent_amount"], row["id"]) == (77, 5, "1")
+
+
+def test_snapshots_of_one_batch_get_following_numbers(spark):
+    old = spark.createDataFrame([("a", 3)], "app_key string, version bigint").select(
+        "app_key", "version", F.lit("s").alias("snapshot"))
+    new = spark.createDataFrame([("a", "x", None, "o", "r2"), ("a", "y", None, "o", "r1"), ("b", "z", None, "o", "r")],
+                                "app_key string, snapshot string, patch string, operator string, source_request string")
+    got = {(r["app_key"], r["version"], r["snapshot"]) for r in versions.next_versions(old, new).collect()}
+    assert got == {("a", 4, "y"), ("a", 5, "x"), ("b", 1, "z")}
+
+
 def test_metrics_without_numbers(spark):
     df = spark.createDataFrame([(None, "x"), (float("nan"), "y")], "amount double, name string")
     values = {r["metric"]: r["value"] for r in q.metric_values(df, [q.Metric("n", "count"), q.Metric("s", "sum", "amount"), q.Metric("m", "max", "amount")]).collect()}

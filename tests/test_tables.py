@@ -77,6 +77,25 @@ def test_read_files(spark):
 def test_delimiter_ties_go_to_the_earlier():
     assert g.delimiter("a,b\tc\n") == "," and g.delimiter("a;b;c\n1,2\n") == ";" and g.delimiter("abc") == ","
     assert g.delimiter("\n" * 70000 + "a;b\n") == ";"
+    assert g.delimiter("\ta,b\t") == "," and g.delimiter("a\t\t\t\nb,c") == ","
+
+
+def test_overlapping_and_overlong_merges(spark):
+    grid = rows_of(spark, {"s": [["a", "x"], [None, "y"], ["b", None], [None, None]]})
+    merges = spark.createDataFrame([("b", "s", 0, 2, 0), ("b", "s", 2, 10**12, 0)],
+                                   "source_file string, sheet string, min_row bigint, max_row bigint, col int")
+    filled = {r["row_no"]: r["cells"][0] for r in clean.fill_merges(grid, merges).collect()}
+    assert filled == {0: "a", 1: "a", 2: "b", 3: "b"}
+
+
+def test_only_two_words_are_decisions(spark):
+    found = spark.createDataFrame([("b", k, "f", "t") for k in "abcd"], "source_file string, key string, on_from string, on_to string")
+    decisions = spark.createDataFrame([("b", "a", "accepted"), ("b", "b", None), ("b", "c", "maybe"), ("b", "d", "rejected")],
+                                      "source_file string, key string, decision string").withColumns(
+        {"on_from": F.lit(""), "on_to": F.lit("")})
+    done = links.apply_decisions(found, decisions)
+    assert {n: sorted(r["key"] for r in df.collect()) for n, df in done.items()} == {
+        "kept": ["a"], "rejected": ["d"], "missing": [], "unknown": [], "invalid": ["b", "c"]}
 
 
 def test_large_plain_files_keep_line_order(spark, tmp_path):
