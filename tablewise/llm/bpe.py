@@ -18,14 +18,14 @@ import pyarrow.compute as pc
 
 from tablewise.llm.common import flat
 
-REMEMBER = 250_000
-_PART_BYTES = 1 << 22
+#: Pieces that a worker remembers and bytes of text that it cuts at once: speed against memory, never results.
+REMEMBER, PART_BYTES = 600_000, 1 << 23
 #: Pieces that begin with a blank of any kind, or with nothing.
 _UNSAFE = re.compile("[\x00-\x20\x7f-\xa0 ᠎ -⁯　﻿]|$")
 #: Letters whose class no Unicode version disputes, with a stop or comma behind them or not.
 _LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+[.,]?$"
 
-_ENCODERS: dict[str, "Encoder"] = {}
+_ENCODERS: dict[tuple, "Encoder"] = {}
 
 
 def default_path() -> str:
@@ -34,17 +34,19 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoder(path: str) -> "Encoder":
+def encoder(path: str, remember: int = REMEMBER, part_bytes: int = PART_BYTES) -> "Encoder":
     """One encoder per Python worker and vocabulary, kept between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    key = path, remember, part_bytes
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
 
 
 class Encoder:
     """Strings of special tokens in a text are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = REMEMBER, part_bytes: int = PART_BYTES):
+        self.remember, self.part_bytes = remember, part_bytes
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -144,7 +146,7 @@ class Encoder:
         sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)
         while low < len(texts):
             base = sizes[low - 1] if low else 0
-            high = max(low + 1, int(np.searchsorted(sizes, base + _PART_BYTES, "right")))
+            high = max(low + 1, int(np.searchsorted(sizes, base + self.part_bytes, "right")))
             yield self._encode(texts.slice(low, high - low), spans)
             low = high
 
@@ -155,7 +157,7 @@ class Encoder:
         coded = cut.flatten().dictionary_encode()
         code, pieces = np.asarray(coded.indices), coded.dictionary.to_pylist()
         unsafe = self._unsafe(coded.dictionary, pieces)
-        if self.known > REMEMBER:
+        if self.known > self.remember:
             self._reset()
         # A text's first piece has no space in front and is encoded by itself, as are unsafe texts.
         heads = bounds[:-1]

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewise.llm.bpe import default_path, encoder
+from tablewise.llm.bpe import PART_BYTES, REMEMBER, default_path, encoder
 from tablewise.llm.common import batch_of, documents, release, text_slices
 from tablewise.session import materialize
 
@@ -115,7 +115,8 @@ def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple
     return runs
 
 
-def tokenize(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID) -> DataFrame:
+def tokenize(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID,
+             remember: int = REMEMBER, part_bytes: int = PART_BYTES) -> DataFrame:
     """Pieces of all documents with their ids (little-endian unsigned 32-bit) and checksum.
 
     Each document's ids end with ``end_id``. A longer one is cut into pieces of ``capacity`` of
@@ -128,11 +129,11 @@ def tokenize(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None,
     schema = to_arrow_schema(_parse_datatype_string(PIECES))
 
     def run(batches):
-        enc, task = encoder(path), TaskContext.get().partitionId()
+        enc, task = encoder(path, remember, part_bytes), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             texts = batch.column(1)
-            for low, high, _, _ in text_slices(texts, 1 << 22):
+            for low, high, _, _ in text_slices(texts, part_bytes):
                 ids, counts = enc.encode(texts.slice(low, high - low))
                 ends = np.cumsum(counts)
                 whole = np.insert(ids, ends, end_id).astype("<u4")
@@ -186,13 +187,14 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         (F.col("bin") + F.col("_number") - F.col("first")).alias("sequence_id"), F.col("_offset").alias("offset"))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID,
+         remember: int = REMEMBER, part_bytes: int = PART_BYTES) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset)`` of all documents.
 
     A null text is an empty one: a piece of the end id alone. Repeated rows and rows without a
     doc_id are packed like any other; an empty table gives no rows.
     """
-    return place(materialize(tokenize(docs, capacity, path, end_id), "pieces"), capacity)
+    return place(materialize(tokenize(docs, capacity, path, end_id, remember, part_bytes), "pieces"), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

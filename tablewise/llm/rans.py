@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewise.llm.bpe import default_path, encoder
+from tablewise.llm.bpe import PART_BYTES, default_path, encoder
 from tablewise.llm.common import documents, filesystem, new_folder, parallelism, text_slices
 from tablewise.session import materialize
 
@@ -185,7 +185,7 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int
 
         for batch in batches:
             texts = batch.column(1)
-            for low, high, _, _ in text_slices(texts, 1 << 22):
+            for low, high, _, _ in text_slices(texts, PART_BYTES):
                 ids, counts = enc.encode(texts.slice(low, high - low))
                 held.append(np.insert(ids, np.cumsum(counts), end_id))
                 lengths.append(counts + 1)
