@@ -97,6 +97,21 @@ class Encoder:
         self.parts, self.ends = [pool], [ends]
         return pool, ends
 
+    def _copy(self, at: np.ndarray, more: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known pieces, one after the other with room for ``more`` behind each, and their counts."""
+        pool, ends = self._join()
+        n = ends[at + 1] - ends[at] + more
+        take = np.arange(n.sum()) + np.repeat(ends[at] - (np.cumsum(n) - n), n)
+        return pool[np.minimum(take, len(pool) - 1)], n
+
+    def _forget(self, pieces: list[str], at: np.ndarray) -> None:
+        """Only pieces that the batch at hand uses again are remembered; their new entries replace those in ``at``."""
+        kept = np.flatnonzero(at >= 0)
+        ids, n = self._copy(at[kept])
+        self._reset()
+        self._add([pieces[i] for i in kept], ids, n)
+        at[kept] = np.arange(len(kept))
+
     def _encode_pieces(self, cutter, names: list[str]) -> None:
         """Pieces behind a space each, joined into long strings; the bytes behind the ids part them again."""
         if not names:
@@ -118,11 +133,7 @@ class Encoder:
         self._encode_pieces(self.lettered, list(plain))
         self._encode_pieces(self.usual, [p for p, w in zip(pieces, words) if not w])
         if marked:
-            pool, ends = self._join()
-            at = np.fromiter((self.place[p[:-1]] for p in marked), np.int64, len(marked))
-            n = ends[at + 1] - ends[at] + 1
-            take = np.arange(n.sum()) + np.repeat(ends[at] - (np.cumsum(n) - n), n)
-            ids = pool[np.minimum(take, len(pool) - 1)]
+            ids, n = self._copy(np.fromiter((self.place[p[:-1]] for p in marked), np.int64, len(marked)), 1)
             ids[np.cumsum(n) - 1] = [self.marks[p[-1]] for p in marked]
             self._add(marked, ids, n)
 
@@ -155,32 +166,30 @@ class Encoder:
         bounds = np.asarray(cut.offsets, np.int64)
         bounds = bounds - bounds[0]
         coded = cut.flatten().dictionary_encode()
-        code, pieces = np.asarray(coded.indices), coded.dictionary.to_pylist()
+        code, pieces = np.asarray(coded.indices), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         unsafe = self._unsafe(coded.dictionary, pieces)
-        if self.known > self.remember:
-            self._reset()
         # A text's first piece has no space in front and is encoded by itself, as are unsafe texts.
         heads = bounds[:-1]
         odd = unsafe[code]
         odd[heads] = False
         whole = np.add.reduceat(odd, heads) > 0 if len(heads) else np.zeros(0, bool)
         at = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
+        if self.known > self.remember:
+            self._forget(pieces, at)
         new = np.flatnonzero((at < 0) & ~unsafe)
         if len(new):
             unknown = [pieces[i] for i in new]
             self._learn(unknown)
             at[new] = np.fromiter(map(self.place.__getitem__, unknown), np.int64, len(new))
         pool, ends = self._join()
-        at = at[code]
         alone = [t if w else h for t, w, h in zip(
             texts.to_pylist() if whole.any() else [""] * len(heads), whole, [pieces[c] for c in code[heads]])]
         single = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
         own = np.concatenate(single) if single else np.zeros(0, np.uint32)
         own_n = np.fromiter(map(len, single), np.int64, len(single))
         source = np.concatenate([pool, own])
-        begin, length = np.zeros(len(code), np.int32), np.zeros(len(code), np.int32)
-        good = at >= 0
-        begin[good], length[good] = ends[at[good]], ends[at[good] + 1] - ends[at[good]]
+        # Unknown pieces, at -1, stand at heads or in unsafe texts only: both are set below.
+        begin, length = ends[at].astype(np.int32)[code], (ends[at + 1] - ends[at]).astype(np.int32)[code]
         if whole.any():
             length[np.repeat(whole, np.diff(bounds))] = 0
         begin[heads], length[heads] = len(pool) + np.cumsum(own_n) - own_n, own_n
