@@ -33,6 +33,23 @@ def sample_ratios(sample: DataFrame) -> DataFrame:
     )
 
 
+def value_ratios(counts: DataFrame) -> DataFrame:
+    """The same facts as ``sample_ratios`` over all rows: each distinct value is tested once and weighed by its count."""
+    value, n = F.col("value"), F.col("n")
+    real = F.col("real")
+    filled = F.sum(F.when(real.isNotNull(), n))
+    share = lambda test: F.coalesce(F.sum(F.when(real.isNotNull() & test(real), n)), F.lit(0)) / filled
+    mean = lambda c: F.coalesce(
+        F.sum(F.length(c) * n) / F.sum(F.when(c.isNotNull(), n)), F.lit(0.0))
+    return counts.withColumn("real", F.when(~text.is_missing(value), value)).groupBy(*COLUMN).agg(
+        F.coalesce(filled, F.lit(0)).alias("sample_values"),
+        share(text.is_date).alias("r_date"), share(text.is_phone).alias("r_phone"),
+        share(text.is_money).alias("r_money"), share(text.is_number).alias("r_number"),
+        F.coalesce(F.max(F.length("real")), F.lit(0)).alias("max_chars"),
+        mean(real).alias("avg_chars"), mean(value).alias("raw_avg_chars"),
+    )
+
+
 def _guess(kind: str, confidence: Column, *signals) -> Column:
     return F.struct(
         F.lit(kind).alias("type"), confidence.cast("double").alias("confidence"),
@@ -114,13 +131,17 @@ def _decide(df: DataFrame, verdict: Column) -> DataFrame:
     return df.select("*", F.inline_outer(F.array(verdict)))
 
 
-def infer_fields(columns: DataFrame, counts: DataFrame, sample: DataFrame) -> DataFrame:
-    """One row per column: statistics, type, role, confidences, signals, enum values."""
+def infer_fields(columns: DataFrame, counts: DataFrame, sample: DataFrame | None = None) -> DataFrame:
+    """One row per column: statistics, type, role, confidences, signals, enum values.
+
+    Formats are judged on all values, or on a sample of rows where one is given.
+    """
+    ratios = value_ratios(counts) if sample is None else sample_ratios(sample)
     key = list(COLUMN)
     facts = (
         columns.select(*COLUMN, "column")
         .join(column_facts(counts), key, "left")
-        .join(sample_ratios(sample), key, "left")
+        .join(ratios, key, "left")
         .join(value_sets(counts), key, "left")
         .fillna(0, ["total_count", "null_count", "non_null_count", "distinct_count", "sample_values",
                     "effective_distinct", "effective_filled"])

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.functions import vocab as V
 from tablewise.operators import catalog, infer, links, profile
 from tablewise.operators.clean import clean_grid
 from tablewise.operators.numbering import stride_sample
@@ -21,7 +20,7 @@ class Corpus:
     rows: DataFrame
     columns: DataFrame
     counts: DataFrame
-    sample: DataFrame
+    sample: DataFrame | None
     fields: DataFrame
     entities: DataFrame
     plans: DataFrame
@@ -45,19 +44,20 @@ class Corpus:
 
 
 def understand(
-    rows: DataFrame, columns: DataFrame, *, sample_size: int = V.SAMPLE_ROWS,
+    rows: DataFrame, columns: DataFrame, *, sample_size: int | None = None,
     field_hints: DataFrame | None = None, entity_hints: DataFrame | None = None,
     link_hints: DataFrame | None = None, store: bool = True, dense: bool = False,
 ) -> Corpus:
     """Profile, infer and link ``rows (table, row_no, cells)`` with ``columns (table, pos, column)``.
 
     The value counts feed profiles, inference and links. With ``store`` they and the
-    per-column results are written to the work folder, so the cells are read once. ``dense``
-    says that row numbers run 0, 1, 2 ... without gaps.
+    per-column results are written to the work folder, so the cells are read once. With a
+    ``sample_size`` the formats are judged on as many evenly spaced rows of each table instead of
+    on all values; ``dense`` then says that row numbers run 0, 1, 2 ... without gaps.
     """
     keep = materialize if store else (lambda df, name: df)
     counts = keep(profile.value_counts(rows), "value_counts")
-    sample = keep(stride_sample(rows, sample_size, dense), "sample")
+    sample = None if sample_size is None else keep(stride_sample(rows, sample_size, dense), "sample")
     fields = infer.infer_fields(columns, counts, sample)
     if field_hints is not None:
         fields = infer.merge_field_hints(fields, field_hints)

@@ -56,11 +56,20 @@ def _ladder(column: int) -> str:
 
 _REAL = f"NOT {fx.sql_missing('value')}"
 _avg = lambda t: f"avg(CASE WHEN {t('value')} THEN 1.0 ELSE 0 END) FILTER ({_REAL})"
-TYPED = f"""{COUNTS}, {PICKED},
-names AS (SELECT DISTINCT sheet, pos, col FROM cells),
-ratios AS (SELECT sheet, pos, count(*) FILTER ({_REAL}) AS n, {_avg(fx.sql_is_date)} AS r_date, {_avg(fx.sql_phone)} AS r_phone,
+_share = lambda t: f"coalesce(sum(n) FILTER ({_REAL} AND {t('value')}), 0) / sum(n) FILTER ({_REAL})"
+#: Facts of the formats over all values, and over the sample.
+RATIOS = f"""ratios AS (SELECT sheet, pos, coalesce(sum(n) FILTER ({_REAL}), 0) AS n, {_share(fx.sql_is_date)} AS r_date,
+  {_share(fx.sql_phone)} AS r_phone, {_share(fx.sql_money)} AS r_money, {_share(fx.sql_number)} AS r_number,
+  max(length(value)) FILTER ({_REAL}) AS max_chars, sum(length(value) * n) FILTER ({_REAL}) / sum(n) FILTER ({_REAL}) AS avg_chars,
+  sum(length(value) * n) / sum(n) FILTER (value IS NOT NULL) AS raw_chars FROM vc GROUP BY sheet, pos)"""
+SAMPLED_RATIOS = f"""{PICKED}, ratios AS (SELECT sheet, pos, count(*) FILTER ({_REAL}) AS n, {_avg(fx.sql_is_date)} AS r_date, {_avg(fx.sql_phone)} AS r_phone,
   {_avg(fx.sql_money)} AS r_money, {_avg(fx.sql_number)} AS r_number, max(length(value)) FILTER ({_REAL}) AS max_chars,
-  avg(length(value)) FILTER ({_REAL}) AS avg_chars, avg(length(value)) AS raw_chars FROM sampled GROUP BY sheet, pos),
+  avg(length(value)) FILTER ({_REAL}) AS avg_chars, avg(length(value)) AS raw_chars FROM sampled GROUP BY sheet, pos)"""
+
+
+def _typed_sql(ratios: str) -> str:
+    return f"""{COUNTS}, {ratios},
+names AS (SELECT DISTINCT sheet, pos, col FROM cells),
 stats AS (SELECT sheet, pos, coalesce(sum(n) FILTER (value IS NOT NULL), 0) AS non_null, sum(n) AS total,
   coalesce(max(n) FILTER (value IS NOT NULL), 0) = 1 AS uniq,
   count(*) FILTER ({_REAL}) AS distinct_real, coalesce(sum(n) FILTER ({_REAL}), 0) AS filled,
@@ -68,6 +77,9 @@ stats AS (SELECT sheet, pos, coalesce(sum(n) FILTER (value IS NOT NULL), 0) AS n
 facts AS (SELECT * FROM names JOIN ratios USING (sheet, pos) JOIN stats USING (sheet, pos)),
 typed AS (SELECT *, {_ladder(1)} AS type, CAST({_ladder(2)} AS DOUBLE) AS confidence, {_ladder(3)} AS signals FROM facts)"""
 
+
+TYPED = _typed_sql(RATIOS)
+
 _WORDY = ("list_filter(labels, lambda v: regexp_matches(v, '[\\x{4e00}-\\x{9fff}]') OR "
           "(length(v) >= 2 AND NOT regexp_matches(v, '^[A-Za-z0-9][A-Za-z0-9\\-_/]{0,5}$')))")
 _ID = "uniq AND round_even((total - non_null) / total, 4) <= 0.05 AND type IN ('string', 'number')"
@@ -115,25 +127,44 @@ entities AS (SELECT *, coalesce(named, strong, weak, 'unknown') AS kind, CAST(CA
     {_opt('partial_transaction_shape', "weak = 'order'")}, {_opt('party_name_only', "weak = 'customer'")}) AS signals FROM kinds2)"""
 
 
-def inferred(spark, sf, sheets=None):
-    """Fields of the corpus; the value counts and the sample are stored once."""
+def inferred(spark, sf, sheets=None, sampled=False):
+    """Fields of the corpus; the value counts are stored once."""
     rows, columns = fx.corpus_rows(spark, sf, sheets), fx.corpus_columns(spark, sf, sheets)
     counts = materialize(profile.value_counts(rows), "value_counts")
-    return infer.infer_fields(columns, counts, stride_sample(rows, dense=True)), counts, columns
+    return infer.infer_fields(columns, counts, stride_sample(rows, dense=True) if sampled else None), counts, columns
 
 
 def _joined(c: str):
     return F.array_join(c, "|").alias(c)
 
 
-@query("infer_types", f"""WITH {TYPED} SELECT sheet, pos, col AS column, type, round(confidence, 6) AS confidence, signals,
-  CASE WHEN type = 'enum' THEN array_to_string(labels, '|') ELSE '' END AS enum_values, confidence < 0.85 AS needs_review FROM typed""")
-def infer_types(spark, sf):
-    fields, _, _ = inferred(spark, sf)
+_TYPES = """SELECT sheet, pos, col AS column, type, round(confidence, 6) AS confidence, signals,
+  CASE WHEN type = 'enum' THEN array_to_string(labels, '|') ELSE '' END AS enum_values, confidence < 0.85 AS needs_review FROM typed"""
+
+
+def _types(fields):
     return fields.select("sheet", "pos", "column", "type", F.round("confidence", 6).alias("confidence"),
                          _joined("signals"), _joined("enum_values"), "needs_review")
 
 
+@query("infer_types", f"WITH {TYPED} {_TYPES}")
+def infer_types(spark, sf):
+    return _types(inferred(spark, sf)[0])
+
+
+@query("infer_types_sampled", f"WITH {_typed_sql(SAMPLED_RATIOS)} {_TYPES}")
+def infer_types_sampled(spark, sf):
+    return _types(inferred(spark, sf, sampled=True)[0])
+
+
+@query("value_ratios", f"""WITH {COUNTS}, {RATIOS} SELECT sheet, pos, CAST(n AS BIGINT) AS filled, round(r_date, 9) AS r_date, round(r_phone, 9) AS r_phone,
+  round(r_money, 9) AS r_money, round(r_number, 9) AS r_number, max_chars, round(avg_chars, 9) AS avg_chars FROM ratios WHERE n > 0""")
+def value_ratios(spark, sf):
+    ratios = infer.value_ratios(profile.value_counts(fx.corpus_rows(spark, sf))).filter(F.col("sample_values") > 0)
+    return ratios.select("sheet", "pos", F.col("sample_values").alias("filled"), "max_chars", *[
+        F.round(c, 9).alias(c) for c in ("r_date", "r_phone", "r_money", "r_number", "avg_chars")])
+
+
 @query("infer_roles", f"""WITH {ROLED} SELECT sheet, pos, col AS column, role, round(role_confidence, 6) AS role_confidence, role_signals,
   CASE WHEN role_confidence >= 0.85 THEN 'high' WHEN role_confidence >= 0.6 THEN 'medium' ELSE 'low' END AS level FROM roled""")
 def infer_roles(spark, sf):

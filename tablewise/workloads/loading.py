@@ -120,20 +120,21 @@ def validate_split(spark, sf):
                        F.col("status_text").alias("cause")).unionAll(bad.select("row_no", "field", "value", "cause"))
 
 
-@query("typed_rows", f"""WITH {CHECKED} SELECT row_no, record_no, amount_text, date_text, status_text, note_text, contact_phone FROM typed ANTI JOIN errors USING (row_no)""")
+@query("typed_rows", f"""WITH {CHECKED} SELECT row_no, record_no, amount_text, date_text, status_text, note_text, contact_phone, remark FROM typed ANTI JOIN errors USING (row_no)""")
 def typed_rows(spark, sf):
     good, _ = load.split_rows(load.typed_rows(dirty_rows(spark, sf), RECORD, POSITIONS))
-    return good.drop("remark")
+    return good
 
 
 @query("typed_cells", f"""WITH {CHECKED} SELECT 'record_no' AS field_key, count(record_no) AS filled, 0 AS errors FROM typed
 UNION ALL SELECT 'amount_text', count(amount_text), count(*) FILTER (amount_text IS NULL) FROM typed
 UNION ALL SELECT 'date_text', count(date_text), 0 FROM typed
 UNION ALL SELECT 'status_text', count(status_text), count(*) FILTER (status_text IS NOT NULL AND NOT list_contains({_ALLOWED}, status_text)) FROM typed
-UNION ALL SELECT 'note_text', count(note_text), 0 FROM typed""")
+UNION ALL SELECT 'note_text', count(note_text), 0 FROM typed UNION ALL SELECT 'contact_phone', count(contact_phone), 0 FROM typed
+UNION ALL SELECT 'remark', count(remark), 0 FROM typed""")
 def typed_cells(spark, sf):
     fields = spark.createDataFrame(
-        [(fx.BOOK, "sales dirty", POSITIONS[f.key], f.key, f.type, list(f.values)) for f in RECORD.fields[:5]],
+        [(fx.BOOK, "sales dirty", POSITIONS[f.key], f.key, f.type, list(f.values)) for f in RECORD.fields],
         "source_file string, sheet string, pos int, field_key string, type string, values array<string>")
     cells = load.coerce_long(dirty_rows(spark, sf), fields)
     return cells.groupBy("field_key").agg(

@@ -51,21 +51,17 @@ def profile_presence(spark, sf):
         "sheet", "pos", F.round("present", 9).alias("present"), F.round("distinct", 9).alias("distinct"))
 
 
-@query("profile_duplicate_rows", """WITH r AS (
-  SELECT 'keyless lines' AS sheet, l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL)
-SELECT sheet, CAST(sum(n) AS BIGINT) AS row_count, CAST(sum(n - 1) AS BIGINT) AS duplicate_row_count FROM r GROUP BY sheet
-UNION ALL SELECT 'customer', count(*), 0 FROM customer UNION ALL SELECT 'product', count(*), 0 FROM part""")
+@query("profile_duplicate_rows", f"""WITH {CELLS}, r AS (SELECT sheet, row_no, list(value ORDER BY pos) AS body FROM cells GROUP BY ALL),
+c AS (SELECT sheet, body, count(*) AS n FROM r GROUP BY ALL)
+SELECT sheet, CAST(sum(n) AS BIGINT) AS row_count, CAST(sum(n - 1) AS BIGINT) AS duplicate_row_count FROM c GROUP BY sheet""")
 def profile_duplicate_rows(spark, sf):
-    rows = fx.corpus_rows(spark, sf, {"keyless lines", "customer", "product"})
-    return profile.duplicate_rows(rows).drop("source_file")
+    return profile.duplicate_rows(fx.corpus_rows(spark, sf)).drop("source_file")
 
 
-@query("profile_tables", """SELECT s.sheet, n AS row_count, 100 AS sample_size_requested, n <= 100 AS sample_is_full FROM (
-  SELECT 'customer' AS sheet, count(*) AS n FROM customer UNION ALL SELECT 'order', count(*) FROM orders
-  UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'supplier', count(*) FROM supplier) s""")
+@query("profile_tables", f"""WITH {CELLS} SELECT sheet, count(*) AS row_count, 100 AS sample_size_requested, count(*) <= 100 AS sample_is_full
+FROM cells WHERE pos = 0 GROUP BY sheet""")
 def profile_tables(spark, sf):
-    rows = fx.corpus_rows(spark, sf, {"customer", "order", "nation", "supplier"})
-    return profile.table_profiles(rows).select("sheet", "row_count", "sample_size_requested", "sample_is_full")
+    return profile.table_profiles(fx.corpus_rows(spark, sf)).select("sheet", "row_count", "sample_size_requested", "sample_is_full")
 
 
 PICKED = """sizes AS (SELECT sheet, max(row_no) + 1 AS total FROM cells GROUP BY sheet),
