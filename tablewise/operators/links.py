@@ -2,9 +2,9 @@
 
 Candidates are chosen on the catalog first: a child column either shares the parent
 key's name, or has a party or product word in its name and a distinct count that can
-still reach the needed overlap. Only the values of those columns are then joined, on
-(candidate, value), where both sides are distinct: no group of the join holds more than
-two rows, whatever the values look like.
+still reach the needed overlap. Only the values of those columns are then joined: once per
+column on (workbook, value), and those that meet on (candidate, value), where both sides are
+distinct. No group holds more rows than the workbook has columns, whatever the values look like.
 """
 
 from __future__ import annotations
@@ -77,30 +77,39 @@ def candidates(plans: DataFrame, columns: DataFrame, profiles: DataFrame) -> Dat
     return same.unionByName(differ)
 
 
-SALTS = 32
+#: Parts of a column at least, and values of a part at most.
+SALTS, SALT_VALUES = 32, 4_000_000
 
 
-def column_values(values: DataFrame, catalog: DataFrame, key: list[str]) -> DataFrame:
+def column_values(values: DataFrame, catalog: DataFrame, key: list[str], salts: int = SALTS) -> DataFrame:
     """Values of the columns a catalog table names.
 
     The values of one column may be a third of all, so a shuffled join splits them by a salt,
     with the catalog row copied once per salt.
     """
-    salt = F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int")
-    copies = catalog.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("value"), F.lit(salts)).cast("int")
+    copies = catalog.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return values.withColumn("_salt", salt).join(copies, [*key, "_salt"]).drop("_salt")
 
 
 def value_overlap(pairs: DataFrame, counts: DataFrame) -> DataFrame:
-    """Shared distinct values of every pair ``(source_file, parent, parent_pos, child, pos)``."""
+    """Shared distinct values of every pair ``(source_file, parent, parent_pos, child, pos)``.
+
+    The pairs carry ``parent_distinct`` and ``child_distinct``. Each column's values are taken once,
+    however many pairs it is in; only child values that some parent key of the workbook holds are
+    copied to their pairs, and meet the parent's on (parent, value), where it is distinct.
+    """
+    parent, child = ["source_file", "parent", "parent_pos"], ["source_file", "child", "pos"]
+    most = pairs.agg(F.max(F.greatest("parent_distinct", "child_distinct"))).first()[0] or 0
+    salts = max(SALTS, -(-most // SALT_VALUES))
     values = counts.filter(F.col("value").isNotNull()).select(*COLUMN, "value")
-    ids = pairs.select("source_file", "parent", "parent_pos", "child", "pos")
-    left = column_values(values.withColumnsRenamed({"sheet": "parent", "pos": "parent_pos"}), ids,
-                         ["source_file", "parent", "parent_pos"])
-    right = column_values(values.withColumnRenamed("sheet", "child"), ids, ["source_file", "child", "pos"])
-    key = ["source_file", "parent", "parent_pos", "child", "pos"]
-    shared = left.select(*key, "value").join(right.select(*key, "value"), [*key, "value"])
-    return shared.groupBy(*key).agg(F.count(F.lit(1)).alias("overlap"))
+    left = column_values(values.withColumnsRenamed({"sheet": "parent", "pos": "parent_pos"}),
+                         pairs.select(*parent).distinct(), parent, salts)
+    right = column_values(values.withColumnRenamed("sheet", "child"), pairs.select(*child).distinct(), child, salts)
+    met = right.join(left.select("source_file", "value"), ["source_file", "value"], "left_semi")
+    asked = column_values(met, pairs.select(*parent, *child[1:]), child, salts)
+    shared = asked.join(left, [*parent, "value"])
+    return shared.groupBy(*parent, *child[1:]).agg(F.count(F.lit(1)).alias("overlap"))
 
 
 def score(pairs: DataFrame, counts: DataFrame) -> DataFrame:
@@ -266,7 +275,7 @@ def verify_links(
            ["source_file", "child", "pos"])
     good = materialize(good, "given_links")
     key = ["source_file", "parent", "parent_pos", "child", "pos"]
-    seen = good.join(value_overlap(good.select(*key).distinct(), counts), key, "left").fillna(0, ["overlap"])
+    seen = good.join(value_overlap(good.select(*key, "parent_distinct", "child_distinct").distinct(), counts), key, "left").fillna(0, ["overlap"])
     overlaps = F.col("overlap") > 0
     share = lambda d: F.bround(F.coalesce(F.try_divide("overlap", d), F.lit(0.0)), 4)
     links = seen.select(
