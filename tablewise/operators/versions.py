@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewise.operators.query import Entity, Field
+from tablewise.session import materialize
 
 VERSIONS = (
     "app_key string, version bigint, snapshot string, patch string, operator string, "
@@ -197,13 +198,55 @@ def snapshot_entities(row_snapshot: str, spark: SparkSession) -> list[Entity]:
     ]
 
 
+def judge_requests(publications: DataFrame, changes: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests that can be carried out, and rejects ``(app_key, cause, requests)``.
+
+    ``changes (app_key, slug, action[, change_no])`` with the actions publish, republish and
+    unpublish. An app's first request of a batch counts, by ``change_no``, else by the row itself;
+    so does the first of several apps that ask for one slug. Slugs owned before the batch stay
+    taken during it. The batch is stored first, so a small one is broadcast to the tables.
+    """
+    order = [c for c in ("change_no", "action", "slug") if c in changes.columns]
+    slug = F.when(F.coalesce(F.col("action") != "unpublish", F.lit(True)), F.nullif(F.lower(F.trim("slug")), F.lit("")))
+    first = materialize(changes.withColumn("slug", slug).groupBy("app_key").agg(
+        F.min(F.struct(*order)).alias("r"), F.count(F.lit(1)).alias("n")).select("app_key", "r.*", "n"), "requests")
+    apps = first.select("app_key")
+    now = versions.join(apps, "app_key", "left_semi").groupBy("app_key").agg(F.max("version").alias("now"))
+    own = publications.join(apps, "app_key", "left_semi").select("app_key", F.lit(True).alias("listed"))
+    slugs = first.filter(F.col("slug").isNotNull()).select("slug").distinct()
+    owners = publications.join(slugs, "slug", "left_semi").groupBy("slug").agg(F.min("app_key").alias("owner"))
+    action, on = F.col("action"), F.col("action").isin("publish", "republish")
+    known = F.coalesce(on | (action == "unpublish"), F.lit(False))
+    cause = (
+        F.when(~known, "unknown action")
+        .when(on & F.col("now").isNull(), "unknown app")
+        .when((action == "publish") & F.col("listed"), "already published")
+        .when((action != "publish") & F.col("listed").isNull(), "not published")
+        .when((action == "publish") & F.col("slug").isNull(), "no slug")
+        .when(F.col("owner") != F.col("app_key"), "slug taken")
+    )
+    judged = materialize(
+        first.join(now, "app_key", "left").join(own, "app_key", "left").join(owners, "slug", "left")
+        .withColumn("cause", cause), "judged")
+    fit = judged.filter(F.col("cause").isNull())
+    winners = fit.filter(F.col("slug").isNotNull()).groupBy("slug").agg(
+        F.min(F.struct(*order, "app_key"))["app_key"].alias("winner"))
+    fit = fit.join(winners, "slug", "left")
+    beaten = F.col("winner") != F.col("app_key")
+    rejects = (
+        judged.filter(F.col("cause").isNotNull()).select("app_key", "cause", F.lit(1).cast("bigint").alias("requests"))
+        .unionAll(fit.filter(beaten).select("app_key", F.lit("slug taken"), F.lit(1).cast("bigint")))
+        .unionAll(first.filter(F.col("n") > 1).select("app_key", F.lit("repeated request"), F.col("n") - 1))
+    )
+    return fit.filter(~F.coalesce(beaten, F.lit(False))).select("app_key", "slug", "action", "now"), rejects
+
+
 def publish_update(publications: DataFrame, changes: DataFrame, versions: DataFrame) -> DataFrame:
     """Publication table after a batch of publish, republish and unpublish requests.
 
-    ``changes (app_key, slug, action)``. Publishing pins the current version.
+    Publishing pins the current version; requests that ``judge_requests`` rejects change nothing.
     """
-    now = versions.groupBy("app_key").agg(F.max("version").alias("now"))
-    asked = changes.join(now, "app_key").withColumnRenamed("slug", "new_slug")
+    asked = judge_requests(publications, changes, versions)[0].withColumnRenamed("slug", "new_slug")
     on = F.col("action").isin("publish", "republish")
     both = publications.join(asked, "app_key", "full_outer")
     return both.select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -163,5 +164,34 @@ def publish_changes(spark, sf):
     changes = fx.read(spark, sf, "customer").filter((a % 6 == 0) | ((a % 10 == 0) & (a % 4 == 0))).select(
         F.concat(F.lit("app_"), a.cast("string")).alias("app_key"),
         F.when(a % 4 != 0, F.concat(F.lit("new-"), a.cast("string"))).alias("slug"),
-        F.when(a % 6 == 0, "publish").otherwise("unpublish").alias("action"))
+        F.when(a % 12 == 0, "republish").when(a % 6 == 0, "publish").otherwise("unpublish").alias("action"))
     return v.publish_update(publications(spark, sf), changes, model_versions(spark, sf))
+
+
+@query("publish_rejects", """WITH c AS (SELECT c_custkey AS a, 'app_' || c_custkey AS app_key FROM customer),
+shared AS (SELECT app_key, row_number() OVER (PARTITION BY a % 3 ORDER BY a) AS place FROM c WHERE a % 20 = 6)
+SELECT 'ghost_' || a AS app_key, 'unknown app' AS cause, 1 AS requests FROM c WHERE a % 50 = 1
+UNION ALL SELECT app_key, 'already published', 1 FROM c WHERE a % 8 = 0
+UNION ALL SELECT app_key, 'slug taken', 1 FROM c WHERE a % 36 = 9
+UNION ALL SELECT app_key, 'not published', 1 FROM c WHERE a % 20 = 10
+UNION ALL SELECT app_key, 'repeated request', 1 FROM c WHERE a % 28 = 7
+UNION ALL SELECT app_key, 'slug taken', 1 FROM shared WHERE place > 1""")
+def publish_rejects(spark, sf):
+    a = F.col("c_custkey")
+    base, app = fx.read(spark, sf, "customer"), F.concat(F.lit("app_"), a.cast("string"))
+
+    def ask(picked, action, slug, key=app, no=0):
+        return base.filter(picked).select(
+            key.alias("app_key"), F.expr(slug).alias("slug"), F.lit(action).alias("action"), (a * 2 + no).alias("change_no"))
+
+    wanted = (
+        (a % 50 == 1, "publish", "concat('g-', c_custkey)", F.concat(F.lit("ghost_"), a.cast("string"))),
+        (a % 8 == 0, "publish", "concat('again-', c_custkey)"),
+        (a % 36 == 9, "publish", "concat(' SHOP-', c_custkey - 1)"),
+        (a % 20 == 10, "unpublish", "string(null)"),
+        (a % 28 == 7, "publish", "concat('p-', c_custkey)"), (a % 28 == 7, "publish", "concat('q-', c_custkey)", app, 1),
+        (a % 20 == 6, "publish", "concat('shared-', c_custkey % 3)"),
+    )
+    changes = reduce(DataFrame.unionAll, [ask(*w) for w in wanted])
+    _, rejects = v.judge_requests(publications(spark, sf), changes, model_versions(spark, sf))
+    return rejects

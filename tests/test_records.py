@@ -176,3 +176,21 @@ def test_confirm(spark, tmp_path):
     order = next(e for e in versions.snapshot_entities(snapshot, spark) if e.key == "order")
     rows = records.read_records(spark, root, "shop", order, 2)
     assert rows.agg(F.sum("amount")).first()[0] == sum(i * 100 + 1 for i in range(40))
+
+
+def test_publication_requests(spark):
+    made = spark.createDataFrame([("a", "one", 1, "published"), ("b", "two", 1, "unpublished")],
+                                 "app_key string, slug string, model_version bigint, status string")
+    known = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("c", 3), ("d", 1)], "app_key string, version bigint")
+    asked = spark.createDataFrame(
+        [("a", None, "republish", 1), ("b", "ONE ", "republish", 2), ("c", "new", "publish", 3), ("d", "new", "publish", 4),
+         ("c", "other", "publish", 5), ("x", "x", "publish", 6), (None, "y", "publish", 7), ("d2", None, None, 8)],
+        "app_key string, slug string, action string, change_no int")
+    _, rejects = versions.judge_requests(made, asked, known)
+    assert {tuple(r) for r in rejects.collect()} == {
+        ("b", "slug taken", 1), ("d", "slug taken", 1), ("c", "repeated request", 1), ("x", "unknown app", 1),
+        (None, "unknown app", 1), ("d2", "unknown action", 1)}
+    after = {r["app_key"]: (r["slug"], r["model_version"], r["status"]) for r in versions.publish_update(made, asked, known).collect()}
+    assert after == {"a": ("one", 2, "published"), "b": ("two", 1, "unpublished"), "c": ("new", 3, "published")}
+    none = asked.limit(0)
+    assert versions.publish_update(made, none, known).count() == 2

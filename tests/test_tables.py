@@ -247,3 +247,14 @@ def test_field_hints(spark):
     assert (merged["区域"]["type"], merged["区域"]["enum_values"]) == ("enum", ["华东", "华南"])
     assert (merged["联系电话"]["type"], merged["联系电话"]["role"]) == ("string", "dimension")
     assert (merged["客户名称"]["type"], merged["客户名称"]["role"], merged["客户名称"]["needs_review"]) == ("string", "measure", True)
+
+
+def test_formats_are_judged_on_all_values(spark):
+    rows = [("b", "s", i, [f"word {i}" if i % 10 or i == 0 else str(i)]) for i in range(1000)]
+    df = spark.createDataFrame(rows, "source_file string, sheet string, row_no bigint, cells array<string>")
+    got = infer.value_ratios(profile.value_counts(df)).collect()[0]
+    assert (got["sample_values"], got["r_number"], got["r_date"]) == (1000, 0.099, 0.0)
+    assert got["avg_chars"] == sum(len(r[3][0]) for r in rows) / 1000
+    empty = spark.createDataFrame([("b", "s", 0, [None]), ("b", "s", 1, ["N/A"])], df.schema)
+    got = infer.value_ratios(profile.value_counts(empty)).collect()[0]
+    assert (got["sample_values"], got["r_number"], got["max_chars"], got["raw_avg_chars"]) == (0, None, 0, 3.0)
