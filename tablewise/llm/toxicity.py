@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,7 +33,17 @@ EVIDENCE = 24.0
 WINDOW = 6
 STATES = 50_000
 _SLICE_BYTES = 1 << 22
-_WORD = re.compile(r"[^\W\d_]+")
+#: A run without blanks from its first letter or digit to its last one.
+_TOKEN = re.compile(r"[^\W_](?:\S*[^\W_])?")
+#: Scripts written without blanks (kana, Han, Thai, Lao, Burmese, Khmer): their words are pieces of 2 to 4 signs.
+UNSPACED = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
+PIECES = (4, 3, 2)
+_WORD = re.compile(rf"[^\W\d_{UNSPACED}]+")
+_UNSPACED = re.compile(f"[{UNSPACED}]+")
+_RUN = re.compile(rf"[{UNSPACED}]+|{_WORD.pattern}")
+_CHUNK = re.compile(r"\S+")
+#: Chunks between blanks whose words are remembered, and the longest of them.
+KNOWN_CHUNKS, KNOWN_LENGTH = 50_000, 40
 #: Words next to a hit that mark it as reported speech. Fixed values.
 REPORTING = frozenset((
     "said says quoted quote called wrote word term insult slur means sagte nannte wort zitat "
@@ -61,8 +72,8 @@ class LexiconAutomaton:
 
     @staticmethod
     def edits(length: int) -> int:
-        """Edits allowed to a term: none below 5 letters, one below 10, else two."""
-        return 0 if length < 5 else 1 if length < 10 else 2
+        """Edits allowed to a term: none below 4 letters, one below 10, else two."""
+        return 0 if length < 4 else 1 if length < 10 else 2
 
     def _mark(self, terms) -> None:
         """Most edits that any term below a node allows."""
@@ -143,15 +154,74 @@ def quoted_spans(text: str) -> list[tuple[int, int]]:
 FEATURES = ("exact", "near", "quoted", "dense", "share", "strong")
 
 
-def context_features(text: str, lookup) -> list[float]:
+def _pieces(run: str, at: int, lookup):
+    """Words of a run of an unspaced script: at each sign the longest piece that is a term, else the sign alone."""
+    k = 0
+    while k < len(run):
+        for size in PIECES:
+            found = lookup(run[k:k + size]) if k + size <= len(run) else None
+            if found and found[0] == 0:
+                yield run[k:k + size], at + k, found
+                k += size
+                break
+        else:
+            yield run[k], at + k, None
+            k += 1
+
+
+def _plain(chunk: str) -> str | None:
+    """The word of a chunk that is one run of letters between punctuation, else None."""
+    bare = chunk.strip(string.punctuation)
+    return bare.lower() if bare.isalpha() and (bare.isascii() or not _UNSPACED.search(bare)) else None
+
+
+def _chunk_words(chunk: str, lookup) -> list[tuple]:
+    if (word := _plain(chunk)) is not None:
+        return [(word, len(chunk) - len(chunk.lstrip(string.punctuation)), lookup(word))]
+    token = _TOKEN.search(chunk)
+    if not token:
+        return []
+    whole, at = token.group(), token.start()
+    words = []
+    for m in _RUN.finditer(whole):
+        if _WORD.match(m.group()):
+            words.append((m.group().lower(), at + m.start(), lookup(m.group().lower())))
+        else:
+            words.extend(_pieces(m.group(), at + m.start(), lookup))
+    if words and not any(found for _, _, found in words):
+        words[0] = (*words[0][:2], lookup(whole.lower()))
+    return words
+
+
+def found_words(text: str, lookup, known: dict | None = None):
+    """``(word, place, match)`` of every run of letters.
+
+    A token that has other signs inside (m0ron, st*pid) and no run that matches is looked up as a whole;
+    its match stands at its first run. ``known`` remembers the words of chunks.
+    """
+    known = {} if known is None else known
+    for m in _CHUNK.finditer(text):
+        chunk = m.group()
+        words = known.get(chunk)
+        if words is None:
+            words = _chunk_words(chunk, lookup)
+            if len(chunk) <= KNOWN_LENGTH:
+                if len(known) >= KNOWN_CHUNKS:
+                    known.clear()
+                known[chunk] = words
+        at = m.start()
+        for word, place, found in words:
+            yield word, at + place, found
+
+
+def context_features(text: str, lookup, known: dict | None = None) -> list[float]:
     """Features of a text that has a hit."""
-    words = [(m.group().lower(), m.start()) for m in _WORD.finditer(text)]
+    words = list(found_words(text, lookup, known))
     spans = quoted_spans(text)
     hits = []
-    for i, (w, at) in enumerate(words):
-        found = lookup(w)
+    for i, (_, at, found) in enumerate(words):
         if found:
-            around = [x for x, _ in words[max(0, i - 3):i + 4]]
+            around = [x for x, _, _ in words[max(0, i - 3):i + 4]]
             held = any(a <= at < b for a, b in spans) or any(x in REPORTING for x in around)
             hits.append((i, found[0], found[2], held))
     own = [h for h in hits if not h[3]]
@@ -174,9 +244,10 @@ class Model:
     terms: dict[str, float]
     weights: list[float]
     _automaton: LexiconAutomaton | None = field(default=None, repr=False, compare=False)
+    _known: dict = field(default_factory=dict, repr=False, compare=False)
 
     def __getstate__(self):
-        return {"terms": self.terms, "weights": self.weights, "_automaton": None}
+        return {"terms": self.terms, "weights": self.weights, "_automaton": None, "_known": {}}
 
     def lookup(self, word: str):
         if self._automaton is None:
@@ -185,7 +256,7 @@ class Model:
         return found and (found[0], found[1], self.terms[found[1]])
 
     def score(self, text: str) -> float:
-        z = self.weights[-1] + sum(w * x for w, x in zip(self.weights, context_features(text, self.lookup)))
+        z = self.weights[-1] + sum(w * x for w, x in zip(self.weights, context_features(text, self.lookup, self._known)))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -205,7 +276,10 @@ def _suspects(texts: pa.Array, hit) -> np.ndarray:
 
 def _chunk_test(model: Model):
     def hit(chunk: str) -> bool:
-        return any(model.lookup(w) is not None for w in _WORD.findall(chunk.lower()))
+        word = _plain(chunk)
+        if word is not None:
+            return model.lookup(word) is not None
+        return any(found for _, _, found in found_words(chunk, model.lookup, model._known))
     return hit
 
 
@@ -216,7 +290,7 @@ def _featured(docs: DataFrame, model: Model) -> DataFrame:
         def run(texts):
             found, rows = _suspects(texts, hit), []
             for i, some in enumerate(found):
-                rows.append(context_features(texts[i].as_py(), model.lookup) if some else [0.0] * len(FEATURES))
+                rows.append(context_features(texts[i].as_py(), model.lookup, model._known) if some else [0.0] * len(FEATURES))
             return [pa.array(rows, pa.list_(pa.float64()))]
         return run
     return map_texts(docs, "features array<double>", work)
@@ -224,12 +298,13 @@ def _featured(docs: DataFrame, model: Model) -> DataFrame:
 
 def lexicon(sample: DataFrame, evidence: float = EVIDENCE, limit: int = LEXICON_TERMS) -> dict[str, float]:
     """Terms with their log-odds, from documents' distinct words counted by label."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))
+    taken = [r"(\p{L}+)", *[f"(?=([{UNSPACED}]{{{size}}}))" for size in PIECES]]
+    words = F.array_distinct(F.concat(*[F.regexp_extract_all(F.lower("text"), F.lit(t), 1) for t in taken]))
     totals = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     bad, fine = totals.get(1, 0), totals.get(0, 0)
     if not bad or not fine:
         return {}
-    counts = sample.select("toxic", F.explode(words).alias("word")).filter("length(word) between 3 and 40").groupBy("word").agg(
+    counts = sample.select("toxic", F.explode(words).alias("word")).groupBy("word").agg(
         F.sum("toxic").cast("double").alias("t"), F.sum(1 - F.col("toxic")).cast("double").alias("c"))
     odds = F.log((F.col("t") + 0.5) / (bad + 1)) - F.log((F.col("c") + 0.5) / (fine + 1))
     n = F.col("t") + F.col("c")

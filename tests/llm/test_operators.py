@@ -95,6 +95,22 @@ def test_quotation_is_not_abuse():
     assert model.score("you are scum all of you") > 0.5 > model.score("he called them “scum” in court")
 
 
+@pytest.mark.parametrize("word", ["m0ron", "st*pid", "(m0ron!)", "scumm", "scvm", "你是白痴吗", "moron"])
+def test_disguised_spellings_hit(word):
+    model = toxicity.Model({"moron": 5.0, "stupid": 5.0, "scum": 5.0, "白痴": 5.0}, [3.0, 1.0, 0.1, 1.0, 1.0, 1.0, -3.0])
+    text = f"you are a {word} all of you"
+    assert toxicity._suspects(pa.array([text, "you are well"]), toxicity._chunk_test(model)).tolist() == [True, False]
+    hits = [found for _, _, found in toxicity.found_words(text, model.lookup) if found]
+    assert len(hits) == 1 and hits[0][0] == (word not in ("moron", "你是白痴吗"))
+
+
+def test_lexicon_has_short_long_and_unspaced_terms(spark):
+    long = "x" * 50
+    rows = [(i, f"zq 你真是白痴啊 {long}" if i % 2 else "plain words", i % 2) for i in range(60)]
+    terms = toxicity.lexicon(spark.createDataFrame(rows, "doc_id bigint, text string, toxic int"))
+    assert {"zq", long, "白痴"} <= set(terms)
+
+
 def test_toxicity_held_out(spark, odd, none, labels):
     docs, marks = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     found = toxicity.toxicity(docs, marks).join(marks, "doc_id").filter("held_out").groupBy("toxic", "predicted").count().collect()
