@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 import string
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -146,9 +147,50 @@ class LexiconAutomaton:
         return end and (end[0], end[2])
 
 
+#: Opening marks by the mark that closes them; marks used the other way round (»so«, ”so”) stand for themselves.
+_OPENERS = {"”": "“„”", "“": "„", "»": "«", "«": "»", "’": "‘", "」": "「", "』": "『", '"': '"'}
+_MARKS = re.compile("[\"“”„«»‘’「」『』]")
+
+
 def quoted_spans(text: str) -> list[tuple[int, int]]:
-    """Stretches between an opening and the next closing quotation mark on one line, 300 letters at most."""
-    return [m.span() for m in re.finditer(r"[\"“„«‘][^\"”“»’\n]{1,300}[\"”“»’]", text)]
+    """Stretches between an opening and its closing quotation mark of the same kind, of any length, merged.
+
+    An apostrophe between letters is none. A mark that opens at the start of a line goes on with a
+    quotation that is still open, as in quotations of several paragraphs. A mark without its partner
+    quotes nothing.
+    """
+    held: dict[str, list[int]] = {}
+    spans = []
+    for m in _MARKS.finditer(text):
+        mark, i = m.group(), m.start()
+        before, after = text[i - 1:i], text[i + 1:i + 2]
+        leaves, enters = bool(before.strip()), bool(after.strip())
+        inner = before.isalpha() and after.isalpha()
+        if mark == "’" and inner:
+            continue
+        opener = next((o for o in _OPENERS.get(mark, "") if held.get(o)), None)
+        # A straight or reversed mark before a word does not close what is open.
+        if opener and (leaves or not enters):
+            spans.append((held[opener].pop(), i + 1))
+            continue
+        if mark == "’" or mark in "」』" or mark in '"”»' and (before.isalnum() and not inner or not enters and leaves):
+            continue
+        if held.get(mark):
+            j = i
+            while j and text[j - 1] in " \t":
+                j -= 1
+            if j and text[j - 1] == "\n":
+                continue
+        if mark == '"':
+            held[mark] = []  # the older one has no partner
+        held.setdefault(mark, []).append(i)
+    merged: list[tuple[int, int]] = []
+    for low, high in sorted(spans):
+        if merged and low < merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(merged[-1][1], high))
+        else:
+            merged.append((low, high))
+    return merged
 
 
 FEATURES = ("exact", "near", "quoted", "dense", "share", "strong")
@@ -218,11 +260,13 @@ def context_features(text: str, lookup, known: dict | None = None) -> list[float
     """Features of a text that has a hit."""
     words = list(found_words(text, lookup, known))
     spans = quoted_spans(text)
+    opened = [low for low, _ in spans]
     hits = []
     for i, (_, at, found) in enumerate(words):
         if found:
             around = [x for x, _, _ in words[max(0, i - 3):i + 4]]
-            held = any(a <= at < b for a, b in spans) or any(x in REPORTING for x in around)
+            k = bisect_right(opened, at) - 1
+            held = k >= 0 and at < spans[k][1] or any(x in REPORTING for x in around)
             hits.append((i, found[0], found[2], held))
     own = [h for h in hits if not h[3]]
     places = [h[0] for h in own]

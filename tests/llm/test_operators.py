@@ -104,6 +104,22 @@ def test_disguised_spellings_hit(word):
     assert len(hits) == 1 and hits[0][0] == (word not in ("moron", "你是白痴吗"))
 
 
+@pytest.mark.parametrize("text, held", [
+    ("he wrote “you’re an idiot” there", ["idiot"]), ("“first line\n" + "more words " * 60 + "\nidiot” scum", ["idiot"]),
+    ('a 5" pipe, idiot, and "scum" here', ["scum"]), ("“one idiot\n\n“two scum” idiot", ["idiot", "scum"]),
+    ("“ stray idiot “scum” idiot", ["scum"]), ("„idiot“ scum", ["idiot"]), ("»idiot« scum «scum»", ["idiot", "scum"]),
+    ("‘the dog’s idiot’ scum", ["idiot"]), ("他说\"idiot\" scum", ["idiot"]), ('"idiot\nand "scum" idiot', ["scum"])])
+def test_quotations_of_any_length(text, held):
+    spans = toxicity.quoted_spans(text)
+    assert [m.group() for m in re.finditer("idiot|scum", text) if any(a <= m.start() < b for a, b in spans)] == held
+
+
+def test_long_quotation_is_not_abuse():
+    model = toxicity.Model({"scum": 5.0}, [3.0, 1.0, 0.1, 1.0, 1.0, 1.0, -3.0])
+    text = "In court: “" + "these are the words of that day\n" * 20 + "and you are all scum” was read."
+    assert model.score(text) < 0.5 < model.score(text.replace("”", ""))
+
+
 def test_lexicon_has_short_long_and_unspaced_terms(spark):
     long = "x" * 50
     rows = [(i, f"zq 你真是白痴啊 {long}" if i % 2 else "plain words", i % 2) for i in range(60)]
