@@ -28,18 +28,23 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, and one row of repeated rows; rows without an id stay."""
+    """One document of each group of near copies stays, and one row of rows equal in id and text; rows without an id stay."""
     docs = docs.select(*COLUMNS)
-    kept = materialize(neardup.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct(), "kept")
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = materialize(neardup.near_duplicates(docs, with_text=True).filter("kept and doc_id is not null").select(
+        "doc_id", "text_hash").distinct(), "kept")
+    hashed = docs.withColumn("text_hash", F.xxhash64(F.col("text").cast("string")))
+    named = hashed.join(kept, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
     return named.union(docs.filter("doc_id is null")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; repeated rows share their draws, rows without an id are taken once."""
+    """Each document as often as the mix takes it; rows equal in id and text share their draws, rows without an
+    id are taken once."""
     docs = docs.select(*COLUMNS)
-    drawn = mixing.mix(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.sum("copies").alias("_copies"))
-    named = docs.join(materialize(drawn.filter("_copies > 0"), "drawn"), "doc_id").dropDuplicates(["doc_id"])
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    drawn = mixing.mix(docs.withColumn("doc_id", key)).filter("doc_id is not null").groupBy("doc_id").agg(F.sum("copies").alias("_copies"))
+    drawn = materialize(drawn.filter("_copies > 0").withColumnRenamed("doc_id", "_key"), "drawn")
+    named = docs.withColumn("_key", key).join(drawn, "_key").dropDuplicates(["doc_id", "text"])
     times = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_time")
     return named.select(*COLUMNS, times).drop("_time").union(docs.filter("doc_id is null"))
 

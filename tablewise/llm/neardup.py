@@ -33,7 +33,9 @@ BANDS, ROWS = 32, 5
 UNIVERSE = 1 << 20
 #: Shingles of a block of a bucket, which is split into so many blocks.
 BLOCK_SHINGLES = 1 << 17
-_SIGNED = "doc_id bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>"
+_SIGNED = "doc_id bigint, text_hash bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>"
+#: Parts of a component when its name is looked up.
+_PARTS = 32
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,6 +88,15 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _fingerprints(key: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Two sums over the shingles of each row; with the count they stand for its set."""
+    sums, ends = [], np.cumsum(n)
+    for salt in (0x51ED270B, 0x2545F491):
+        each = np.concatenate([[np.uint64(0)], np.cumsum(mix(key ^ np.uint64(salt)))])
+        sums.append((each[ends] - each[ends - n]).view(np.int64))
+    return sums
+
+
 def _sign(docs: DataFrame, size: int) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -99,20 +110,15 @@ def _sign(docs: DataFrame, size: int) -> DataFrame:
                 row, key = shingle_sets(data, bounds, size)
                 rows = high - low
                 n = np.bincount(row, minlength=rows)
-                sums = []
-                for salt in (0x51ED270B, 0x2545F491):
-                    each = np.concatenate([[np.uint64(0)], np.cumsum(mix(key ^ np.uint64(salt)))])
-                    ends = np.cumsum(n)
-                    sums.append((each[ends] - each[ends - n]).view(np.int64))
                 held, signatures = hasher.signatures(row, key)
                 keys = band_keys(signatures, BANDS, ROWS)
                 lengths = np.zeros(rows, np.int64)
                 lengths[held] = BANDS
-                yield batch_of(schema, batch.column(0).slice(low, rows), n, *sums,
+                yield batch_of(schema, batch.column(0).slice(low, rows), batch.column(2).slice(low, rows), n, *_fingerprints(key, n),
                                list_array(keys.ravel(), lengths, pa.int64()))
         release()
 
-    return documents(docs).mapInArrow(run, _SIGNED)
+    return documents(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, _SIGNED)
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -122,14 +128,15 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                 row, key = shingle_sets(data, bounds, size)
                 n = np.bincount(row, minlength=high - low)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, high - low), list_array(key.view(np.int64), n, pa.int64())], ["x", "members"])
+                    [batch.column(0).slice(low, high - low), pa.array(n), *map(pa.array, _fingerprints(key, n)),
+                     list_array(key.view(np.int64), n, pa.int64())], ["doc_id", "n", "f1", "f2", "members"])
 
-    return documents(docs).mapInArrow(run, "x bigint, members array<bigint>")
+    return documents(docs).mapInArrow(run, "doc_id bigint, n bigint, f1 bigint, f2 bigint, members array<bigint>")
 
 
 def _buckets(texts: DataFrame) -> DataFrame:
     """``(key, x, shared)`` of the band keys that several texts share."""
-    keyed = texts.select(F.col("doc_id").alias("x"), F.explode("bands").alias("key"))
+    keyed = texts.select(F.col("node").alias("x"), F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("shared")).filter("shared > 1")
     return keyed.join(materialize(shared, "shared"), "key")
 
@@ -201,7 +208,7 @@ def _block_links(members: DataFrame, component: DataFrame, sets: DataFrame, text
     """Links between components that still meet in a bucket."""
     known = members.join(component.withColumnRenamed("node", "x"), "x", "left").withColumn(
         "component", F.coalesce("component", "x"))
-    sized = sets.join(texts.select(F.col("doc_id").alias("x"), "bands"), "x")
+    sized = sets.join(texts.select(F.col("node").alias("x"), "bands"), "x")
     counts = sized.select("x", F.size("members").alias("n"))
     open_keys = known.join(counts, "x").groupBy("key").agg(
         F.min("component").alias("c0"), F.max("component").alias("c1"), F.sum("n").alias("n")).filter("c0 != c1").select(
@@ -218,32 +225,44 @@ def _block_links(members: DataFrame, component: DataFrame, sets: DataFrame, text
     return full.mapInArrow(_compare_blocks(similarity), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` of every row.
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY,
+                    with_text: bool = False) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)`` of every row, with ``text_hash`` (xxhash64) if asked for.
 
     Words are lower-cased in ASCII; a text of fewer words is one shingle; texts without words have
-    an empty set and link with nothing. Rows that share a doc_id are one document repeated and share
-    its component. Rows without a doc_id link with nothing: their component is null and they are
-    kept. An empty table gives no rows.
+    an empty set and link with nothing. A set of shingles is one node, so rows that share a doc_id
+    share a component only if their texts are linked. A component is named by its least doc_id; of the
+    texts of that id one set is kept. Rows without a doc_id link with nothing: their component is null
+    and they are kept. An empty table gives no rows.
     """
     signed = materialize(_sign(docs, shingle), "signed")
     named = signed.filter("n > 0 and doc_id is not null")
-    copies = materialize(named.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")), "copies")
-    # Equal sets have equal signatures, so any row of the id will do.
-    texts = materialize(named.join(copies, ["f1", "f2", "n"], "left_semi").join(
-        copies.select(F.col("rep").alias("doc_id"), "f1", "f2", "n"), ["doc_id", "f1", "f2", "n"], "left_semi")
-        .dropDuplicates(["doc_id", "f1", "f2", "n"]), "texts")
+    whole = ["doc_id", "f1", "f2", "n"]
+    # Nodes are numbered in the order of their ids, so the least node of a component has its least id.
+    copies = materialize(named.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")).orderBy("rep", "f1", "f2", "n")
+                         .withColumn("node", F.monotonically_increasing_id()), "copies")
+    nodes = copies.select("node", F.col("rep").alias("doc_id"), "f1", "f2", "n")
+    # Equal sets have equal signatures, so any row of the id and set will do.
+    texts = materialize(named.join(nodes, whole).dropDuplicates(whole).select("node", "bands"), "texts")
     members = materialize(_buckets(texts), "members")
-    wanted = materialize(members.select(F.col("x").alias("doc_id")).distinct(), "wanted")
-    sets = materialize(_sets(documents(docs).join(wanted, "doc_id", "left_semi"), shingle).dropDuplicates(["x"]), "sets")
-    texts = texts.dropDuplicates(["doc_id"])
+    wanted = materialize(nodes.join(members.select(F.col("x").alias("node")), "node", "left_semi"), "wanted")
+    found_sets = _sets(documents(docs).join(wanted, "doc_id", "left_semi"), shingle).dropDuplicates(whole)
+    sets = materialize(found_sets.join(wanted, whole).select(F.col("node").alias("x"), "members"), "sets")
     links = materialize(_central_links(members, sets, similarity), "central")
     first = materialize(components(links), "components")
     more = materialize(_block_links(members, first, sets, texts, similarity), "between")
-    component = components(links.union(more))
-    named_copies = copies.join(component, copies["rep"] == component["node"], "left").select(
-        "f1", "f2", "n", F.coalesce("component", "rep").alias("component_id"))
+    component = materialize(components(links.union(more)), "components")
+    # A component may hold most nodes: its name is looked up in parts.
+    names = component.filter("node = component").join(copies, "node").select(
+        "component", F.col("rep").alias("name"), F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))).alias("part"))
+    called = component.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(_PARTS)).cast("int")).join(
+        names, ["component", "part"]).select("node", "component", "name")
+    named_copies = copies.join(called, "node", "left").select(
+        "f1", "f2", "n", F.coalesce("name", "rep").alias("component_id"),
+        (F.coalesce("component", "node") == F.col("node")).alias("head"))
     found = signed.join(materialize(named_copies, "named"), ["f1", "f2", "n"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    kept = F.coalesce((F.col("doc_id") == own) & F.coalesce("head", F.lit(True)), F.lit(True))
     return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"),
-                        F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+                        F.when(F.col("doc_id").isNull(), True).otherwise(kept).alias("kept"),
+                        *(["text_hash"] if with_text else []))

@@ -322,6 +322,22 @@ def test_near_duplicates(spark, odd, none, name):
         assert (d is None and component is None and kept) or (n, component, kept) == (len(sets[d]), want[d], want[d] == d)
 
 
+def test_texts_that_share_an_id(spark):
+    """Each text of an id has its own links; one id with two near texts keeps one of them."""
+    import corpus_pipeline
+
+    random.seed(6)
+    many = [" ".join(random.choices([f"w{i}" for i in range(500)], k=80)) for _ in range(24)]
+    rows = [(1, t) for t in many] + [(10 + i, f"{t} tail") for i, t in enumerate(many)] + [(1, f"{many[0]} end"), (1, many[1])]
+    docs = spark.createDataFrame([(d, t, "en", "s1", 1) for d, t in rows], DOCS)
+    got = rows_of(neardup.near_duplicates(docs, 4, (80, 100)))
+    assert {r[2] for r in got} == {1} and sum(r[3] for r in got) == len(many) + 1
+    left = rows_of(corpus_pipeline.drop_copies(spark, docs, ""))
+    assert len(left) == len(many) and {r[0] for r in left} == {1}
+    mixed = corpus_pipeline.mix_sources(spark, docs, "")
+    assert mixed.select("doc_id", "text").distinct().filter("doc_id = 1").count() == len(many) + 1
+
+
 def test_archives(spark):
     rows = [(1, "u", "<p>é</p>"), (2, "v", "<p>é</p>"), (3, None, None), (4, "a\nb", ""), (5, "u", "z" * 200000), (2, "v", "<p>é</p>"),
             (None, "w", "<p>é</p>"), (None, None, None)]
