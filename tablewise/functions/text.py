@@ -195,15 +195,24 @@ def has_content(c: Column) -> Column:
 
 
 def number_text(c: Column) -> Column:
-    """Plain decimal spelling of a double: no exponent, no trailing ``.0``."""
+    """Plain decimal spelling of a double, all digits kept: no exponent, no trailing ``.0``."""
     whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
     plain = (F.abs(c) >= 1e-3) & (F.abs(c) < 1e7)
-    spelled = F.rtrim(c.cast("decimal(38,12)").cast("string"), F.lit("0"))
     finite = ~F.isnan(c) & (F.abs(c) < 1e20)
+    spelled = c.cast("string")
+    part = lambda k: F.regexp_extract(spelled, r"^-?(\d)\.(\d+)E(-?\d+)$", k)
+    lead, tail, power = part(1), F.rtrim(part(2), F.lit("0")), part(3).try_cast("int")
+    places = F.length(tail)
+    zeros = lambda n: F.repeat(F.lit("0"), n)
+    expanded = (
+        F.when(power < 0, F.concat(F.lit("0."), zeros(-power - 1), lead, tail))
+        .when(power >= places, F.concat(lead, tail, zeros(power - places)))
+        .otherwise(F.concat(lead, F.substring(tail, F.lit(1), power), F.lit("."), F.substring(tail, power + 1, places)))
+    )
     return (
         F.when(whole, c.try_cast("bigint").cast("string"))
-        .when(plain | ~finite, c.cast("string"))
-        .otherwise(spelled)
+        .when(plain | ~finite, spelled)
+        .otherwise(F.concat(F.when(c < 0, "-").otherwise(""), expanded))
     )
 
 
@@ -215,7 +224,8 @@ def as_text(df: DataFrame, name: str) -> Column:
     if isinstance(kind, T.BooleanType):
         return F.upper(c.cast("string"))
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+        fraction = F.nullif(F.date_format(c, "SSSSSS"), F.lit("000000"))
+        return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.coalesce(F.concat(F.lit("."), fraction), F.lit("")))
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         return number_text(c.cast("double"))
     return c.cast("string")

@@ -25,7 +25,7 @@ def _plain(v):
     if isinstance(v, (int, float)) or type(v).__name__ == "Decimal":
         return round(float(v), 6)
     if hasattr(v, "isoformat"):
-        return v.isoformat()[:19]
+        return (v.replace(tzinfo=None) if getattr(v, "tzinfo", None) else v).isoformat()
     return v
 
 

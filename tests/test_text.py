@@ -72,3 +72,14 @@ def test_confidence(spark):
     df = spark.createDataFrame([(0.98,), (0.96,), (0.9,), (0.8,), (0.6,)], "v double")
     assert [r[0] for r in df.select(text.confidence_band(F.col("v"))).collect()] == [0.98, 0.95, 0.9, 0.75, 0.61]
     assert [r[0] for r in df.select(text.confidence_level(F.col("v"))).collect()] == ["high", "high", "high", "medium", "medium"]
+
+
+def test_distinct_values_stay_distinct_as_text(spark):
+    numbers = {1e-13: "0.0000000000001", -2.5e-13: "-0.00000000000025", 1.2345678912345e-4: "0.00012345678912345",
+               12345678.12345679: "12345678.12345679", 1.5e16: "15000000000000000", -12345678.5: "-12345678.5", 0.25: "0.25"}
+    rows = spark.createDataFrame([(k,) for k in numbers], "v double")
+    assert {r[0]: r[1] for r in rows.select("v", text.as_text(rows, "v")).collect()} == numbers
+    for kind in ("timestamp", "timestamp_ntz"):
+        times = spark.sql(f"SELECT CAST(v AS {kind}) AS v FROM VALUES ('2024-01-02 03:04:05'), ('2024-01-02 03:04:05.12') AS t(v)")
+        assert sorted(r[0] for r in times.select(text.as_text(times, "v")).collect()) == [
+            "2024-01-02T03:04:05", "2024-01-02T03:04:05.120000"]
