@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewise.llm import counting, language, mixing, neardup, packing, quality, rans, toxicity, vectors, warc
+from tablewise.llm import alignment, counting, language, mixing, neardup, packing, quality, rans, recurrent, toxicity, vectors, warc, whitening
 from tablewise.llm.common import table
 
 
@@ -52,9 +52,24 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every text under the recurrent model, beside that of single words."""
+    return recurrent.log_likelihood(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight whitened components of every vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers line up in every text."""
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_toxicity, op2_mixing, op3_packing, op4_quality, op5_counting, op6_near_duplicates, op7_warc,
-             op8_language, op9_token_files, op10_near_vectors)
+             op8_language, op9_token_files, op10_near_vectors, op11_recurrent, op12_whitening, op13_alignment)
     return {f.__name__: f for f in found}
 
 

@@ -306,7 +306,7 @@ def linked_components(nodes, links):
 
 @pytest.mark.parametrize("name", ["odd", "none", "file"])
 def test_near_duplicates(spark, odd, none, name):
-    file = table(spark, "/root/testdata/check_h", "documents").filter("doc_id % 40 = 0")
+    file = table(spark, "/root/testdata/sf0.01", "documents")
     docs = {"odd": odd, "none": none, "file": file}[name]
     sets = {r.doc_id: shingles(r.text, 4) for r in docs.collect() if r.doc_id is not None}
     index, links = defaultdict(list), []
