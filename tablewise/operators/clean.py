@@ -72,12 +72,37 @@ def align(cells: Column, width: Column) -> Column:
 
 # --- merged cells and formulas -----------------------------------------------
 
+#: Merges are cut into aligned runs of so many rows (as powers of two), the largest first.
+MERGE_BITS = (16, 8, 0)
+
+
+def _aligned_runs(spans: DataFrame, bits: tuple[int, ...] = MERGE_BITS) -> DataFrame:
+    """``(.., bits, block)``: every span ``low .. high`` as runs that fill whole blocks.
+
+    What the blocks of one size leave at both ends is cut by the next smaller size, so a span of n rows
+    has n / 65,536 large runs and at most 510 of each smaller size.
+    """
+    kept = [c for c in spans.columns if c not in ("low", "high")]
+    runs, left = None, spans
+    for b in bits:
+        first, behind = F.expr(f"shiftright(low + {(1 << b) - 1}L, {b})"), F.expr(f"shiftright(high + 1L, {b})")
+        placed = left.withColumns({"first": first, "behind": behind})
+        own = placed.filter("behind > first").select(*kept, F.lit(b).alias("bits"), F.explode(F.sequence("first", F.col("behind") - 1)).alias("block"))
+        runs = own if runs is None else runs.unionAll(own)
+        ends = F.when(F.col("behind") > F.col("first"), F.array(
+            F.struct("low", (F.col("first") * (1 << b) - 1).alias("high")), F.struct((F.col("behind") * (1 << b)).alias("low"), "high"),
+        )).otherwise(F.array(F.struct("low", "high")))
+        left = placed.select(*kept, F.explode(ends).alias("s")).select(*kept, "s.low", "s.high").filter("low <= high")
+    return runs
+
+
 def fill_merges(grid: DataFrame, merges: DataFrame) -> DataFrame:
     """Copy the anchor of each vertical merge into the empty cells it covers.
 
     ``merges``: ``(source_file, sheet, min_row, max_row, col)``, all counted from 0.
     Line breaks inside the anchor are dropped, on the anchor itself as well. Where merges overlap,
-    the one that starts first fills the cell; rows behind the sheet's last one do not count.
+    the one that starts first fills the cell; rows behind the sheet's last one do not count. Rows meet
+    the merges that cover them on aligned blocks of at most 65,536 rows, however long a merge is.
     """
     at = [*TABLE, "row_no"]
     ends = materialize(grid.groupBy(*TABLE).agg(F.max("row_no").alias("end")), "ends")
@@ -89,28 +114,29 @@ def fill_merges(grid: DataFrame, merges: DataFrame) -> DataFrame:
         .withColumn("label", text.strip(F.regexp_replace("raw", r"(?U)\s*[\r\n]+\s*", "")))
         .filter(F.length("label") > 0)
     )
-    covered = anchors.select(
-        *TABLE, F.explode(F.sequence(F.col("min_row").cast("bigint"), F.col("max_row").cast("bigint"))).alias("row_no"),
-        F.col("col").cast("int").alias("col"), "label", "min_row",
-    )
-    covered = covered.groupBy(*at, "col").agg(F.min(F.struct("min_row", "label")).alias("m")).select(
-        *at, "col", "m.label", "m.min_row")
-    per_row = covered.groupBy(*at).agg(
-        F.max("col").alias("last"),
-        F.map_from_entries(F.collect_list(F.struct("col", "label"))).alias("fill"),
-        F.map_from_entries(F.collect_list(
-            F.struct("col", (F.col("row_no") == F.col("min_row")).alias("own")))).alias("own"),
-    )
+    runs = _aligned_runs(anchors.select(
+        *TABLE, F.col("col").cast("int").alias("col"), "label", F.col("row_no").alias("first_row"),
+        F.col("row_no").alias("low"), F.col("max_row").cast("bigint").alias("high")))
+    each = runs.groupBy(*TABLE, "bits", "block", "col").agg(F.min(F.struct("first_row", "label")).alias("m"))
     # Stored, the fills have a known size: few of them are broadcast, and the grid stays put.
-    joined = grid.join(materialize(per_row, "fills"), at, "left")
-    padded = align(F.col("cells"), F.greatest(F.size("cells"), F.col("last") + 1))
-    filled = F.transform(padded, lambda c, i: F.when(
-        c.isNull() | F.try_element_at("own", i), F.coalesce(F.try_element_at("fill", i), c)
-    ).otherwise(c))
-    return joined.select(
-        *TABLE, "row_no",
-        F.when(F.col("fill").isNull(), F.col("cells")).otherwise(filled).alias("cells"),
-    )
+    fills = materialize(each.groupBy(*TABLE, "bits", "block").agg(
+        F.collect_list(F.struct("col", "m.first_row", "m.label")).alias("fills")), "fills")
+    joined = grid
+    for b in (r[0] for r in fills.select("bits").distinct().orderBy("bits").collect()):
+        some = fills.filter(F.col("bits") == b).select(*TABLE, F.col("block").alias(f"_block{b}"), F.col("fills").alias(f"_fills{b}"))
+        joined = joined.withColumn(f"_block{b}", F.shiftright("row_no", b)).join(some, [*TABLE, f"_block{b}"], "left")
+    found = [F.coalesce(F.col(c), F.lit([])) for c in joined.columns if c.startswith("_fills")]
+    if not found:
+        return grid
+    held = joined.select(*TABLE, "row_no", "cells", (F.concat(*found) if len(found) > 1 else found[0]).alias("found"))
+    padded = align(F.col("cells"), F.greatest(F.size("cells"), F.array_max(F.transform("found", lambda f: f["col"])) + 1))
+
+    def filled(c, i):
+        own = F.array_min(F.transform(F.filter("found", lambda f: f["col"] == i), lambda f: F.struct(f["first_row"], f["label"])))
+        return F.when(c.isNull() | (own["first_row"] == F.col("row_no")), F.coalesce(own["label"], c)).otherwise(c)
+
+    return held.select(
+        *TABLE, "row_no", F.when(F.size("found") == 0, F.col("cells")).otherwise(F.transform(padded, filled)).alias("cells"))
 
 
 def missing_formulas(grid: DataFrame, formulas: DataFrame) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 
 from tablewise.functions import text
 from tablewise.functions import vocab as V
-from tablewise.operators.numbering import number_rows
 
 GRID = "source_file string, sheet string, row_no bigint, cells array<string>"
 _CHUNK_ROWS = 10_000
@@ -86,21 +85,25 @@ def _parse(batches):
             if _unreadable(path, content):
                 continue
             body = decode(content)
-            name = path.rsplit("/", 1)[-1]
-            sheet = name.rsplit(".", 1)[0] if name.rfind(".") > 0 else name
             start, cells = 0, []
-            for record in csv.reader(io.StringIO(body), delimiter=delimiter(body)):
+            for record in csv.reader(io.StringIO(body, newline=""), delimiter=delimiter(body)):
                 cells.append([c.strip() or None for c in record])
                 if len(cells) == _CHUNK_ROWS:
-                    yield _frame(path, sheet, start, cells)
+                    yield _frame(path, start, cells)
                     start, cells = start + len(cells), []
             if cells:
-                yield _frame(path, sheet, start, cells)
+                yield _frame(path, start, cells)
 
 
-def _frame(path, sheet, start, cells) -> pd.DataFrame:
+def sheet_name(path: str) -> str:
+    """File name without its last ending."""
+    name = path.rsplit("/", 1)[-1]
+    return (name.rsplit(".", 1)[0] if name.rfind(".") > 0 else name) or "sheet1"
+
+
+def _frame(path, start, cells) -> pd.DataFrame:
     return pd.DataFrame({
-        "source_file": path, "sheet": sheet or "sheet1",
+        "source_file": path, "sheet": sheet_name(path),
         "row_no": range(start, start + len(cells)), "cells": cells,
     })
 
@@ -113,7 +116,10 @@ def _causes(batches):
 
 
 def read_grid(files: DataFrame, parts: int | None = None) -> DataFrame:
-    """Grid of all delimited files; quoted cells, blank cells null, empty lines kept."""
+    """Grid of all delimited files; quoted cells, blank cells null, empty lines kept.
+
+    A file is one task's work; ``splits.read_split_grid`` gives the same grid for files of any size.
+    """
     spread = files.repartition(parts, "path") if parts else files.repartition("path")
     return spread.select("path", "content").mapInPandas(_parse, GRID)
 
@@ -123,11 +129,6 @@ def unreadable_files(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(_causes, "source_file string, cause string")
 
 
-def read_plain_text(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Clean UTF-8 files with a header, read by Spark itself and split inside files."""
-    return spark.read.option("header", True).option("sep", sep).csv(path)
-
-
 def _cell(df: DataFrame, name: str):
     c = text.as_text(df, name)
     return text.null_blank(c) if isinstance(df.schema[name].dataType, T.StringType) else c
@@ -142,29 +143,6 @@ def table_rows(df: DataFrame, source_file: str, sheet: str, order: str, columns=
     )
 
 
-def read_large_grid(spark: SparkSession, path: str, width: int, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """Grid of delimited files too large for one task; no cell may contain a line break.
-
-    Spark splits the files. A line's place is its split's first byte plus its number inside the
-    split: that grows along the file and is unique, as every line takes a byte or more, and
-    ranks to a dense ``row_no`` by blocks. ``width`` is the number of columns to read; blank
-    lines are not kept.
-    """
-    names = [f"c{i}" for i in range(width)]
-    lines = (
-        spark.read.schema(", ".join(f"{n} string" for n in names)).option("sep", sep).option("encoding", encoding)
-        .option("escape", '"').csv(path)
-        .select(*names, F.col("_metadata.file_path").alias("source_file"),
-                F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("mid"))
-    )
-    firsts = lines.groupBy("source_file", "start").agg(F.min("mid").alias("first"))
-    placed = lines.join(firsts, ["source_file", "start"]).select(
-        "source_file", F.regexp_extract("source_file", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("sheet"),
-        (F.col("start") + F.col("mid") - F.col("first")).alias("place"),
-        F.array(*[text.null_blank(F.col(n)) for n in names]).alias("cells"))
-    return number_rows(placed, "place").select("source_file", "sheet", "row_no", "cells")
-
-
 def table_columns(df: DataFrame, source_file: str, sheet: str) -> DataFrame:
     """Header rows ``(source_file, sheet, pos, column)`` of a wide table."""
     names = [(i, c) for i, c in enumerate(df.columns)]

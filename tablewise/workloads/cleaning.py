@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewise.operators import clean
 from tablewise.operators.numbering import TABLE, number_rows
-from tablewise.session import materialize
+from tablewise.session import materialize, work_folder
 from tablewise.sources import grid as g
+from tablewise.sources import splits
 from tablewise.sources.parquet import spread
 from tablewise.workloads import fixtures as fx
 from tablewise.workloads.registry import query
@@ -201,9 +204,10 @@ def vertical_merges(grid: DataFrame) -> DataFrame:
 
 
 @query("merge_fill", f"""WITH {GRID}, anchors AS (SELECT file, sheet, row_no AS a, trim(regexp_replace(cells[4], '\\s*[\\r\\n]+\\s*', '', 'g')) AS label
-  FROM grid WHERE row_no % 40 = 5 AND cells[4] IS NOT NULL)
+  FROM grid WHERE row_no % 40 = 5 AND cells[4] IS NOT NULL),
+covered AS (SELECT file, sheet, unnest([a, a + 1, a + 2, a + 3]) AS row_no, a, label FROM anchors)
 SELECT g.file, g.sheet, g.row_no, CASE WHEN g.row_no = a THEN label ELSE coalesce(cells[4], label) END AS note FROM grid g
-LEFT JOIN anchors n ON g.file = n.file AND g.sheet = n.sheet AND g.row_no BETWEEN a AND a + 3""")
+LEFT JOIN covered n ON g.file = n.file AND g.sheet = n.sheet AND g.row_no = n.row_no""")
 def merge_fill(spark, sf):
     grid = materialize(messy_grid(spark, sf), "grid")
     filled = clean.fill_merges(grid, vertical_merges(grid))
@@ -278,3 +282,42 @@ def new_files(spark, sf):
     seen = files.filter((number % 2 == 0) | (number % 16 == 7)).select(g.file_hash(F.col("content"), "v1").alias("content_hash"))
     stale = files.select(g.file_hash(F.col("content"), "v0").alias("content_hash"))
     return g.new_files(files, seen.unionByName(stale), "v1").select("path")
+
+
+# --- files of any size ---------------------------------------------------------
+
+def large_files(spark, sf) -> str:
+    """Four files of all orders: two in UTF-8 with semicolons, two in UTF-16 with commas.
+
+    A cell holds quotes, delimiters and line breaks; some rows are blank and some have more cells.
+    """
+    cell = F.expr("""concat('"客户 ', o_custkey, '; ""one"",', chr(10), case when o_orderkey % 11 = 0 then chr(13) || chr(10) else '' end,
+        o_orderpriority, '"')""")
+    named = fx.read(spark, sf, "orders").select(
+        "o_orderkey", (F.col("o_orderkey") % 4).alias("part"), cell.alias("cell"), "o_orderstatus", F.expr(f"{fx.NOTE_TEXT}").alias("note"))
+    sep = F.when(F.col("part") < 2, ";").otherwise(",")
+    parts = F.concat(F.col("o_orderkey").cast("string"), sep, "cell", sep, F.coalesce("note", F.lit(" ")), sep, "o_orderstatus",
+                     F.when(F.col("o_orderkey") % 7 == 0, F.concat(sep, F.lit("more"), sep, sep, F.lit("cells"))).otherwise(""))
+    lines = named.select("part", "o_orderkey", F.when(F.col("o_orderkey") % 50 == 3, "").otherwise(parts).alias("value"))
+    folder = f"{work_folder(spark)}/large-{uuid.uuid4().hex}"
+    for name, some in (("utf8", F.col("part") < 2), ("utf16", F.col("part") >= 2)):
+        own = lines.filter(some).repartition("part").sortWithinPartitions("part", "o_orderkey")
+        if name == "utf16":
+            mark = F.when(F.lag("o_orderkey").over(Window.partitionBy("part").orderBy("o_orderkey")).isNull(), F.lit("\ufeff")).otherwise("")
+            own = own.select("part", F.encode(F.concat(mark, "value"), "UTF-16LE").cast("string").alias("value"))
+        own.select("part", "value").write.partitionBy("part").option("encoding", "UTF-16LE" if name == "utf16" else "UTF-8").option(
+            "lineSep", "\n").text(f"{folder}/{name}")
+    return folder
+
+
+@query("read_split_files", f"""WITH l AS (SELECT *, o_orderkey % 4 AS part, row_number() OVER (PARTITION BY o_orderkey % 4 ORDER BY o_orderkey) - 1 AS row_no,
+  {fx.NOTE_TEXT} AS note FROM orders)
+SELECT part, row_no, CASE WHEN o_orderkey % 50 = 3 THEN '' ELSE concat_ws('|', o_orderkey, concat('客户 ', o_custkey, '; "one",', chr(10),
+  CASE WHEN o_orderkey % 11 = 0 THEN chr(13) || chr(10) ELSE '' END, o_orderpriority), coalesce(note, '~'), o_orderstatus,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'more|~|cells' END) END AS cells FROM l""")
+def read_split_files(spark, sf):
+    folder = large_files(spark, sf)
+    largest = splits.list_splittable(spark, folder, "*.txt").agg(F.max("length")).first()[0] or 0
+    rows = splits.read_split_grid(spark, folder, "*.txt", max(1024, min(splits.SPLIT_BYTES, largest // 20)))
+    part = F.regexp_extract("source_file", r"part=(\d+)", 1).cast("bigint")
+    return rows.select(part.alias("part"), "row_no", F.array_join("cells", "|", "~").alias("cells"))

@@ -98,18 +98,6 @@ def test_only_two_words_are_decisions(spark):
         "kept": ["a"], "rejected": ["d"], "missing": [], "unknown": [], "invalid": ["b", "c"]}
 
 
-def test_large_plain_files_keep_line_order(spark, tmp_path):
-    path = tmp_path / "big.csv"
-    path.write_text("".join(f"{i},v{i}\n" for i in range(5000)), encoding="utf-8")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
-    try:
-        rows = g.read_large_grid(spark, str(path), 2).collect()
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert [r["cells"][0] for r in sorted(rows, key=lambda r: r["row_no"])] == [str(i) for i in range(5000)]
-    assert sorted(r["row_no"] for r in rows) == list(range(5000))
-
-
 def test_profile_by_hand(spark):
     rows = rows_of(spark, {"s": [["1", "华东"], ["2", "华东"], ["3", "华南"], ["4", None]]})
     counts = profile.value_counts(rows)
