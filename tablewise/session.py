@@ -55,4 +55,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete stored intermediates that no later plan reads; frames of other origin are left alone."""
+    for frame in frames:
+        path = getattr(frame, "_stored_at", None) if "_stored_at" in vars(frame) else None
+        if path:
+            spark = frame.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
