@@ -15,7 +15,7 @@ from tablewise.functions import text
 from tablewise.functions import vocab as V
 from tablewise.operators.numbering import TABLE, explode_cells
 from tablewise.operators.query import Entity, Field
-from tablewise.sources.records import SPARK_TYPES
+from tablewise.sources.records import SPARK_TYPES, STORED
 
 REJECT = "struct<field:string,value:string,cause:string>"
 
@@ -113,17 +113,112 @@ def widen_enums(entity: Entity, rows: DataFrame, positions: dict[str, int]) -> E
     seen: dict[str, list[str]] = {}
     for r in sorted(unseen_labels(rows, entity, positions).collect(), key=lambda r: r["first_row"]):
         seen.setdefault(r["field"], []).append(r["label"])
-    fields = []
-    for f in entity.fields:
-        merged = tuple(dict.fromkeys([*f.values, *seen.get(f.key, [])]))
-        if f.type != "enum" or merged == f.values:
-            fields.append(f)
-        elif len(merged) <= V.ENUM_MAX_DISTINCT:
-            fields.append(replace(f, values=merged))
-        else:
-            role = "dimension" if f.role == "enum" else f.role
-            fields.append(replace(f, type="string", role=role, values=()))
-    return replace(entity, fields=tuple(fields))
+    return replace(entity, fields=tuple(_widened(f, seen.get(f.key, [])) for f in entity.fields))
+
+
+# --- all tables of a workbook in one pass ----------------------------------------
+
+def stored_name(key: str, kind: str) -> str:
+    """Column of a stored load that holds a field; fields of one key and kind share it over all entities."""
+    return f"{key}__{STORED[kind]}"
+
+
+def typing_spec(spark, placed: list[tuple[str, Entity, dict[str, int]]]) -> tuple[DataFrame, list[str]]:
+    """One row per table of ``(sheet, entity, positions)``: its fields, and the slot of every stored column.
+
+    The catalog of one workbook, which the driver holds anyway.
+    """
+    columns = sorted({stored_name(f.key, f.type) for _, e, _ in placed for f in e.fields})
+    rows = []
+    for sheet, entity, positions in placed:
+        fields = []
+        for f in entity.fields:
+            squeezed = ["".join(v.split()) for v in f.values]
+            only = [s if squeezed.count(s) == 1 else None for s in squeezed]  # labels alike without blanks match nothing
+            fields.append((positions[f.key], f.key, f.type, list(f.values), only, f.key == entity.key_field))
+        at = {stored_name(f.key, f.type): k for k, f in enumerate(entity.fields)}
+        rows.append((sheet, entity.key, fields, [at.get(c) for c in columns]))
+    kind = "array<struct<pos:int,key:string,type:string,values:array<string>,only:array<string>,is_key:boolean>>"
+    return spark.createDataFrame(rows, f"sheet string, entity string, spec {kind}, slots array<int>"), columns
+
+
+def _typed_cells() -> Column:
+    """Per field of ``spec``: cell, text, number, date and the cause of a reject."""
+    kind = lambda x: x["s"]["type"]
+    numeric = lambda x: kind(x).isin("number", "money")
+    cell = F.transform("spec", lambda s: F.struct(s.alias("s"), text.null_blank(F.get("cells", s["pos"])).alias("cell")))
+    real = F.transform(cell, lambda x: F.struct(
+        x["s"].alias("s"), x["cell"].alias("cell"),
+        F.when((kind(x) == "string") | ~text.is_missing(x["cell"]), x["cell"]).alias("real")))
+    ready = F.transform(real, lambda x: F.struct(
+        x["s"].alias("s"), x["cell"].alias("cell"), x["real"].alias("real"),
+        F.when(numeric(x), text.bare_number(x["real"])).when(kind(x) == "date", text.date_text(x["real"]))
+        .when(kind(x) == "enum", text.compact(x["real"])).alias("plain")))
+
+    def label(x):
+        near = F.array_position(x["s"]["only"], x["plain"])
+        return F.when(F.array_contains(x["s"]["values"], x["real"]), x["real"]).when(
+            near > 0, F.get(x["s"]["values"], (near - 1).cast("int"))).otherwise(x["plain"])
+
+    value = F.transform(ready, lambda x: F.struct(
+        x["s"].alias("s"), x["cell"].alias("cell"), x["real"].alias("real"),
+        F.when(kind(x) == "enum", label(x)).when(kind(x).isin("string", "phone"), x["real"]).alias("text"),
+        F.when(numeric(x), text.parse_number(x["plain"])).alias("number"),
+        F.when(kind(x) == "date", text.parse_date(x["plain"])).alias("date")))
+    return F.transform(value, lambda x: F.struct(
+        x["s"]["key"].alias("key"), x["cell"].alias("cell"), x["text"].alias("text"), x["number"].alias("number"), x["date"].alias("date"),
+        F.when(numeric(x) & x["real"].isNotNull() & x["number"].isNull(), "not a number")
+        .when((kind(x) == "date") & x["real"].isNotNull() & x["date"].isNull(), "not a date")
+        .when((kind(x) == "enum") & x["text"].isNotNull() & ~F.array_contains(x["s"]["values"], x["text"]), "not a declared value").alias("cause"),
+        F.when(x["s"]["is_key"] & x["real"].isNull(), "key is empty").alias("no_key")))
+
+
+def typed_tables(rows: DataFrame, placed: list[tuple[str, Entity, dict[str, int]]]) -> DataFrame:
+    """Typed rows of all tables of one workbook from one scan: ``(entity, state, row_no, <stored columns>, errors)``.
+
+    The rows are not taken apart: the cells of a row are typed side by side by the fields of its table. ``state``
+    is ``good``, or ``bad`` for a row with errors; blank rows are dropped. The same values and causes as
+    ``typed_rows`` gives for each table.
+    """
+    spec, columns = typing_spec(rows.sparkSession, placed)
+    typed = rows.join(F.broadcast(spec), "sheet").select("entity", "row_no", "slots", _typed_cells().alias("typed"))
+    errors = F.flatten(F.transform("typed", lambda x: F.array_compact(F.array(
+        F.when(x["cause"].isNotNull(), F.struct(x["key"].alias("field"), x["cell"].alias("value"), x["cause"].alias("cause"))),
+        F.when(x["no_key"].isNotNull(), F.struct(x["key"].alias("field"), x["cell"].alias("value"), x["no_key"].alias("cause")))))))
+    filled = F.exists("typed", lambda x: x["cell"].isNotNull())
+    row = F.struct("entity", "row_no", "slots", "typed", errors.alias("errors"))
+    # Through a generator, so that later projections do not type the cells again.
+    made = typed.select(F.inline_outer(F.array(F.when(filled, row)))).filter(F.col("row_no").isNotNull())
+    return made.select(
+        "entity", F.when(F.size("errors") == 0, "good").otherwise("bad").alias("state"), "row_no",
+        *[F.get("typed", F.get("slots", F.lit(k)))[c.rsplit("__", 1)[1]].alias(c) for k, c in enumerate(columns)], "errors")
+
+
+def widen_tables(rows: DataFrame, placed: list[tuple[str, Entity, dict[str, int]]]) -> list[tuple[str, Entity, dict[str, int]]]:
+    """``widen_enums`` for all tables of a workbook from one scan; at most 21 labels of a field reach the driver."""
+    narrow = [(s, replace(e, fields=tuple(f for f in e.fields if f.type == "enum")), p) for s, e, p in placed]
+    narrow = [x for x in narrow if x[1].fields]
+    if not narrow:
+        return placed
+    spec, _ = typing_spec(rows.sparkSession, narrow)
+    typed = rows.join(F.broadcast(spec), "sheet").select("entity", "row_no", F.inline(F.filter(
+        _typed_cells(), lambda x: x["cause"].isNotNull() & (F.length(x["text"]) > 0))))
+    order = Window.partitionBy("entity", "key").orderBy("first_row", "text")
+    fresh = typed.groupBy("entity", "key", "text").agg(F.min("row_no").alias("first_row")).withColumn(
+        "rank", F.row_number().over(order)).filter(F.col("rank") <= V.ENUM_MAX_DISTINCT + 1)
+    seen: dict[tuple[str, str], list[str]] = {}
+    for r in fresh.orderBy("entity", "key", "rank").collect():
+        seen.setdefault((r["entity"], r["key"]), []).append(r["text"])
+    return [(s, replace(e, fields=tuple(_widened(f, seen.get((e.key, f.key), [])) for f in e.fields)), p) for s, e, p in placed]
+
+
+def _widened(f: Field, fresh: list[str]) -> Field:
+    merged = tuple(dict.fromkeys([*f.values, *fresh]))
+    if f.type != "enum" or merged == f.values:
+        return f
+    if len(merged) <= V.ENUM_MAX_DISTINCT:
+        return replace(f, values=merged)
+    return replace(f, type="string", role="dimension" if f.role == "enum" else f.role, values=())
 
 
 def widened_labels(declared: DataFrame, observed: DataFrame) -> DataFrame:

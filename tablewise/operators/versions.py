@@ -23,7 +23,8 @@ FIELD = "struct<key:string,name:string,type:string,role:string,values:array<stri
 SNAPSHOT = (
     f"struct<entities:array<struct<key:string,name:string,key_field:string,fields:array<{FIELD}>>>,"
     "links:array<struct<key:string,from:string,to:string,on_from:string,on_to:string>>,"
-    "metrics:array<struct<key:string,name:string,entity:string,op:string,field:string,business_definition:string>>>"
+    "metrics:array<struct<key:string,name:string,entity:string,op:string,field:string,business_definition:string>>,"
+    "load:string>"
 )
 APP_KEY = r"^[a-z0-9][a-z0-9_-]{0,63}$"
 
@@ -198,6 +199,12 @@ def snapshot_entities(row_snapshot: str, spark: SparkSession) -> list[Entity]:
     ]
 
 
+def snapshot_load(row_snapshot: str, spark: SparkSession) -> str | None:
+    """Load whose folder holds the rows of a snapshot."""
+    found = spark.createDataFrame([(row_snapshot,)], "s string").select(F.from_json("s", SNAPSHOT)["load"].alias("load"))
+    return found.first()["load"]
+
+
 def judge_requests(publications: DataFrame, changes: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Requests that can be carried out, and rejects ``(app_key, cause, requests)``.
 

@@ -83,7 +83,3 @@ def understand_grid(grid: DataFrame, *, merges=None, spans=None, formulas=None,
     columns = cleaned["columns"].select("source_file", "sheet", "pos", "column")
     columns = materialize(columns, "columns") if store else columns
     return understand(rows, columns, **options), cleaned
-
-
-def sheet_rows(rows: DataFrame, source_file: str, sheet: str) -> DataFrame:
-    return rows.filter((F.col("source_file") == source_file) & (F.col("sheet") == sheet))

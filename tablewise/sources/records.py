@@ -13,6 +13,9 @@ SPARK_TYPES = {
     "number": "double", "money": "double", "date": "date",
 }
 
+#: A stored load has one column for each key and kind of value.
+STORED = {"string": "text", "phone": "text", "enum": "text", "number": "number", "money": "number", "date": "date"}
+
 
 def entity_schema(entity: Entity) -> str:
     return ", ".join(f"`{f.key}` {SPARK_TYPES[f.type]}" for f in entity.fields)
@@ -43,6 +46,23 @@ def read_records(
         return spark.createDataFrame([], schema)
 
 
+def load_path(root: str, app: str, load: str) -> str:
+    return f"{root.rstrip('/')}/app={app}/load={load}"
+
+
+def read_load(spark: SparkSession, root: str, app: str, entity: Entity, load: str) -> DataFrame:
+    """Good rows of one entity of a load; only its own columns are read."""
+    names = [(f.key, f"{f.key}__{STORED[f.type]}", SPARK_TYPES[f.type]) for f in entity.fields]
+    schema = ", ".join(f"`{stored}` {kind}" for _, stored, kind in names)
+    try:
+        rows = spark.read.schema(schema).parquet(f"{load_path(root, app, load)}/entity={entity.key}/state=good")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        rows = spark.createDataFrame([], schema)
+    return rows.select(*[F.col(f"`{stored}`").alias(key) for key, stored, _ in names])
+
+
 def conform(df: DataFrame, entity: Entity) -> DataFrame:
     """Rows under a catalog version: known fields kept, missing ones null, the rest dropped."""
     have = set(df.columns)

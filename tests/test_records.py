@@ -1,11 +1,13 @@
 """Typed load, queries, changes, versions and whole loads on small tables."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 from tablewise.operators import catalog, changes, load, query as q, versions
 from tablewise.operators.query import Entity, Field, ListQuery
-from tablewise.plans.confirm import ConfirmError, confirm
+from tablewise.plans.confirm import ConfirmError, confirm, loaded_rejects, loaded_rows
 from tablewise.plans.understand import understand
 from tablewise.sources import records
 from test_tables import _ledger
@@ -174,10 +176,61 @@ def test_confirm(spark, tmp_path):
     assert confirm(corpus, "b", "shop", root, decisions, acknowledged).version == 2
     snapshot = versions.current_versions(versions.read_versions(spark, f"{root}/model_versions", "shop")).first()["snapshot"]
     order = next(e for e in versions.snapshot_entities(snapshot, spark) if e.key == "order")
-    rows = records.read_records(spark, root, "shop", order, 2)
+    rows = loaded_rows(spark, root, "shop", "order", 2)
+    assert rows.columns == [f.key for f in order.fields]
     assert rows.agg(F.sum("amount")).first()[0] == sum(i * 100 + 1 for i in range(40))
 
 
+def test_all_tables_are_typed_like_one(spark):
+    """One scan for all tables gives what typing each table alone gives, widened labels included."""
+    other = Entity("note", "id", (Field("id", "number"), Field("phone", "phone"), Field("state", "enum", values=("A B", "AB", "ok")),
+                                  Field("day", "date"), Field("tag", "enum", values=("t",)), Field("amount", "number")))
+    at = {"id": 0, "phone": 2, "state": 1, "day": 3, "tag": 4, "amount": 9}
+    one = [["A1", "¥12,800.00", "2022", "new"], ["A2", "abc", "2022-13", "on\nhold"], [None, "1", "N/A", "lost"], [None, " ", "", None], ["A3", "missing: x", None, "-"],
+           ["A4", "２", "2020年5月", "fresh one"]]
+    two = [["1", "A  B", "-", "20200102", "t"], ["x", "AB", "138 0013 8000", "?", " t "], ["3", "o k", None, "2020", "u"], [], [None, None, None, None, "w 1"]]
+    rows = spark.createDataFrame([("b", s, i, r) for s, rs in (("s1", one), ("s2", two)) for i, r in enumerate(rs)],
+                                 "source_file string, sheet string, row_no bigint, cells array<string>")
+    placed = [("s1", ORDER, AT), ("s2", other, at)]
+    wide = load.widen_tables(rows, placed)
+    assert [e for _, e, _ in wide] == [load.widen_enums(e, rows.filter(F.col("sheet") == s), p) for s, e, p in placed]
+    for some in (placed, wide):
+        typed = load.typed_tables(rows, some)
+        assert typed._jdf.queryExecution().executedPlan().toString().count("Scan") == 2  # the rows and the fields
+        for sheet, entity, positions in some:
+            good, bad = load.split_rows(load.typed_rows(rows.filter(F.col("sheet") == sheet), entity, positions))
+            own = typed.filter(F.col("entity") == entity.key)
+            got = own.filter("state = 'good'").select("row_no", *[F.col(load.stored_name(f.key, f.type)) for f in entity.fields])
+            assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, good.collect()), key=str)
+            broken = own.filter("state = 'bad'").select("row_no", F.inline("errors"))
+            assert sorted(map(tuple, broken.collect()), key=str) == sorted(map(tuple, bad.collect()), key=str)
+
+
+def test_rejects_block_a_load_and_loads_do_not_mix(spark, tmp_path):
+    rows, columns = _ledger(spark)
+    corpus = understand(rows, columns, dense=True)
+    decisions, acknowledged = _decide(corpus)
+    broken = replace(corpus, rows=rows.withColumn("cells", F.when(F.col("row_no") == 3, F.transform(
+        "cells", lambda c, i: F.when(i > 0, c))).otherwise(F.col("cells"))))
+    root = str(tmp_path)
+    with pytest.raises(ConfirmError, match="row 3, .*: key is empty"):
+        confirm(broken, "b", "shop", root, decisions, acknowledged)
+    assert versions.read_versions(spark, f"{root}/model_versions").count() == 0
+    first = confirm(broken, "b", "shop", root, decisions, acknowledged, allow_rejects=True)
+    hints = spark.createDataFrame([("b", 0, next(r["sheet"] for r in corpus.plans.collect() if r["entity"] == "order"), "count", None, "orders as signed", 0.95)],
+                                  "source_file string, position int, sheet string, op string, field string, definition string, confidence double")
+    second = confirm(corpus, "b", "shop", root, decisions, acknowledged, definitions=hints)
+    assert (first.version, second.version) == (1, 2) and first.load != second.load
+    for entity in ("order", "customer", "product"):
+        old, new = (loaded_rows(spark, root, "shop", entity, v).count() for v in (1, 2))
+        assert (old, new) == (first.counts[entity], second.counts[entity]) and old + first.rejects[entity] == new
+    assert {r["cause"] for r in loaded_rejects(spark, root, "shop", first.load).collect()} == {"key is empty"}
+    snapshot = versions.current_versions(versions.read_versions(spark, f"{root}/model_versions", "shop")).first()["snapshot"]
+    assert "orders as signed" in snapshot
+    names = {r["entity"]: r["name"] for r in corpus.plans.collect()}
+    assert all(f'"key":"{k}","name":"{n}"' in snapshot for k, n in names.items())
+
+
 def test_publication_requests(spark):
     made = spark.createDataFrame([("a", "one", 1, "published"), ("b", "two", 1, "unpublished")],
                                  "app_key string, slug string, model_version bigint, status string")
