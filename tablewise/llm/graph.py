@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.session import materialize
+from tablewise.session import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,5 +39,6 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
                 now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
-        seen = mark
+        seen, last = mark, now
         now = materialize(_small_star(_large_star(now)), "links")
+        discard(last)

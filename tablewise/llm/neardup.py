@@ -25,7 +25,7 @@ from tablewise.llm.common import (
     whole_groups, windows,
 )
 from tablewise.llm.graph import components
-from tablewise.session import materialize
+from tablewise.session import discard, materialize
 
 SHINGLE = 5
 SIMILARITY = (8, 10)
@@ -34,6 +34,8 @@ UNIVERSE = 1 << 20
 #: Shingles of a block of a bucket, which is split into so many blocks.
 BLOCK_SHINGLES = 1 << 17
 _SIGNED = "doc_id bigint, text_hash bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>"
+#: Most bits of the filter of wanted ids (16 MB), and bits that one id sets.
+FILTER_BITS, _FILTER_HASHES = 1 << 27, 4
 #: Parts of a component when its name is looked up.
 _PARTS = 32
 
@@ -121,17 +123,42 @@ def _sign(docs: DataFrame, size: int) -> DataFrame:
     return documents(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, _SIGNED)
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
+def _seen_ids(wanted: DataFrame):
+    """Bits that a wanted doc_id sets: a filter that lets all of them pass and few others.
+
+    It has ten bits an id, ``FILTER_BITS`` at most: beyond that more others pass, and the join behind
+    it, which is exact, has more to drop.
+    """
+    bits = min(FILTER_BITS, max(1 << 10, 1 << int(10 * wanted.count()).bit_length()))
+    slot = F.explode(F.array(*[F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(bits)) for k in range(_FILTER_HASHES)])).alias("slot")
+    words = wanted.select(slot).groupBy(F.shiftright("slot", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("mask"))
+    found = np.zeros(bits // 64, np.int64)
+    for batch in words.toArrow().to_batches():  # at most FILTER_BITS / 64 rows
+        found[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    return wanted.sparkSession.sparkContext.broadcast(found), bits
+
+
+def _sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
+    """Shingle sets of the texts whose ids pass the filter; no text is shuffled."""
+    seen, bits = _seen_ids(wanted)
+    slots = F.array(*[F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(bits)) for k in range(_FILTER_HASHES)])
+
     def run(batches):
+        words = seen.value
         for batch in batches:
+            slot = batch.column(2).flatten().to_numpy()
+            hit = (words[slot >> 6] >> (slot & 63) & 1).reshape(-1, _FILTER_HASHES).all(axis=1)
+            batch = batch.filter(pa.array(hit))
             for low, high, data, bounds in text_slices(batch.column(1)):
                 row, key = shingle_sets(data, bounds, size)
                 n = np.bincount(row, minlength=high - low)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(low, high - low), pa.array(n), *map(pa.array, _fingerprints(key, n)),
                      list_array(key.view(np.int64), n, pa.int64())], ["doc_id", "n", "f1", "f2", "members"])
+        release()
 
-    return documents(docs).mapInArrow(run, "doc_id bigint, n bigint, f1 bigint, f2 bigint, members array<bigint>")
+    return documents(docs).filter("doc_id is not null").withColumn("slots", slots).mapInArrow(run, "doc_id bigint, n bigint, f1 bigint, f2 bigint, members array<bigint>")
 
 
 def _buckets(texts: DataFrame) -> DataFrame:
@@ -161,45 +188,73 @@ def _central_links(members: DataFrame, sets: DataFrame, similarity) -> DataFrame
         F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def _compare_blocks(similarity):
+def _partners(ids, task, comp, side, key, same, n, bands, similarity):
+    """``(x, y...)`` row numbers inside a task that are to be compared, row by row.
+
+    Sizes must allow the similarity, components differ, and a pair is looked at in its first shared band
+    alone. ``comp`` may change meanwhile: what is linked needs no further look.
+    """
     top, bottom = similarity
+    heads = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]]))
+    for low, high in zip(heads, np.append(heads[1:], len(ids))):
+        place = int(np.flatnonzero(bands[low] == key[low])[0])
+        for x in range(low, high):
+            if not same[low] and side[x]:
+                continue
+            y = np.arange(x + 1, high) if same[low] else low + np.flatnonzero(side[low:high] == 1)
+            y = y[(comp[y] != comp[x]) & (bottom * np.minimum(n[y], n[x]) >= top * np.maximum(n[y], n[x]))]
+            if len(y):
+                y = y[~(bands[y, :place] == bands[x, :place]).any(axis=1)]
+            if len(y):
+                yield x, y, slice(low, high)
+
+
+def _columns(rows: pa.Table):
+    flat = [rows[c].to_numpy() for c in ("x", "task", "component", "side", "key")]
+    flat[2] = flat[2].copy()
+    bands = rows["bands"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(flat[0]), BANDS)
+    return [*flat, rows["same"].to_numpy(zero_copy_only=False), rows["n"].to_numpy(), bands]
+
+
+def _find_partners(similarity):
+    """Rows that have somebody to be compared with: only their sets are sent."""
+    def run(batches):
+        for rows in whole_groups(batches, "task"):
+            columns = _columns(rows)
+            hit = np.zeros(len(columns[0]), bool)
+            for x, y, _ in _partners(*columns, similarity):
+                hit[x] = True
+                hit[y] = True
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array(columns[k][hit]) for k in (0, 1)], ["x", "task"])
+        release()
+
+    return run
+
 
+def _compare_blocks(similarity):
     def run(batches):
         for rows in whole_groups(batches, "task"):
-            ids, task = rows["x"].to_numpy(), rows["task"].to_numpy()
-            comp, side = rows["component"].to_numpy().copy(), rows["side"].to_numpy()
-            key, same = rows["key"].to_numpy(), rows["same"].to_numpy(zero_copy_only=False)
+            columns = _columns(rows)
+            ids, comp, n = columns[0], columns[2], columns[6]
             lists = rows["members"].combine_chunks()
             values, bounds = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), np.asarray(lists.offsets, np.int64)
-            n = np.diff(bounds)
-            bands = rows["bands"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), BANDS)
-            heads = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]]))
             a, b = [], []
-            for low, high in zip(heads, np.append(heads[1:], len(ids))):
-                place = int(np.flatnonzero(bands[low] == key[low])[0])
-                for x in range(low, high):
-                    if not same[low] and side[x]:
-                        continue
-                    y = np.arange(x + 1, high) if same[low] else low + np.flatnonzero(side[low:high] == 1)
-                    y = y[(comp[y] != comp[x]) & (bottom * np.minimum(n[y], n[x]) >= top * np.maximum(n[y], n[x]))]
-                    if len(y):
-                        # A pair is looked at in its first shared band alone.
-                        y = y[~(bands[y, :place] == bands[x, :place]).any(axis=1)]
-                    if not len(y):
-                        continue
-                    own = values[bounds[x]:bounds[x + 1]]
-                    take = np.arange(n[y].sum()) + np.repeat(bounds[y] - (np.cumsum(n[y]) - n[y]), n[y])
-                    other = values[take]
-                    spot = np.minimum(np.searchsorted(own, other), len(own) - 1)
-                    common = np.add.reduceat(own[spot] == other, np.cumsum(n[y]) - n[y], dtype=np.int64)
-                    for z in y[_enough(common, n[x], n[y], similarity)]:
-                        if comp[z] != comp[x]:
-                            a.append(ids[x])
-                            b.append(ids[z])
-                            group = comp[low:high]
-                            group[group == comp[z]] = comp[x]
+            for x, y, block in _partners(*columns, similarity):
+                own = values[bounds[x]:bounds[x + 1]]
+                take = np.arange(n[y].sum()) + np.repeat(bounds[y] - (np.cumsum(n[y]) - n[y]), n[y])
+                other = values[take]
+                spot = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                common = np.add.reduceat(own[spot] == other, np.cumsum(n[y]) - n[y], dtype=np.int64)
+                for z in y[_enough(common, n[x], n[y], similarity)]:
+                    if comp[z] != comp[x]:
+                        a.append(ids[x])
+                        b.append(ids[z])
+                        group = comp[block]
+                        group[group == comp[z]] = comp[x]
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        release()
 
     return run
 
@@ -208,9 +263,8 @@ def _block_links(members: DataFrame, component: DataFrame, sets: DataFrame, text
     """Links between components that still meet in a bucket."""
     known = members.join(component.withColumnRenamed("node", "x"), "x", "left").withColumn(
         "component", F.coalesce("component", "x"))
-    sized = sets.join(texts.select(F.col("node").alias("x"), "bands"), "x")
-    counts = sized.select("x", F.size("members").alias("n"))
-    open_keys = known.join(counts, "x").groupBy("key").agg(
+    sized = sets.select("x", F.size("members").cast("bigint").alias("n")).join(texts.select(F.col("node").alias("x"), "bands"), "x")
+    open_keys = known.join(sized.select("x", "n"), "x").groupBy("key").agg(
         F.min("component").alias("c0"), F.max("component").alias("c1"), F.sum("n").alias("n")).filter("c0 != c1").select(
         "key", F.ceil(F.col("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     placed = known.join(materialize(open_keys, "open"), "key").withColumn(
@@ -221,8 +275,14 @@ def _block_links(members: DataFrame, component: DataFrame, sets: DataFrame, text
         F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("task"),
         (F.col("block") > F.col("other")).cast("int").alias("side"), (F.col("block") == F.col("other")).alias("same"))
     # Both sides of a pair of blocks reach its task: the lower block as side 0, the higher as side 1.
-    full = spread.join(sized, "x").repartition(parallelism(members.sparkSession), "task").sortWithinPartitions("task", "x")
-    return full.mapInArrow(_compare_blocks(similarity), "a bigint, b bigint")
+    parts = parallelism(members.sparkSession)
+    light = materialize(spread.join(sized, "x"), "blocks")
+    paired = materialize(light.repartition(parts, "task").sortWithinPartitions("task", "x").mapInArrow(
+        _find_partners(similarity), "x bigint, task bigint"), "paired")
+    full = light.join(paired, ["task", "x"]).join(sets, "x").repartition(parts, "task").sortWithinPartitions("task", "x")
+    found = materialize(full.mapInArrow(_compare_blocks(similarity), "a bigint, b bigint"), "between")
+    discard(light, paired)
+    return found
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY,
@@ -246,12 +306,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[i
     texts = materialize(named.join(nodes, whole).dropDuplicates(whole).select("node", "bands"), "texts")
     members = materialize(_buckets(texts), "members")
     wanted = materialize(nodes.join(members.select(F.col("x").alias("node")), "node", "left_semi"), "wanted")
-    found_sets = _sets(documents(docs).join(wanted, "doc_id", "left_semi"), shingle).dropDuplicates(whole)
-    sets = materialize(found_sets.join(wanted, whole).select(F.col("node").alias("x"), "members"), "sets")
+    found_sets = _sets(docs, shingle, wanted).join(wanted, whole).select(F.col("node").alias("x"), "members")
+    # Repeated rows of an id give a set more than once.
+    sets = materialize(found_sets.dropDuplicates(["x"]), "sets")
     links = materialize(_central_links(members, sets, similarity), "central")
     first = materialize(components(links), "components")
-    more = materialize(_block_links(members, first, sets, texts, similarity), "between")
+    more = _block_links(members, first, sets, texts, similarity)
+    discard(texts, members, wanted, sets)
     component = materialize(components(links.union(more)), "components")
+    discard(links, first, more)
     # A component may hold most nodes: its name is looked up in parts.
     names = component.filter("node = component").join(copies, "node").select(
         "component", F.col("rep").alias("name"), F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))).alias("part"))
@@ -260,7 +323,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[i
     named_copies = copies.join(called, "node", "left").select(
         "f1", "f2", "n", F.coalesce("name", "rep").alias("component_id"),
         (F.coalesce("component", "node") == F.col("node")).alias("head"))
-    found = signed.join(materialize(named_copies, "named"), ["f1", "f2", "n"], "left")
+    named_copies = materialize(named_copies, "named")
+    discard(component, copies)
+    found = signed.join(named_copies, ["f1", "f2", "n"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     kept = F.coalesce((F.col("doc_id") == own) & F.coalesce("head", F.lit(True)), F.lit(True))
     return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"),
