@@ -45,8 +45,12 @@ def encoder(path: str, remember: int = REMEMBER, part_bytes: int = PART_BYTES) -
 class Encoder:
     """Strings of special tokens in a text are ordinary text."""
 
+    def __reduce__(self):
+        # Made anew where it is sent: the library's pickles lose that special tokens are ordinary text.
+        return Encoder, (self.path, self.remember, self.part_bytes)
+
     def __init__(self, path: str, remember: int = REMEMBER, part_bytes: int = PART_BYTES):
-        self.remember, self.part_bytes = remember, part_bytes
+        self.path, self.remember, self.part_bytes = path, remember, part_bytes
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
