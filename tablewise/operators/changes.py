@@ -56,12 +56,13 @@ def _order(df: DataFrame) -> Column:
 
 
 def _hits(keyed: DataFrame, batch: DataFrame) -> DataFrame:
-    """Keys of the batch that the table owns.
+    """Keys of the batch that the table owns, found when they are read: who asks for the table alone pays no
+    scan for the rejects.
 
     The batch stands on the side that can be broadcast: while it is small the table is scanned once
     and not shuffled, and what comes out is no larger than the batch.
     """
-    return materialize(keyed.select("_k").join(batch.select("_k"), "_k", "left_semi").distinct(), "hits")
+    return keyed.select("_k").join(batch.select("_k"), "_k", "left_semi").distinct()
 
 
 def create_rows(table: DataFrame, new: DataFrame, entity: Entity) -> tuple[DataFrame, DataFrame]:

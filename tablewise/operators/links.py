@@ -2,14 +2,18 @@
 
 Candidates are chosen on the catalog first: a child column either shares the parent
 key's name, or has a party or product word in its name and a distinct count that can
-still reach the needed overlap. Only the values of those columns are then joined: once per
-column on (workbook, value), and those that meet on (candidate, value), where both sides are
-distinct. No group holds more rows than the workbook has columns, whatever the values look like.
+still reach the needed overlap. The values of those columns, and of all keys, then meet once, on
+(workbook, value): an index tells which columns hold a value, and is counted by sets of columns.
+Overlaps and row-number keys are sums over these sets. No group holds more rows than the workbook
+has columns, whatever the values look like.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewise.functions import text
@@ -92,30 +96,84 @@ def column_values(values: DataFrame, catalog: DataFrame, key: list[str], salts:
     return values.withColumn("_salt", salt).join(copies, [*key, "_salt"]).drop("_salt")
 
 
-def value_overlap(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+#: Columns whose bits share one whole number.
+MASK_BITS = 62
+
+
+@dataclass(frozen=True)
+class ValueIndex:
+    """Which columns of a workbook hold a value, counted by the set of columns.
+
+    ``ids (source_file, sheet, pos, id)`` numbers the columns of a workbook from 0. ``patterns (source_file,
+    masks, n, whole, low, high)`` has one row per set of columns, as bits: how many values exactly these
+    columns hold, whether all are whole numbers, and the least and largest.
+    """
+
+    ids: DataFrame
+    patterns: DataFrame
+
+    def holds(self, number: Column) -> Column:
+        """Whether the set of a pattern has a column."""
+        mask = F.get("masks", (number / MASK_BITS).cast("int"))
+        return mask.bitwiseAND(_bit(number)) != 0
+
+
+def _bit(number: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(number, F.lit(MASK_BITS)).cast("int"))
+
+
+def value_index(used: DataFrame, counts: DataFrame) -> ValueIndex:
+    """Index of the values of the columns ``used (source_file, sheet, pos, distinct_count)``.
+
+    The values meet in one exchange, on (workbook, value), where each holds as many rows as columns have it;
+    only bits are kept of them. Everything else is read from the patterns.
+    """
+    order = Window.partitionBy("source_file").orderBy("sheet", "pos")
+    ids = materialize(used.groupBy(*COLUMN).agg(F.max("distinct_count").alias("distinct_count")).withColumn(
+        "id", F.row_number().over(order) - 1), "column-ids")
+    most, last = ids.agg(F.max("distinct_count"), F.max("id")).first()
+    salts = max(SALTS, -(-(most or 0) // SALT_VALUES))
+    held = column_values(counts.filter(F.col("value").isNotNull()).select(*COLUMN, "value"), ids.select(*COLUMN, "id"), list(COLUMN), salts)
+    slot = (F.col("id") / MASK_BITS).cast("int")
+    names = [f"_m{k}" for k in range((last or 0) // MASK_BITS + 1)]
+    bits = [F.bit_or(F.when(slot == k, _bit(F.col("id"))).otherwise(F.lit(0).cast("bigint"))).alias(m) for k, m in enumerate(names)]
+    number = F.col("value").try_cast("decimal(38,0)")
+    sets = held.groupBy("source_file", "value").agg(*bits)
+    patterns = sets.groupBy("source_file", *names).agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and(F.col("value").rlike(r"(?U)^[+-]?\d+$")).alias("whole"),
+        F.min(number).alias("low"), F.max(number).alias("high"))
+    return ValueIndex(ids, materialize(patterns.select("source_file", F.array(*names).alias("masks"), "n", "whole", "low", "high"), "value-sets"))
+
+
+def used_columns(pairs: DataFrame, *more: DataFrame) -> DataFrame:
+    """Columns on both sides of the pairs, with their distinct counts, and others."""
+    sides = [pairs.select("source_file", F.col(sheet).alias("sheet"), F.col(pos).alias("pos"), F.col(size).alias("distinct_count"))
+             for sheet, pos, size in (("parent", "parent_pos", "parent_distinct"), ("child", "pos", "child_distinct"))]
+    return reduce(DataFrame.unionByName, [*sides, *more])
+
+
+def value_overlap(pairs: DataFrame, counts: DataFrame, index: ValueIndex | None = None) -> DataFrame:
     """Shared distinct values of every pair ``(source_file, parent, parent_pos, child, pos)``.
 
-    The pairs carry ``parent_distinct`` and ``child_distinct``. Each column's values are taken once,
-    however many pairs it is in; only child values that some parent key of the workbook holds are
-    copied to their pairs, and meet the parent's on (parent, value), where it is distinct.
+    The pairs carry ``parent_distinct`` and ``child_distinct``. A pair sums the patterns that have both columns;
+    they meet on the parent's number, so a pattern is copied once for each parent key in it.
     """
-    parent, child = ["source_file", "parent", "parent_pos"], ["source_file", "child", "pos"]
-    most = pairs.agg(F.max(F.greatest("parent_distinct", "child_distinct"))).first()[0] or 0
-    salts = max(SALTS, -(-most // SALT_VALUES))
-    values = counts.filter(F.col("value").isNotNull()).select(*COLUMN, "value")
-    left = column_values(values.withColumnsRenamed({"sheet": "parent", "pos": "parent_pos"}),
-                         pairs.select(*parent).distinct(), parent, salts)
-    right = column_values(values.withColumnRenamed("sheet", "child"), pairs.select(*child).distinct(), child, salts)
-    met = right.join(left.select("source_file", "value"), ["source_file", "value"], "left_semi")
-    asked = column_values(met, pairs.select(*parent, *child[1:]), child, salts)
-    shared = asked.join(left, [*parent, "value"])
-    return shared.groupBy(*parent, *child[1:]).agg(F.count(F.lit(1)).alias("overlap"))
-
-
-def score(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+    index = index or value_index(used_columns(pairs), counts)
+    numbered = pairs.join(index.ids.select("source_file", F.col("sheet").alias("parent"), F.col("pos").alias("parent_pos"), F.col("id").alias("parent_id")),
+                          ["source_file", "parent", "parent_pos"]).join(
+        index.ids.select("source_file", F.col("sheet").alias("child"), "pos", F.col("id").alias("child_id")), ["source_file", "child", "pos"])
+    parents = numbered.select("source_file", "parent_id").distinct()
+    several = index.patterns.filter(F.aggregate("masks", F.lit(0), lambda a, m: a + F.bit_count(m)) > 1)
+    places = F.filter(F.sequence(F.lit(0), F.size("masks") * MASK_BITS - 1), lambda k: index.holds(k))
+    placed = several.select("source_file", "masks", "n", F.explode(places).alias("parent_id")).join(parents, ["source_file", "parent_id"], "left_semi")
+    shared = numbered.join(placed, ["source_file", "parent_id"]).filter(index.holds(F.col("child_id")))
+    return shared.groupBy("source_file", "parent", "parent_pos", "child", "pos").agg(F.sum("n").alias("overlap"))
+
+
+def score(pairs: DataFrame, counts: DataFrame, index: ValueIndex | None = None) -> DataFrame:
     """Recall, precision and the ladder's verdict for every candidate that passes it."""
     key = ["source_file", "parent", "parent_pos", "child", "pos"]
-    scored = pairs.join(value_overlap(pairs, counts), key, "left").fillna(0, ["overlap"])
+    scored = pairs.join(value_overlap(pairs, counts, index), key, "left").fillna(0, ["overlap"])
     scored = scored.withColumn("recall", F.col("overlap") / F.col("parent_distinct")).withColumn(
         "precision", F.col("overlap") / F.col("child_distinct")
     )
@@ -182,14 +240,18 @@ def resolve_mutual(links: DataFrame) -> DataFrame:
     return joined.filter(F.col("other").isNull() | (_evidence() > F.col("other"))).select(*links.columns)
 
 
-def positional_keys(plans: DataFrame, counts: DataFrame) -> DataFrame:
-    """Tables whose key is the run 1, 2, 3 ... of a spreadsheet row number."""
-    keys = plans.select(*TABLE, F.col("key_pos").alias("pos"))
-    number = F.col("value").try_cast("decimal(38,0)")
+def key_columns(plans: DataFrame, profiles: DataFrame) -> DataFrame:
+    return plans.select(*TABLE, F.col("key_pos").alias("pos")).join(profiles.select(*COLUMN, "distinct_count"), list(COLUMN))
+
+
+def positional_keys(plans: DataFrame, index: ValueIndex) -> DataFrame:
+    """Tables whose key is the run 1, 2, 3 ... of a spreadsheet row number, from the patterns that hold it."""
+    keys = plans.select(*TABLE, F.col("key_pos").alias("pos")).join(index.ids, list(COLUMN)).select(*TABLE, "id")
+    places = F.filter(F.sequence(F.lit(0), F.size("masks") * MASK_BITS - 1), lambda k: index.holds(k))
     return (
-        column_values(counts.filter(F.col("value").isNotNull()), keys, list(COLUMN)).groupBy(*TABLE)
-        .agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("value").rlike(r"(?U)^[+-]?\d+$")).alias("whole"),
-             F.min(number).alias("low"), F.max(number).alias("high"))
+        index.patterns.select("source_file", "n", "whole", "low", "high", F.explode(places).alias("id"))
+        .join(keys, ["source_file", "id"]).groupBy(*TABLE)
+        .agg(F.sum("n").alias("n"), F.bool_and("whole").alias("whole"), F.min("low").alias("low"), F.max("high").alias("high"))
         .filter((F.col("n") >= 2) & F.col("whole") & (F.col("low") == 1)
                 & (F.col("high") - F.col("low") + 1 == F.col("n")))
         .select(*TABLE)
@@ -216,15 +278,21 @@ def normalize_links(links: DataFrame, positional: DataFrame) -> DataFrame:
     return label_positional(resolve_mutual(links), positional)
 
 
+def link_index(pairs: DataFrame, plans: DataFrame, profiles: DataFrame, counts: DataFrame) -> ValueIndex:
+    """One index for the overlaps of the pairs and for the row-number keys."""
+    return value_index(used_columns(pairs, key_columns(plans, profiles)), counts)
+
+
 def discover_links(
     plans: DataFrame, columns: DataFrame, profiles: DataFrame, counts: DataFrame
-) -> DataFrame:
-    """All inferred links of a corpus, normalised."""
+) -> tuple[DataFrame, DataFrame]:
+    """All inferred links of a corpus, normalised, and the tables whose key is a row number."""
     # Stored, the candidates have a known size: while small, they are broadcast and the value
     # counts are not shuffled by column at all.
     pairs = materialize(candidates(plans, columns, profiles), "candidates")
-    scored = score(pairs, counts)
-    return normalize_links(best_per_pair(scored), positional_keys(plans, counts))
+    index = link_index(pairs, plans, profiles, counts)
+    positional = positional_keys(plans, index)
+    return normalize_links(best_per_pair(score(pairs, counts, index)), positional), positional
 
 
 # --- given links -------------------------------------------------------------

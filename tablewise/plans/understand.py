@@ -67,11 +67,11 @@ def understand(
         fields, entities = infer.apply_entity_hints(fields, entities, entity_hints)
     plans = keep(catalog.build_plans(entities), "plans")
     keys = catalog.field_keys(columns)
-    found = links.discover_links(plans, columns, fields, counts)
+    found, positional = links.discover_links(plans, columns, fields, counts)
     rejects = None
     if link_hints is not None:
         given, rejects = links.verify_links(link_hints, plans, columns, fields, counts)
-        found = links.merge_links(found, given, links.positional_keys(plans, counts))
+        found = links.merge_links(found, given, positional)
     return Corpus(rows, columns, counts, sample, fields, entities, plans, keys, keep(found, "links"), rejects)
 
 

@@ -105,14 +105,14 @@ def link_mutual(spark, sf):
 
 @query("link_positional", f"WITH {LINKS} SELECT sheet FROM rownos")
 def link_positional(spark, sf):
-    plans, _, _, counts = profiled(spark, sf)
-    return links.positional_keys(plans, counts).select("sheet")
+    plans, _, profiles, counts = profiled(spark, sf)
+    return links.positional_keys(plans, links.value_index(links.key_columns(plans, profiles), counts)).select("sheet")
 
 
 @query("links_final", f"""WITH {LINKS} SELECT parent, child, pcol AS on_from, col AS on_to, capped::DOUBLE AS confidence, recall, precision,
   capped < confidence AS positional FROM final""")
 def links_final(spark, sf):
-    found = links.discover_links(*profiled(spark, sf))
+    found, _ = links.discover_links(*profiled(spark, sf))
     return found.select("parent", "child", "on_from", "on_to", "confidence", "recall", "precision",
                         F.array_contains("signals", "low_discrimination_key").alias("positional"))
 
@@ -166,9 +166,9 @@ SELECT parent, child, CASE WHEN parent IN (SELECT sheet FROM rownos) AND recall
 def merge_links(spark, sf):
     plans, columns, profiles, counts = profiled(spark, sf)
     profiles = materialize(profiles, "profiles")
-    found = links.discover_links(plans, columns, profiles, counts)
+    found, positional = links.discover_links(plans, columns, profiles, counts)
     given, _ = links.verify_links(link_hints(columns), plans, columns, profiles, counts)
-    merged = links.merge_links(found, given, links.positional_keys(plans, counts))
+    merged = links.merge_links(found, given, positional)
     return merged.select("parent", "child", "confidence", "recall", "precision")
 
 
@@ -176,7 +176,7 @@ def merge_links(spark, sf):
   CASE WHEN parent = 'nation' THEN 'rejected' WHEN parent = 'region' THEN 'missing' ELSE 'kept' END AS outcome FROM final""")
 def link_decisions(spark, sf):
     plans, columns, profiles, counts = profiled(spark, sf)
-    found = materialize(links.discover_links(plans, columns, profiles, counts), "links")
+    found = materialize(links.discover_links(plans, columns, profiles, counts)[0], "links")
     entity = plans.select("source_file", F.col("sheet").alias("child"), F.col("entity").alias("to_entity"))
     named = found.join(entity, ["source_file", "child"]).withColumn(
         "key", F.concat_ws("_to_", "parent", "to_entity"))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.operators import catalog, load
+from tablewise.operators import catalog, load, versions
 from tablewise.operators.query import Entity, Field
-from tablewise.plans.confirm import confirm
+from tablewise.plans.confirm import confirm, loaded_rows
 from tablewise.plans.understand import understand
 from tablewise.session import work_folder
 from tablewise.sources import records
@@ -166,25 +167,38 @@ def stored_records(spark, sf):
     return stored.select((F.col("order_id") % 2).cast("int").alias("half"), F.col("order_id").cast("bigint").alias("order_id"), "amount", "order_date")
 
 
-@query("confirm_load", """SELECT 'customer' AS entity, count(*) AS rows, round(sum(c_acctbal), 2) AS money FROM customer
-UNION ALL SELECT 'order', count(*), round(sum(o_totalprice), 2) FROM orders
-UNION ALL SELECT 'product', count(*), round(sum(p_retailprice), 2) FROM part""")
+# Entity, table, and the field whose sum is compared, with its SQL.
+_LOADED = (
+    ("customer", "customer", "customer", "field_4", "c_acctbal"), ("order", "order", "orders", "field_4", "o_totalprice"),
+    ("product", "line item", "lineitem", "field_6", "l_extendedprice"), ("product_2", "product", "part", "field_6", "p_retailprice"),
+    ("customer_2", "nation", "nation", "field_1", "n_nationkey"), ("customer_3", "region", "region", "field_1", "r_regionkey"),
+    ("customer_4", "supplier", "supplier", "field_3", "s_nationkey"), ("order_2", "sales dirty", "orders", "field_2", "o_totalprice"))
+
+
+@query("confirm_load", " UNION ALL ".join(
+    f"""SELECT '{e}' AS entity, '{name}' AS name, count(*) AS rows, 0 AS rejects, round(sum(CAST({c} AS DECIMAL(18,2))), 2) AS total,
+    {f"'signed orders'" if e == "order" else "NULL"} AS definition FROM {t}""" for e, name, t, _, c in _LOADED))
 def confirm_load(spark, sf):
-    # The whole way: understand three sheets, accept everything, load, read back.
-    sheets = {"customer", "order", "product"}
-    found = understand(fx.corpus_rows(spark, sf, sheets), fx.corpus_columns(spark, sf, sheets), dense=True)
+    # The whole way: understand all sheets, accept everything, load, read back through the version. One sheet has no key.
+    found = understand(fx.corpus_rows(spark, sf), fx.corpus_columns(spark, sf), dense=True)
     cat = found.catalog()
     decisions = cat["links"].select("source_file", "key", F.lit("accepted").alias("decision"),
                                     F.lit(None).cast("string").alias("on_from"), F.lit(None).cast("string").alias("on_to"))
     ids = catalog.review_queue(cat["entities"], cat["fields"], cat["metrics"], cat["links"]).select(
         "source_file", F.regexp_replace("item", "^(entity|field):", "").alias("id"))
+    given = spark.createDataFrame([(fx.BOOK, 0, "order", "count", None, "signed orders", 0.95)],
+                                  "source_file string, position int, sheet string, op string, field string, definition string, confidence double")
     root = f"{work_folder(spark)}/apps-{uuid.uuid4().hex}"
-    loaded = confirm(found, fx.BOOK, "workspace", root, decisions, ids)
-    out, money = None, {"customer": "field_4", "order": "field_4", "product": "field_6"}
-    for entity in loaded.entities:
-        rows = records.read_records(spark, root, "workspace", entity, loaded.version)
-        one = rows.agg(F.lit(entity.key).alias("entity"), F.count(F.lit(1)).alias("rows"), F.round(F.sum(money[entity.key]), 2).alias("money"))
-        out = one if out is None else out.unionAll(one)
-    return out
-
-
+    loaded = confirm(found, fx.BOOK, "workspace", root, decisions, ids, definitions=given)
+    snapshot = versions.current_versions(versions.read_versions(spark, f"{root}/model_versions", "workspace")).select(
+        F.from_json("snapshot", versions.SNAPSHOT).alias("s"))
+    parts = []
+    for entity, _, _, field, _ in _LOADED:
+        rows = loaded_rows(spark, root, "workspace", entity)
+        parts.append(rows.agg(F.lit(entity).alias("entity"), F.count(F.lit(1)).alias("rows"), F.round(F.sum(field), 2).alias("total"),
+                              F.lit(loaded.rejects[entity]).cast("bigint").alias("rejects")))
+    names = snapshot.select(F.explode("s.entities").alias("e"), "s.metrics").select(
+        F.col("e.key").alias("entity"), F.col("e.name").alias("name"), F.filter("metrics", lambda m: (m["entity"] == F.col("e.key")) & (
+            m["op"] == "count") & ~m["business_definition"].startswith("rows of ")).alias("m")).select(
+        "entity", "name", F.get("m", F.lit(0))["business_definition"].alias("definition"))
+    return reduce(DataFrame.unionAll, parts).join(names, "entity")

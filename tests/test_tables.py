@@ -175,7 +175,7 @@ def _links(spark, parent, child, key="code", column="code"):
     counts = profile.value_counts(rows)
     plans = spark.createDataFrame([("b", "p", "p", 0, key), ("b", "c", "c", 0, "cid")],
                                   "source_file string, sheet string, entity string, key_pos int, key_field string")
-    return links.discover_links(plans, columns, profile.column_profiles(counts), counts).collect()
+    return links.discover_links(plans, columns, profile.column_profiles(counts), counts)[0].collect()
 
 
 def test_row_number_keys_are_labelled(spark):
@@ -246,3 +246,21 @@ def test_formats_are_judged_on_all_values(spark):
     empty = spark.createDataFrame([("b", "s", 0, [None]), ("b", "s", 1, ["N/A"])], df.schema)
     got = infer.value_ratios(profile.value_counts(empty)).collect()[0]
     assert (got["sample_values"], got["r_number"], got["max_chars"], got["raw_avg_chars"]) == (0, None, 0, 3.0)
+
+
+def test_value_index_over_many_columns(spark):
+    """More columns than one mask holds: overlaps equal sets, and the values are shuffled once by (workbook, value)."""
+    import random
+
+    draw = random.Random(5)
+    held = {(b, "s", pos): set(map(str, draw.sample(range(60), draw.randint(1, 50)))) for b in "ab" for pos in range(70)}
+    rows = [(b, s, p, v, 1) for (b, s, p), vs in held.items() for v in vs] + [("a", "s", 0, None, 3)]
+    counts = spark.createDataFrame(rows, "source_file string, sheet string, pos int, value string, n bigint")
+    pairs = spark.createDataFrame(
+        [(b, "s", p, "s", c, len(held[b, "s", p]), len(held[b, "s", c])) for b in "ab" for p, c in draw.sample([(i, j) for i in range(70) for j in range(70)], 80)],
+        "source_file string, parent string, parent_pos int, child string, pos int, parent_distinct bigint, child_distinct bigint").distinct()
+    index = links.value_index(links.used_columns(pairs), counts)
+    assert max(r[0] for r in index.patterns.select(F.size("masks")).collect()) == 2
+    got = {tuple(r)[:5]: r["overlap"] for r in links.value_overlap(pairs, counts, index).collect()}
+    want = {(b, "s", p, "s", c): len(held[b, "s", p] & held[b, "s", c]) for b, _, p, _, c, _, _ in pairs.collect()}
+    assert got == {k: n for k, n in want.items() if n}
