@@ -287,12 +287,12 @@ def _block_links(members: DataFrame, component: DataFrame, sets: DataFrame, text
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY,
                     with_text: bool = False) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` of every row, with ``text_hash`` (xxhash64) if asked for.
+    """``(doc_id, n_shingles, component_id, kept)`` of every row, ``with_text`` with ``text_hash`` (xxhash64) and ``chosen``.
 
     Words are lower-cased in ASCII; a text of fewer words is one shingle; texts without words have
     an empty set and link with nothing. A set of shingles is one node, so rows that share a doc_id
-    share a component only if their texts are linked. A component is named by its least doc_id; of the
-    texts of that id one set is kept. Rows without a doc_id link with nothing: their component is null
+    share a component only if their texts are linked. A component is named by its least doc_id, and rows of
+    that id are kept; one of their sets is ``chosen``, so that of a whole component one text stays. Rows without a doc_id link with nothing: their component is null
     and they are kept. An empty table gives no rows.
     """
     signed = materialize(_sign(docs, shingle), "signed")
@@ -327,7 +327,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[i
     discard(component, copies)
     found = signed.join(named_copies, ["f1", "f2", "n"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    kept = F.coalesce((F.col("doc_id") == own) & F.coalesce("head", F.lit(True)), F.lit(True))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"),
-                        F.when(F.col("doc_id").isNull(), True).otherwise(kept).alias("kept"),
-                        *(["text_hash"] if with_text else []))
+    kept = F.coalesce(F.col("doc_id") == own, F.lit(True))
+    # Of the texts that share the id of their component, one set stands for it.
+    chosen = kept & F.when(F.col("doc_id").isNull(), True).otherwise(F.coalesce("head", F.lit(True)))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), kept.alias("kept"),
+                        *(["text_hash", chosen.alias("chosen")] if with_text else []))

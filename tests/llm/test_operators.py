@@ -330,8 +330,8 @@ def test_texts_that_share_an_id(spark):
     many = [" ".join(random.choices([f"w{i}" for i in range(500)], k=80)) for _ in range(24)]
     rows = [(1, t) for t in many] + [(10 + i, f"{t} tail") for i, t in enumerate(many)] + [(1, f"{many[0]} end"), (1, many[1])]
     docs = spark.createDataFrame([(d, t, "en", "s1", 1) for d, t in rows], DOCS)
-    got = rows_of(neardup.near_duplicates(docs, 4, (80, 100)))
-    assert {r[2] for r in got} == {1} and sum(r[3] for r in got) == len(many) + 1
+    got = rows_of(neardup.near_duplicates(docs, 4, (80, 100), with_text=True))
+    assert {r[2] for r in got} == {1} and all(r[3] == (r[0] == 1) for r in got) and sum(r[5] for r in got) == len(many) + 1
     left = rows_of(corpus_pipeline.drop_copies(spark, docs, ""))
     assert len(left) == len(many) and {r[0] for r in left} == {1}
     mixed = corpus_pipeline.mix_sources(spark, docs, "")
