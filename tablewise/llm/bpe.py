@@ -78,6 +78,18 @@ class Encoder:
     def plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def pretokens(self, text: str) -> tuple[list[int], list[int]]:
+        """Characters and ids of each of the tokenizer's own pre-tokens."""
+        spans = [b - a for _, (a, b) in self.usual.pre_tokenize_str(text)]
+        words = self.tokenizer.encode(text, add_special_tokens=False).word_ids
+        return spans, np.bincount(np.array(words, np.int64), minlength=len(spans)).tolist()
+
+    def prefix(self, text: str, length: int) -> tuple[bool, int, int]:
+        """Whether a pre-token begins at ``length``, the ids before it, and all ids."""
+        starts = {a for _, (a, _) in self.usual.pre_tokenize_str(text)}
+        found = self.tokenizer.encode(text, add_special_tokens=False)
+        return length in starts or length == len(text), sum(a < length for a, _ in found.offsets), len(found.ids)
+
     def _unsafe(self, dictionary: pa.Array, pieces: list[str]) -> np.ndarray:
         data, bounds = flat(dictionary)
         lead = np.append(data, 0)[np.minimum(bounds[:-1], len(data))]

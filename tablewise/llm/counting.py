@@ -1,9 +1,11 @@
-"""Token counts that follow edits: a segment tree over the pieces of each text.
-
-A text is cut where no token can cross (before a space that a visible character follows). The
-leaves of its tree are these pieces with their characters and tokens, inner nodes hold sums. An
-edit finds its pieces from the sums, takes in the piece before where the cut itself is touched,
-encodes that region anew and updates the sums on the way up. Nothing else is encoded again.
+"""Token counts that follow edits: a segment tree over the pre-tokens of each text.
+
+The leaves of a text's tree are the tokenizer's own pre-tokens with their characters and tokens, inner
+nodes hold sums. Pre-tokens are found from left to right, and each is settled by its own characters
+and at most two behind it. So an edit finds its leaves from the sums, takes in the leaves that look
+at a changed character, encodes that region with a few leaves behind it as context, and widens it only
+until a pre-token begins where one began before: from there on nothing can differ. The sums on the way up
+are updated; nothing else is encoded again.
 """
 
 from __future__ import annotations
@@ -21,13 +23,16 @@ from tablewise.llm.common import map_texts, text_slices
 #: What the query's edits mask: addresses with an at sign, and runs of four digits or more.
 MASKED = r"[^\s@]{1,64}@[^\s@]{1,190}|[0-9]{4,}"
 MASK = "<masked>"
+#: Leaves behind a region that are encoded with it: a run of blanks is two of them at most, and what follows decides.
+CONTEXT = 3
 EDITS = "array<struct<start:int,stop:int,put:string>>"
 
 
 class TokenTree:
-    """Sums of characters and tokens over the pieces of one text; positions are code points."""
+    """Sums of characters and tokens over the pre-tokens of one text; positions are code points."""
 
     def __init__(self, text: str, chars: list[int], tokens: list[int]):
+        chars, tokens = chars or [0], tokens or [0]  # an empty text is an empty leaf
         self.text, self.leaves = text, len(chars)
         self.size = 1 << max(0, (max(1, len(chars)) - 1).bit_length())
         self.chars, self.tokens = self._sums(chars), self._sums(tokens)
@@ -68,20 +73,36 @@ class TokenTree:
             self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
             self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
 
-    def edit(self, start: int, stop: int, put: str, count) -> None:
-        """Replace ``[start, stop)``; ``count`` gives the tokens of a string."""
+    def _after(self, leaf: int, how_many: int) -> list[int]:
+        """The next leaves that are not empty."""
+        out = []
+        while len(out) < how_many and leaf + 1 < self.leaves:
+            leaf += 1
+            if self.chars[self.size + leaf]:
+                out.append(leaf)
+        return out
+
+    def edit(self, start: int, stop: int, put: str, prefix) -> None:
+        """Replace ``[start, stop)``; ``prefix(text, length)`` tells whether a pre-token begins at that length, the
+        tokens before it and all tokens."""
         start = min(max(0, start), self.chars[1])
         stop = min(max(start, stop), self.chars[1])
         first, at = self.find(start)
-        last = self.find(stop - 1)[0] if stop > start else first
-        # The cut before a piece rests on its first two characters.
-        while first > 0 and (start < at + 2 or self.chars[self.size + first] == 0):
+        last = max(first, self.find(stop - 1)[0] if stop > start else first)
+        # A pre-token may look at two characters behind its end.
+        while first > 0 and (at > start - 2 or not self.chars[self.size + first]):
             first -= 1
             at -= self.chars[self.size + first]
-        old = "".join(self.piece(i) for i in range(first, max(first, last) + 1))
-        new = old[:start - at] + put + old[stop - at:]
-        tokens = count(new) if new else 0
-        self.encoded += tokens
+        old = "".join(self.piece(i) for i in range(first, last + 1))
+        new, more = old[:start - at] + put + old[stop - at:], 1
+        while True:
+            behind = self._after(last, CONTEXT)
+            fits, tokens, encoded = prefix(new + "".join(map(self.piece, behind)), len(new)) if new or behind else (True, 0, 0)
+            self.encoded += encoded
+            if fits:
+                break
+            taken = self._after(last, more)
+            new, last, more = new + "".join(map(self.piece, taken)), taken[-1], 2 * more
         for i in range(first + 1, last + 1):
             if self.chars[self.size + i]:
                 self._set(i, "", 0)
@@ -91,10 +112,10 @@ class TokenTree:
         return "".join(self.piece(i) for i in range(self.leaves))
 
 
-def apply_edits(tree: TokenTree, edits, count) -> None:
+def apply_edits(tree: TokenTree, edits, prefix) -> None:
     """Edits of one text, given by places in the text as it was; they must not overlap."""
     for start, stop, put in sorted(edits, key=lambda e: (e[0], e[1]), reverse=True):
-        tree.edit(start, stop, put, count)
+        tree.edit(start, stop, put, prefix)
 
 
 def edited_counts(docs: DataFrame, path: str | None = None, pattern: str = MASKED, put: str = MASK) -> DataFrame:
@@ -112,7 +133,6 @@ def edited_counts(docs: DataFrame, path: str | None = None, pattern: str = MASKE
 
     def work():
         enc, masked = encoder(path), re.compile(pattern)
-        count = lambda s: len(enc.plain(s))
 
         def run(column):
             texts = column.field("t") if given else column
@@ -120,18 +140,15 @@ def edited_counts(docs: DataFrame, path: str | None = None, pattern: str = MASKE
             out: list[list] = [[], [], [], [], []]
             for low, high, _, _ in text_slices(texts, 1 << 22):
                 part = texts.slice(low, high - low)
-                pieces, chars, tokens = enc.pieces(part)
-                ends = np.cumsum(pieces)
-                totals = np.concatenate([[0], np.cumsum(tokens)])
+                _, totals = enc.encode(part)
                 for i, text in enumerate(part.to_pylist()):
                     text = text or ""
                     edits = [(e["start"], e["stop"], e["put"] or "") for e in lists[low + i] or ()] if given else [
                         (*m.span(), put) for m in masked.finditer(text)]
-                    a, b = ends[i] - pieces[i], ends[i]
-                    n = int(totals[b] - totals[a])
+                    n = int(totals[i])
                     if edits:
-                        tree = TokenTree(text, chars[a:b].tolist(), tokens[a:b].tolist())
-                        apply_edits(tree, edits, count)
+                        tree = TokenTree(text, *enc.pretokens(text))
+                        apply_edits(tree, edits, enc.prefix)
                         row = n, len(edits), tree.total, tree.encoded, tree.current()
                     else:
                         row = n, 0, n, 0, text

@@ -263,17 +263,16 @@ def test_quality(spark, odd, none, labels):
 def test_edits_count_like_encoding_anew(spark, odd, none):
     enc = bpe.encoder(bpe.default_path())
     random.seed(3)
-    parts = [" ", " ", "  ", "\n", "word", "ab", "é", "12", ".", "'s", "　"]
-    for _ in range(1500):
+    parts = [" ", " ", "  ", "\n", "word", "ab", "é", "12", ".", "'s", "'", "s", "re", "\t", "\n\n", "　", "语", "!"]
+    for _ in range(6000):
         text = "".join(random.choices(parts, k=random.randint(0, 25)))
-        _, chars, tokens = enc.pieces(pa.array([text]))
-        tree, edits, at = counting.TokenTree(text, chars.tolist(), tokens.tolist()), [], 0
+        tree, edits, at = counting.TokenTree(text, *enc.pretokens(text)), [], 0
         while at <= len(text) and random.random() < 0.7:
             a = random.randint(at, len(text))
             b = random.randint(a, min(len(text), a + 4))
             edits.append((a, b, "".join(random.choices(parts, k=random.randint(0, 3)))))
             at = b + 1
-        counting.apply_edits(tree, edits, lambda s: len(enc.plain(s)))
+        counting.apply_edits(tree, edits, enc.prefix)
         want = text
         for a, b, put in sorted(edits, reverse=True):
             want = want[:a] + put + want[b:]
@@ -286,6 +285,18 @@ def test_edits_count_like_encoding_anew(spark, odd, none):
     assert counting.edited_counts(none).count() == 0
 
 
+@pytest.mark.parametrize("text", [
+    "word  " * 4000, "line here \n" * 3000, "这是一个很长的句子。" * 1500, "a=1;b=[2,3];" * 2000, "one two " * 3000 + " ", "tab\tand\r\n\r\n" * 2000])
+def test_edits_stay_local_in_any_text(text):
+    """Blanks of every kind, no blanks at all: an edit encodes a few tokens."""
+    enc = bpe.encoder(bpe.default_path())
+    for at in (0, 1, 7000, 7001, 7003, len(text) - 1, len(text)):
+        for size, put in ((0, "x"), (1, ""), (3, " new "), (2, "\n")):
+            tree = counting.TokenTree(text, *enc.pretokens(text))
+            tree.edit(at, at + size, put, enc.prefix)
+            assert tree.total == len(enc.plain(text[:at] + put + text[at + size:])) and tree.encoded < 100
+
+
 def shingles(text, size):
     words = WORD.findall((text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
     return {tuple(words[i:i + size]) for i in range(len(words) - size + 1)} if len(words) >= size else {tuple(words)} - {()}
