@@ -18,26 +18,44 @@ ROLE_ORDER = ("time", "measure", "dimension", "enum", "identifier", "text")  # f
 def unique_names(df: DataFrame, scope: list[str], order: str, base: str, into: str) -> DataFrame:
     """Suffix repeated names ``_2``, ``_3`` ... in order, never reusing a taken name.
 
-    A scope is one table's columns or one workbook's tables, so the folded list is small.
+    Repeats are ranked. Only where a name is spelled like the numbered form of another, repeated one can
+    two meet; the names of such a family are then dealt one after the other.
     """
-    listed = df.groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct(
-        F.col(order).alias("o"), F.col(base).alias("b")))).alias("_l"))
-
-    def add(done: Column, item: Column) -> Column:
-        name = item["b"]
-        taken = F.transform(done, lambda d: d["n"])
-        suffixes = F.sequence(F.lit(2), F.size(done) + 2)
-        spelled = F.transform(suffixes, lambda s: F.concat_ws("_", name, s.cast("string")))
-        free = F.filter(spelled, lambda s: ~F.array_contains(taken, s))
-        chosen = F.when(F.array_contains(taken, name), F.get(free, F.lit(0))).otherwise(name)
-        return F.array_append(done, F.struct(item["o"].alias("o"), chosen.alias("n")))
-
-    kind = df.schema[order].dataType.simpleString()
-    start = F.array().cast(f"array<struct<o:{kind},n:string>>")
-    named = listed.select(*scope, F.explode(F.aggregate("_l", start, add)).alias("_r"))
-    return df.join(
-        named.select(*scope, F.col("_r.o").alias(order), F.col("_r.n").alias(into)), [*scope, order]
-    )
+    place = F.row_number().over(Window.partitionBy(*scope, base).orderBy(order))
+    ranked = df.withColumn("_place", place).withColumn(
+        into, F.when(F.col("_place") > 1, F.concat_ws("_", F.col(base), F.col("_place").cast("string"))).otherwise(F.col(base)))
+    root = F.regexp_replace(F.col(base), r"(_[0-9]+)+$", "")
+    rooted = ranked.withColumn("_root", root)
+    # A family can have a collision if one of its names repeats and another has a number.
+    risky = rooted.groupBy(*scope, "_root").agg(F.max("_place").alias("m"), F.bool_or(F.col(base) != F.col("_root")).alias("numbered")).filter(
+        (F.col("m") > 1) & F.col("numbered")).select(*scope, "_root")
+    marked = rooted.join(risky.withColumn("_risky", F.lit(True)), [*scope, "_root"], "left")
+    columns = [*df.columns, into]
+    family = marked.filter("_risky").select(*scope, "_root", order, base)
+    kind = family.schema[order].dataType.simpleString()
+    dealt = family.groupBy(*scope, "_root").applyInPandas(
+        _dealt(scope, order, base), ", ".join(f"{c} string" for c in scope) + f", _order {kind}, _name string")
+    renamed = marked.filter("_risky").join(dealt.withColumnRenamed("_order", order), [*scope, order])
+    return marked.filter("_risky is null").select(*columns).unionByName(
+        renamed.drop(into).withColumnRenamed("_name", into).select(*columns))
+
+
+def _dealt(scope: list[str], order: str, base: str):
+    def run(rows):
+        rows = rows.sort_values(order)
+        used, next_place, names = set(), {}, []
+        for name in rows[base]:
+            chosen = name
+            if name in used:
+                n = next_place.get(name, 2)
+                while f"{name}_{n}" in used:
+                    n += 1
+                chosen, next_place[name] = f"{name}_{n}", n + 1
+            used.add(chosen)
+            names.append(chosen)
+        return rows[scope].assign(_order=rows[order], _name=names)
+
+    return run
 
 
 def field_keys(columns: DataFrame) -> DataFrame:
@@ -63,13 +81,20 @@ def exclusions(entities: DataFrame) -> DataFrame:
     return entities.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select(*TABLE, "reason")
 
 
-def build_plans(entities: DataFrame, order: str = "sheet") -> DataFrame:
+def build_plans(entities: DataFrame, positions: DataFrame | None = None) -> DataFrame:
     """Eligible tables with a unique entity key per workbook.
 
-    ``order`` is the column giving the order of the tables in their workbook.
+    ``positions (source_file, sheet, position)`` gives the order of the tables in their workbook; those that
+    are not listed come last, by name.
     """
     fit = entities.filter((F.col("kind") != "unknown") & F.col("key_field").isNotNull())
-    return unique_names(fit, ["source_file"], order, "kind", "entity").withColumn("position", F.col(order))
+    place = F.lit(None).cast("bigint")
+    if positions is not None:
+        fit = fit.join(positions.select(*TABLE, F.col("position").cast("bigint").alias("_at")), list(TABLE), "left")
+        place = F.col("_at")
+    fit = fit.withColumn("position", F.struct(place.isNull().alias("unlisted"), place.alias("at"), F.col("sheet").alias("sheet")))
+    fit = fit.withColumn("position", F.row_number().over(Window.partitionBy("source_file").orderBy("position"))).drop("_at")
+    return unique_names(fit, ["source_file"], "position", "kind", "entity")
 
 
 def build_fields(plans: DataFrame, fields: DataFrame, keys: DataFrame, links: DataFrame) -> DataFrame:

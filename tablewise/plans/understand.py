@@ -46,14 +46,15 @@ class Corpus:
 def understand(
     rows: DataFrame, columns: DataFrame, *, sample_size: int | None = None,
     field_hints: DataFrame | None = None, entity_hints: DataFrame | None = None,
-    link_hints: DataFrame | None = None, store: bool = True, dense: bool = False,
+    link_hints: DataFrame | None = None, positions: DataFrame | None = None, store: bool = True, dense: bool = False,
 ) -> Corpus:
     """Profile, infer and link ``rows (table, row_no, cells)`` with ``columns (table, pos, column)``.
 
     The value counts feed profiles, inference and links. With ``store`` they and the
     per-column results are written to the work folder, so the cells are read once. With a
     ``sample_size`` the formats are judged on as many evenly spaced rows of each table instead of
-    on all values; ``dense`` then says that row numbers run 0, 1, 2 ... without gaps.
+    on all values; ``dense`` then says that row numbers run 0, 1, 2 ... without gaps. ``positions
+    (source_file, sheet, position)`` is the order of tables in their workbook; without it their names are.
     """
     keep = materialize if store else (lambda df, name: df)
     counts = keep(profile.value_counts(rows), "value_counts")
@@ -65,7 +66,7 @@ def understand(
     entities = infer.infer_entities(fields)
     if entity_hints is not None:
         fields, entities = infer.apply_entity_hints(fields, entities, entity_hints)
-    plans = keep(catalog.build_plans(entities), "plans")
+    plans = keep(catalog.build_plans(entities, positions), "plans")
     keys = catalog.field_keys(columns)
     found, positional = links.discover_links(plans, columns, fields, counts)
     rejects = None

@@ -14,25 +14,25 @@ from tablewise.workloads.linking import TAIL
 from tablewise.workloads.registry import query
 
 CATALOG = f"""{ENTITIES}, keys AS (SELECT sheet, key_pos AS pos FROM entities WHERE kind <> 'unknown' AND key_field IS NOT NULL),
-{TAIL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY sheet) AS nth FROM entities SEMI JOIN keys USING (sheet)),
+{TAIL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY {fx.POSITION_SQL}) AS nth FROM entities SEMI JOIN keys USING (sheet)),
 plans AS (SELECT *, kind || CASE WHEN nth > 1 THEN '_' || nth ELSE '' END AS entity FROM numbered),
 fk AS (SELECT child AS sheet, pos, bool_or(same) AS same_name FROM final GROUP BY ALL),
 fields AS (SELECT r.sheet, r.pos, r.col, entity, 'field_' || (r.pos + 1) AS field_key, r.type, r.role,
   CASE WHEN fk.sheet IS NOT NULL THEN 0.63 ELSE least(r.confidence, r.role_confidence) END AS confidence, r.labels, r.pos = p.key_pos AS is_key,
   fk.sheet IS NOT NULL AS linked FROM roled r JOIN plans p USING (sheet) LEFT JOIN fk ON fk.sheet = r.sheet AND fk.pos = r.pos),
 metrics AS (SELECT entity || '_count' AS key, entity, 'count' AS op, '' AS field, 0.9::DOUBLE AS confidence FROM plans
-  UNION ALL SELECT CASE WHEN row_number() OVER (PARTITION BY field_key ORDER BY sheet, pos) > 1 THEN entity || '_' ELSE '' END || 'total_' || field_key,
+  UNION ALL SELECT CASE WHEN row_number() OVER (PARTITION BY field_key ORDER BY {fx.POSITION_SQL}, pos) > 1 THEN entity || '_' ELSE '' END || 'total_' || field_key,
     entity, 'sum', field_key, 0.8::DOUBLE FROM fields WHERE type = 'money' AND role = 'measure' AND NOT {fx.sql_word('col', V.PRICE_NAMES)})"""
 
 
 def corpus(spark, sf):
-    return understand(fx.corpus_rows(spark, sf), fx.corpus_columns(spark, sf), dense=True)
+    return understand(fx.corpus_rows(spark, sf), fx.corpus_columns(spark, sf), positions=fx.corpus_positions(spark), dense=True)
 
 
 @query("catalog_plans", f"WITH {CATALOG} SELECT sheet, entity, key_field, 'field_' || (key_pos + 1) AS key_field_key FROM plans")
 def catalog_plans(spark, sf):
     fields, _, columns = inferred(spark, sf)
-    plans = catalog.build_plans(infer.infer_entities(fields))
+    plans = catalog.build_plans(infer.infer_entities(fields), fx.corpus_positions(spark))
     keys = catalog.field_keys(columns).select("source_file", "sheet", F.col("pos").alias("key_pos"), F.col("field_key").alias("key_field_key"))
     return plans.join(keys, ["source_file", "sheet", "key_pos"]).select("sheet", "entity", "key_field", "key_field_key")
 

@@ -192,6 +192,14 @@ def corpus_columns(spark: SparkSession, sf: str, sheets=None) -> DataFrame:
     return spark.createDataFrame(rows, "source_file string, sheet string, pos int, column string")
 
 
+def corpus_positions(spark: SparkSession) -> DataFrame:
+    """Order of the sheets in the workbook, which is not that of their names."""
+    return spark.createDataFrame([(BOOK, s[0], i) for i, s in enumerate(SHEETS)], "source_file string, sheet string, position int")
+
+
+POSITION_SQL = "list_position([" + ", ".join(f"'{s[0]}'" for s in SHEETS) + "], sheet)"
+
+
 def sql_rows(table: str, key: str | None) -> str:
     return f"(SELECT *, row_number() OVER () - 1 AS row_no FROM {table})" if key is None else f"(SELECT *, {key} AS row_no FROM {table})"
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tablewise.operators import clean, infer, links, profile
+from tablewise.operators import catalog, clean, infer, links, profile
 from tablewise.operators.numbering import block_offsets, number_rows, stride_sample
 from tablewise.plans.understand import understand, understand_grid
 from tablewise.sources import grid as g
@@ -264,3 +264,23 @@ def test_value_index_over_many_columns(spark):
     got = {tuple(r)[:5]: r["overlap"] for r in links.value_overlap(pairs, counts, index).collect()}
     want = {(b, "s", p, "s", c): len(held[b, "s", p] & held[b, "s", c]) for b, _, p, _, c, _, _ in pairs.collect()}
     assert got == {k: n for k, n in want.items() if n}
+
+
+def test_names_of_many_equal_columns(spark):
+    """100,000 equal names are ranked; a name spelled like a numbered one is not taken twice."""
+    many = spark.range(100_000).select(F.lit("a").alias("scope"), F.col("id").alias("at"), F.lit("name").alias("b"))
+    odd = spark.createDataFrame([("b", i, n) for i, n in enumerate(["x", "x_2", "x", "x", "y", "x_2", "x_2_2", "y_7", "x_3", "y"])]
+                                + [("c", 0, "x_2"), ("c", 1, "z")], "scope string, at bigint, b string")
+    named = catalog.unique_names(many.union(odd), ["scope"], "at", "b", "n")
+    got = {s: [r["n"] for r in named.filter(F.col("scope") == s).orderBy("at").collect()] for s in "abc"}
+    assert got["a"] == ["name", *[f"name_{k}" for k in range(2, 100_001)]]
+    assert got["b"] == ["x", "x_2", "x_3", "x_4", "y", "x_2_2", "x_2_2_2", "y_7", "x_3_2", "y_2"] and got["c"] == ["x_2", "z"]
+
+
+def test_tables_are_named_in_the_order_of_their_workbook(spark):
+    rows = [("f", s, "order", s, "no", 0, 0.9, False, ["x"]) for s in ("alpha", "beta", "gamma")]
+    entities = spark.createDataFrame(rows, "source_file string, sheet string, kind string, name string, key_field string, key_pos int, confidence double, needs_review boolean, signals array<string>")
+    places = spark.createDataFrame([("f", "gamma", 0), ("f", "alpha", 5)], "source_file string, sheet string, position int")
+    named = {r["sheet"]: r["entity"] for r in catalog.build_plans(entities, places).collect()}
+    assert named == {"gamma": "order", "alpha": "order_2", "beta": "order_3"}
+    assert {r["sheet"]: r["entity"] for r in catalog.build_plans(entities).collect()} == {"alpha": "order", "beta": "order_2", "gamma": "order_3"}
