@@ -30,11 +30,20 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, and one row of rows equal in id and text; rows without an id stay."""
     docs = docs.select(*COLUMNS)
-    kept = materialize(neardup.near_duplicates(docs, with_text=True).filter("kept and doc_id is not null").select(
-        "doc_id", "text_hash").distinct(), "kept")
+    kept = materialize(neardup.near_duplicates(docs, with_text=True).filter("chosen and doc_id is not null").groupBy(
+        "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_rows")), "kept")
     hashed = docs.withColumn("text_hash", F.xxhash64(F.col("text").cast("string")))
-    named = hashed.join(kept, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
-    return named.union(docs.filter("doc_id is null")).select(*COLUMNS)
+    return _once(hashed.join(_sent(kept), ["doc_id", "text_hash"])).select(*COLUMNS).union(docs.filter("doc_id is null"))
+
+
+def _sent(light: DataFrame) -> DataFrame:
+    """Ids and counts beside the texts: up to ``BROADCAST_ROWS`` of them are broadcast, so texts stay put."""
+    return F.broadcast(light) if light.count() <= packing.BROADCAST_ROWS else light
+
+
+def _once(named: DataFrame) -> DataFrame:
+    """One row of rows equal in id and text; only those that are known to repeat are shuffled for it."""
+    return named.filter("_rows = 1").union(named.filter("_rows > 1").dropDuplicates(["doc_id", "text"]))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +51,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     id are taken once."""
     docs = docs.select(*COLUMNS)
     key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
-    drawn = mixing.mix(docs.withColumn("doc_id", key)).filter("doc_id is not null").groupBy("doc_id").agg(F.sum("copies").alias("_copies"))
+    drawn = mixing.mix(docs.withColumn("doc_id", key)).filter("doc_id is not null").groupBy("doc_id").agg(
+        F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
     drawn = materialize(drawn.filter("_copies > 0").withColumnRenamed("doc_id", "_key"), "drawn")
-    named = docs.withColumn("_key", key).join(drawn, "_key").dropDuplicates(["doc_id", "text"])
+    named = _once(docs.withColumn("_key", key).join(_sent(drawn), "_key"))
     times = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_time")
     return named.select(*COLUMNS, times).drop("_time").union(docs.filter("doc_id is null"))
 
