@@ -69,6 +69,10 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -
                           F.least(F.lit(level) * F.col("weight"), limit.cast("double")).alias("target"))
 
 
+#: Equal rows are dealt in runs of so many (as a power of two).
+_RUN_BITS = 12
+
+
 def fly(chance: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
     """Flight phase over one block: the probabilities after it, at most two of them between 0 and 1.
 
@@ -136,6 +140,20 @@ def _block(last: bool):
     return run
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Equal rows, told apart by a ``number``: they are counted first, so no group of them meets in one task."""
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("times"))
+    runs = F.explode(F.sequence(F.lit(0).cast("bigint"), F.shiftright(F.col("times") - 1, _RUN_BITS))).alias("run")
+    inside = F.least(F.col("times") - F.shiftleft("run", _RUN_BITS), F.lit(1 << _RUN_BITS))
+    number = F.explode(F.sequence(F.lit(0).cast("bigint"), inside - 1)).alias("inner")
+
+    def spread(some):
+        return some.select(*rows.columns, "run", number).select(*rows.columns, (F.shiftleft("run", _RUN_BITS) + F.col("inner")).alias("number"))
+
+    few, many = (counted.filter(c).select(*rows.columns, "times", runs) for c in (F.col("times") <= 1 << _RUN_BITS, F.col("times") > 1 << _RUN_BITS))
+    return spread(few).union(spread(many.repartition("doc_id", "size", "run")))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, block_docs: int = BLOCK_DOCS, seed: int = 7) -> DataFrame:
     """``(doc_id, source, size, source_size, target, copies, taken)`` of every row.
 
@@ -146,7 +164,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, block_docs: i
     targets = materialize(source_targets(sized, weights, most), "targets")
     rows = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).select(sized["*"], "n_docs", (
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(1.0)).alias("ratio"))
-    salt = F.xxhash64(F.col("doc_id"), F.lit(seed))
+    rows = _numbered(rows)
+    # Rows that repeat get salts, and so blocks, of their own.
+    salt = F.when(F.col("number") == 0, F.xxhash64("doc_id", F.lit(seed))).otherwise(F.xxhash64("doc_id", F.lit(seed), "number"))
     blocks = F.ceil(F.col("n_docs") / block_docs)
     rows = rows.withColumns({"salt": salt, "chance": F.col("ratio") - F.floor("ratio")}).withColumn(
         "block", F.pmod(F.xxhash64("salt", "size"), blocks))

@@ -166,11 +166,16 @@ def tokenize(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None,
     return documents(docs).mapInArrow(run, PIECES)
 
 
+#: About 24 MB.
+BROADCAST_ROWS = 1 << 20
+
+
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to stored pieces.
 
     ``pieces`` must be a stored table (its ``task`` and ``local`` are read twice). The plan has at
-    most a few thousand runs whatever the number of pieces, so it is broadcast.
+    most a few thousand runs whatever the number of pieces, so it is broadcast. The counts ahead of each
+    task have a row for each task and length: up to ``BROADCAST_ROWS`` are broadcast, more are merged.
     """
     spark = pieces.sparkSession
     counts = materialize(pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "lengths")
@@ -181,7 +186,8 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     # Runs of a length start at rising numbers; the range test picks one.
-    numbered = pieces.join(materialize(before, "before"), ["task", "length"]).withColumn("_number", F.col("before") + F.col("local"))
+    way = "broadcast" if counts.count() <= BROADCAST_ROWS else "shuffle_merge"
+    numbered = pieces.join(materialize(before, "before").hint(way), ["task", "length"]).withColumn("_number", F.col("before") + F.col("local"))
     return numbered.join(F.broadcast(plan), "length").filter("_number >= first and _number < last").select(
         *[c for c in pieces.columns if c not in ("task", "local")],
         (F.col("bin") + F.col("_number") - F.col("first")).alias("sequence_id"), F.col("_offset").alias("offset"))
