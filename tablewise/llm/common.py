@@ -181,7 +181,10 @@ def map_texts(df: DataFrame, added: str, work: Callable, column: str = "text") -
 def release() -> None:
     """Give freed memory back at the end of a task: the worker process stays for other tasks."""
     import ctypes
+    import gc
 
+    _POW.clear()  # as long as the longest text so far
+    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only where the C library can
         ctypes.CDLL("libc.so.6").malloc_trim(0)
