@@ -22,21 +22,6 @@ WHITESPACE = (
 )
 FULL_WIDTH_DIGITS = "０１２３４５６７８９"
 
-_NUMBER = r"(?U)^[+-]?(?:\d+|\d{1,3}(?:,\d{3})+)(?:\.\d+)?$"
-_MONEY = (
-    rf"(?U)^[{V.CURRENCY}]?\s*[+-]?(?:\d{{1,3}}(?:,\d{{3}})*|\d+)(?:\.\d+)?\s*[{V.CURRENCY}元块]?$"
-)
-_MONEY_MARK = rf"[{V.CURRENCY}]|[元块]$"
-_PHONE = r"(?U)^(?:(?:\+?86)?1[3-9]\d{9}|0\d{2,3}\d{7,8})$"
-_CLOCK = r"T(?:[01]?\d|2[0-3]):[0-5]?\d:[0-5]?\d(?:\.\d{1,6})?"
-_FULL_DATE = (
-    rf"^(?!0000)\d{{4}}(?:-\d{{1,2}}-\d{{1,2}}(?:{_CLOCK})?"
-    r"|/\d{1,2}/\d{1,2}|\.\d{1,2}\.\d{1,2}|年\d{1,2}月\d{1,2}日)$"
-)
-_PERIOD = r"^(?:19|20|21)\d{2}(?:[-/.]\d{1,2}|年\d{1,2}月?)?$"
-_ANY_PERIOD = r"^(?!0000)\d{4}(?:[-/.]\d{1,2}|年(?:\d{1,2}月?)?)?$"
-_FLOAT = r"^[+-]?(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?$"
-
 
 def escape(text: str) -> str:
     """Quote a word for a Java pattern."""
@@ -85,16 +70,16 @@ def is_missing(c: Column) -> Column:
 
 
 def is_number(c: Column) -> Column:
-    return c.rlike(_NUMBER)
+    return c.rlike(V.NUMBER)
 
 
 def is_money(c: Column) -> Column:
     text = strip(c)
-    return text.rlike(_MONEY_MARK) & text.rlike(_MONEY)
+    return text.rlike(V.MONEY_MARK) & text.rlike(V.MONEY)
 
 
 def is_phone(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)[\s\-]", "").rlike(_PHONE)
+    return F.regexp_replace(c, r"(?U)[\s\-]", "").rlike(V.PHONE)
 
 
 def date_text(c: Column) -> Column:
@@ -103,7 +88,7 @@ def date_text(c: Column) -> Column:
 
 def _full_date(text: Column) -> Column:
     day = F.regexp_replace(F.regexp_replace(text, r"T.*$|日", ""), "[/.年月]", "-")
-    return F.when(text.rlike(_FULL_DATE), day.try_cast("date"))
+    return F.when(text.rlike(V.FULL_DATE), day.try_cast("date"))
 
 
 def full_date(c: Column) -> Column:
@@ -113,7 +98,7 @@ def full_date(c: Column) -> Column:
 
 def is_date(c: Column) -> Column:
     text = date_text(c)
-    return text.rlike(_PERIOD) | F.coalesce(_full_date(text).isNotNull(), F.lit(False))
+    return text.rlike(V.PERIOD) | F.coalesce(_full_date(text).isNotNull(), F.lit(False))
 
 
 def parse_date(text: Column) -> Column:
@@ -125,7 +110,7 @@ def parse_date(text: Column) -> Column:
         F.regexp_replace(head, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3").try_cast("date"),
     )
     month = F.regexp_replace(F.regexp_replace(text, "月|年$", ""), "[/.年]", "-")
-    first = F.when(text.rlike(_ANY_PERIOD), month.try_cast("date"))
+    first = F.when(text.rlike(V.ANY_PERIOD), month.try_cast("date"))
     return F.coalesce(iso, _full_date(text), first, packed)
 
 
@@ -141,7 +126,7 @@ def bare_number(c: Column) -> Column:
 def parse_number(text: Column) -> Column:
     """Number of a ``bare_number``. Infinity and NaN spellings are not numbers here: they go
     to the rejects."""
-    return F.when(text.rlike(_FLOAT), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
+    return F.when(text.rlike(V.FLOAT), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
 
 
 def to_number(c: Column) -> Column:
@@ -150,7 +135,7 @@ def to_number(c: Column) -> Column:
 
 
 def looks_numeric(c: Column) -> Column:
-    return strip(c).rlike(_NUMBER)
+    return strip(c).rlike(V.NUMBER)
 
 
 def has_word(name: Column, words) -> Column:

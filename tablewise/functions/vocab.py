@@ -135,3 +135,19 @@ FIELD_KEYS = {
     "备注": "remark", "描述": "description", "说明": "note",
     "规格": "spec", "型号": "model", "单位": "unit", "品牌": "brand",
 }
+
+# --- Fixed values: accepted spellings, as patterns --------------------------------
+NUMBER = r"(?U)^[+-]?(?:\d+|\d{1,3}(?:,\d{3})+)(?:\.\d+)?$"
+MONEY = (
+    rf"(?U)^[{CURRENCY}]?\s*[+-]?(?:\d{{1,3}}(?:,\d{{3}})*|\d+)(?:\.\d+)?\s*[{CURRENCY}元块]?$"
+)
+MONEY_MARK = rf"[{CURRENCY}]|[元块]$"
+PHONE = r"(?U)^(?:(?:\+?86)?1[3-9]\d{9}|0\d{2,3}\d{7,8})$"
+CLOCK = r"T(?:[01]?\d|2[0-3]):[0-5]?\d:[0-5]?\d(?:\.\d{1,6})?"
+FULL_DATE = (
+    rf"^(?!0000)\d{{4}}(?:-\d{{1,2}}-\d{{1,2}}(?:{CLOCK})?"
+    r"|/\d{1,2}/\d{1,2}|\.\d{1,2}\.\d{1,2}|年\d{1,2}月\d{1,2}日)$"
+)
+PERIOD = r"^(?:19|20|21)\d{2}(?:[-/.]\d{1,2}|年\d{1,2}月?)?$"
+ANY_PERIOD = r"^(?!0000)\d{4}(?:[-/.]\d{1,2}|年(?:\d{1,2}月?)?)?$"
+FLOAT = r"^[+-]?(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?$"
