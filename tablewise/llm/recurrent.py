@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewise.llm.common import (
-    LOWER, crc_bucket, documents, find_words, inner_index, list_array, new_folder, parallelism, release, span_hashes, text_slices,
+    LOWER, crc_bucket, documents, find_words, inner_index, list_array, new_folder, release, span_hashes, text_slices,
 )
 from tablewise.session import materialize
 
@@ -121,8 +121,9 @@ class Vocabulary:
         """Place of a word in the table, or -1."""
         if not len(self.words):
             return np.full(len(keys), -1)
+        keys, back = np.unique(keys, return_inverse=True)  # in order, the search stays in the cache
         at = np.minimum(np.searchsorted(self.words, keys), len(self.words) - 1)
-        return np.where(self.words[at] == keys, at, -1)
+        return np.where(self.words[at] == keys, at, -1)[back]
 
 
 def vocabulary(counted: DataFrame, known: int = KNOWN_WORDS) -> Vocabulary:
@@ -166,12 +167,12 @@ def code(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
 
     The sums are of log10(c + 0.5): ``base`` over all these words, ``tail`` over those outside the head.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(vocab))  # plain values: workers read them before this package
     schema = ("doc_id bigint, held_out boolean, round int, ids array<smallint>, n_tokens bigint, n_known bigint, base double, "
               "tail double, rare array<bigint>, times array<bigint>")
 
     def run(batches):
-        v = shared.value
+        v = Vocabulary(**shared.value)
         lone = np.log10(v.counts + 0.5)
         share = np.log10(v.tail_tokens + 0.5 * (v.tail_words + 1))
         end = int(v.symbol[v.find(np.array([END_HASH]))[0]]) if len(v.words) else 0
@@ -503,9 +504,8 @@ def _averaged(parts: DataFrame) -> np.ndarray:
                 ["block", "trainer", "tokens", "v"])
 
     schema = "block bigint, trainer bigint, tokens bigint, v array<double>"
-    wide = parallelism(parts.sparkSession)
-    some = parts.repartition(max(_BLOCKS, wide), "block", F.col("trainer") % 64).sortWithinPartitions("block", "trainer").mapInArrow(add, schema)
-    rows = some.repartition(_BLOCKS, "block").sortWithinPartitions("block", "trainer", "tokens").mapInArrow(add, schema).collect()
+    some = parts.repartition("block", F.col("trainer") % 64).sortWithinPartitions("block", "trainer").mapInArrow(add, schema)
+    rows = some.repartition("block").sortWithinPartitions("block", "trainer", "tokens").mapInArrow(add, schema).collect()
     if not rows:
         return np.zeros(0, np.float32)
     return np.concatenate([np.array(r["v"]) / r["tokens"] for r in sorted(rows)]).astype(np.float32)
