@@ -33,7 +33,7 @@ def test_empty_corpus(spark):
 
 @pytest.mark.parametrize("name", [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()])
 def test_query_covers_its_table(spark, name):
-    source = {"op7_warc": "pages", "op10_near_vectors": "embeddings"}.get(name, "documents")
+    source = {"op7_warc": "pages", "op10_near_vectors": "embeddings", "op12_whitening": "embeddings"}.get(name, "documents")
     rows = entry.queries()[name](spark, "/root/testdata/sf0.001")
     key = rows.columns[0]
     assert rows.select(key).distinct().count() == table(spark, "/root/testdata/sf0.001", source).count()
