@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewise.operators import clean
@@ -301,10 +301,13 @@ def large_files(spark, sf) -> str:
     lines = named.select("part", "o_orderkey", F.when(F.col("o_orderkey") % 50 == 3, "").otherwise(parts).alias("value"))
     folder = f"{work_folder(spark)}/large-{uuid.uuid4().hex}"
     for name, some in (("utf8", F.col("part") < 2), ("utf16", F.col("part") >= 2)):
-        own = lines.filter(some).repartition("part").sortWithinPartitions("part", "o_orderkey")
+        own = lines.filter(some)
         if name == "utf16":
-            mark = F.when(F.lag("o_orderkey").over(Window.partitionBy("part").orderBy("o_orderkey")).isNull(), F.lit("\ufeff")).otherwise("")
-            own = own.select("part", F.encode(F.concat(mark, "value"), "UTF-16LE").cast("string").alias("value"))
+            firsts = own.groupBy("part").agg(F.min("o_orderkey").alias("first"))
+            mark = F.when(F.col("o_orderkey") == F.col("first"), F.lit("\ufeff")).otherwise("")
+            own = own.join(F.broadcast(firsts), "part").select(  # two rows
+                "part", "o_orderkey", F.encode(F.concat(mark, "value"), "UTF-16LE").cast("string").alias("value"))
+        own = own.repartition("part").sortWithinPartitions("part", "o_orderkey")
         own.select("part", "value").write.partitionBy("part").option("encoding", "UTF-16LE" if name == "utf16" else "UTF-8").option(
             "lineSep", "\n").text(f"{folder}/{name}")
     return folder
