@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tablewise.functions import text
 from tablewise.functions import vocab as V
+from tablewise.session import materialize
 from tablewise.operators.numbering import TABLE, explode_cells, number_rows, stride_sample
 
 COLUMN = (*TABLE, "pos")
@@ -134,8 +135,12 @@ def preview(rows: DataFrame, n: int = V.PREVIEW_ROWS, chars: int = V.PREVIEW_CHA
     """First rows of every table with long cells cut."""
     order = Window.partitionBy(*TABLE).orderBy("row_no")
     cut = lambda c: F.when(F.length(c) > chars, F.concat(F.left(c, F.lit(chars)), F.lit("…"))).otherwise(c)
+    # Row numbers alone tell where a preview ends; cells are fetched for its rows only.
+    firsts = rows.select(*TABLE, "row_no").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    ends = materialize(firsts.groupBy(*TABLE).agg(F.max("row_no").alias("_last")), "preview-ends")
+    few = rows.join(ends, list(TABLE)).filter(F.col("row_no") <= F.col("_last"))
     return (
-        rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+        few.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
         .select(*TABLE, (F.col("rank") - 1).alias("row_no"), F.transform("cells", cut).alias("cells"))
     )
 

@@ -18,8 +18,8 @@ _CHUNK_ROWS = 10_000
 _DELIMITERS = V.DELIMITERS
 
 
-def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """``(path, length, content)`` of every file below a folder."""
+def list_files(spark: SparkSession, path: str | list[str], pattern: str = "*") -> DataFrame:
+    """``(path, length, content)`` of every file below a folder, or of the files listed."""
     return (
         spark.read.format("binaryFile").option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true").load(path)
@@ -34,10 +34,12 @@ def file_hash(content, version: str):
 
 
 def new_files(files: DataFrame, profiled: DataFrame, version: str) -> DataFrame:
-    """Files whose content was not profiled yet under this pipeline version."""
-    return files.withColumn("content_hash", file_hash(F.col("content"), version)).join(
-        profiled.select("content_hash").distinct(), "content_hash", "left_anti"
-    )
+    """``(path, length, content_hash)`` of files not profiled yet under this pipeline version.
+
+    The bytes are hashed where they are read and go no further; ``list_files`` of these paths reads the unknown ones.
+    """
+    light = files.select("path", "length", file_hash(F.col("content"), version).alias("content_hash"))
+    return light.join(profiled.select("content_hash").distinct(), "content_hash", "left_anti").select("path", "length", "content_hash")
 
 
 def decode(content: bytes) -> str | None:

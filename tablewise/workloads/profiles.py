@@ -77,12 +77,18 @@ def sample(spark, sf):
     return rows.select("sheet", "position", F.posexplode("cells").alias("pos", "value"))
 
 
-@query("head_preview", """SELECT row_no, CASE WHEN length(body) > 80 THEN concat(left(body, 80), '…') ELSE body END AS body
-FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_no, nullif(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '') AS body FROM documents) WHERE row_no < 20""")
+_CUT = "CASE WHEN length(value) > 80 THEN concat(left(value, 80), '…') ELSE coalesce(value, '~') END"
+
+
+@query("head_preview", f"""WITH {fx.corpus_sql()}, d AS (SELECT 'documents' AS sheet, 0 AS pos, doc_id AS row_no, CAST(doc_id AS VARCHAR) AS value FROM documents
+  UNION ALL SELECT 'documents', 1, doc_id, nullif(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '') FROM documents),
+a AS (SELECT sheet, pos, row_no, value FROM cells UNION ALL SELECT * FROM d),
+r AS (SELECT *, dense_rank() OVER (PARTITION BY sheet ORDER BY row_no) - 1 AS place FROM a)
+SELECT sheet, place AS row_no, array_to_string(list({_CUT} ORDER BY pos), '|') AS body FROM r WHERE place < 20 GROUP BY sheet, place""")
 def head_preview(spark, sf):
     docs = fx.read(spark, sf, "documents").select("doc_id", "text")
-    rows = table_rows(docs, "docs", "documents", "doc_id")
-    return profile.preview(rows).select("row_no", F.col("cells")[1].alias("body"))
+    rows = fx.corpus_rows(spark, sf).unionByName(table_rows(docs, fx.BOOK, "documents", "doc_id"))
+    return profile.preview(rows).select("sheet", "row_no", F.array_join("cells", "|", "~").alias("body"))
 
 
 @query("missing_markers", f"""WITH {CELLS} SELECT sheet, pos, count(*) FILTER ({fx.sql_missing('value')}) AS missing,

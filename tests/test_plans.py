@@ -28,6 +28,17 @@ def test_ranks_are_cut_before_their_shuffle(spark, sf_dir):
     assert "WindowGroupLimit" in plan(top)
 
 
+def test_bytes_of_files_do_not_reach_the_join(spark):
+    from tablewise.sources import grid
+
+    files = spark.createDataFrame([(f"/x/{i}", 1, bytearray(b"x" * i)) for i in range(5)], "path string, length bigint, content binary")
+    seen = files.limit(2).select(grid.file_hash(F.col("content"), "v").alias("content_hash"))
+    fresh = grid.new_files(files, seen, "v")
+    assert fresh.columns == ["path", "length", "content_hash"] and fresh.count() == 3
+    join = fresh._jdf.queryExecution().optimizedPlan()
+    assert all("content#" not in str(c.output()) for c in [join.children().head()])
+
+
 def test_cells_are_built_once(spark, sf_dir):
     counts = profile.value_counts(fx.corpus_rows(spark, sf_dir, {"order"}))
     assert "size(array" not in plan(counts)
