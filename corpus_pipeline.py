@@ -62,7 +62,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their ids, sequence and offset."""
     # Workers still hold what earlier stages left, so this stage remembers fewer words.
-    return packing.pack(docs, remember=250_000, part_bytes=1 << 22)
+    return packing.pack(docs, remember=60_000, part_bytes=1 << 21)
 
 
 STAGES = [
