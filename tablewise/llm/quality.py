@@ -23,8 +23,8 @@ from tablewise.llm.common import (
 from tablewise.session import materialize
 
 BUCKETS = 1 << 14
-#: At most so many labelled good documents make the trusted model; their ids are broadcast.
-TRUSTED_ROWS = 20_000
+#: Up to so many labels are broadcast; more are joined by a shuffle. Results do not depend on it.
+BROADCAST_ROWS = 1 << 20
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 BASE = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean"
@@ -114,12 +114,19 @@ def _counts(flagged: DataFrame) -> DataFrame:
         "bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
 
 
-def _flagged(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """``trusted``: true for labelled good, false for labelled bad, null for the rest."""
-    ids = labels.select(F.col("doc_id").cast("bigint").alias("_id"), (F.col("quality") == 1).alias("trusted")).filter(
+def _trusted(labels: DataFrame) -> DataFrame:
+    """``(_id, trusted)`` of every labelled id: true for good, false for bad; bad if one of its labels says so."""
+    return labels.select(F.col("doc_id").cast("bigint").alias("_id"), (F.col("quality") == 1).alias("trusted")).filter(
         "_id is not null and trusted is not null").groupBy("_id").agg(F.min("trusted").alias("trusted"))
-    some = [ids.filter(F.col("trusted") == flag).orderBy(F.xxhash64("_id"), "_id").limit(rows) for flag in (True, False)]
-    return docs.join(F.broadcast(some[0].union(some[1])), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+
+
+def _flagged(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``trusted`` beside every row, null without a label; rows without a doc_id are not shuffled."""
+    match = F.col("doc_id") == F.col("_id")
+    if ids.count() <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(ids), match, "left").drop("_id")
+    named = docs.filter("doc_id is not null").join(ids.hint("shuffle_hash"), match, "left").drop("_id")
+    return named.union(docs.filter("doc_id is null").withColumn("trusted", F.lit(None).cast("boolean")))
 
 
 def choose_threshold(grid: list[tuple[int, int, int]]) -> float:
@@ -144,19 +151,20 @@ def choose_threshold(grid: list[tuple[int, int, int]]) -> float:
     return (best[1] + best[2]) / 2000
 
 
-def judge(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (),
-          trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, *keep, n_words, ..., base_failed, score, kept)`` of every row.
 
+    Both models count whole tables, and the threshold looks at every labelled document.
+
     Null and empty texts have no words, fail the base rules and are not kept; their score is 0.
     Without trusted labels the two models agree, all scores are 0 and the base rules decide.
     Repeated rows are judged alike; a null doc_id has no label.
     """
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
                       *[c for c in keep if c not in ("doc_id", "text")])
-    flagged = _flagged(own, labels, trusted_rows)
+    ids = materialize(_trusted(labels), "trusted")
     raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for b, r, g in _counts(flagged).collect():  # at most BUCKETS rows
+    for b, r, g in _counts(_flagged(own.select("doc_id", "text"), ids)).collect():  # at most BUCKETS rows
         raw[b], good[b] = r, g
     ratio = np.log((good + 1) / (good.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
     if not good.sum():
@@ -173,12 +181,13 @@ def judge(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (),
             return [*map(np.concatenate, zip(*parts)), np.round(np.concatenate(scores), 6)]
         return run
 
-    scored = map_texts(flagged, f"{BASE}, score double", work)
+    scored = map_texts(own, f"{BASE}, score double", work)
     if "text" not in keep:
         scored = scored.drop("text")
     scored = materialize(scored, "quality")
     step = F.floor(F.col("score") * 1000)
-    grid = scored.filter("trusted is not null and not base_failed").groupBy(step.alias("s")).agg(
+    light = _flagged(scored.filter("not base_failed").select("doc_id", "score"), ids)
+    grid = light.filter("trusted is not null").groupBy(step.alias("s")).agg(
         F.count_if("trusted"), F.count_if(~F.col("trusted"))).orderBy("s").collect()  # scores lie within 20 of 0
     threshold = choose_threshold([tuple(r) for r in grid])
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(threshold))).drop("trusted")
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(threshold)))

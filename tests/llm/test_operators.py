@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewise.llm import bpe, counting, language, mixing, neardup, packing, quality, rans, toxicity, vectors, warc
-from tablewise.llm.common import new_folder, table, text_slices
+from tablewise.llm.common import flat, new_folder, table, text_slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -260,6 +260,41 @@ def test_quality(spark, odd, none, labels):
         len(WORD.findall(r.text or "")) >= 50 and base(r.text)[4] * 2 <= base(r.text)[0] for r in odd.collect())
 
 
+def quality_by_hand(texts, marks):
+    """Scores from all texts and all labels (1 good, 0 bad, None), and the threshold."""
+    data, bounds = flat(pa.array(texts, pa.string()))
+    row, key = quality.features(data, bounds)
+    raw = np.bincount(key, minlength=quality.BUCKETS)
+    good = np.bincount(key[np.array([m == 1 for m in marks])[row]], minlength=quality.BUCKETS)
+    ratio = np.log((good + 1) / (good.sum() + quality.BUCKETS)) - np.log((raw + 1) / (raw.sum() + quality.BUCKETS))
+    scores = np.bincount(row, ratio[key], len(texts)) / np.bincount(row, minlength=len(texts))
+    grid = {}
+    for m, s in zip(marks, np.floor(np.round(scores, 6) * 1000).astype(int).tolist()):
+        if m is not None:
+            grid.setdefault(s, [0, 0])[1 - m] += 1
+    return scores, quality.choose_threshold([(s, *grid[s]) for s in sorted(grid)])
+
+
+def test_quality_counts_every_label(spark):
+    # More good and bad labels than were once taken; good and bad texts share most words.
+    marks = ([0, 1] * 20_500) + [None] * 500
+    texts = [" ".join(f"w{(i * 31 + k * k) % 997}" for k in range(50)) + f" {'good' if m else 'bad'}{i % 7}" for i, m in enumerate(marks)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, m) for i, m in enumerate(marks) if m is not None], "doc_id bigint, quality int")
+    want, threshold = quality_by_hand(texts, marks)
+    got = quality.judge(docs, labels).select("doc_id", "score", "base_failed", "kept").orderBy("doc_id").collect()
+    assert not any(r.base_failed for r in got)
+    assert np.abs(np.array([r.score for r in got]) - want).max() < 2e-6
+    assert [r.kept for r in got] == [bool(r.score >= threshold) for r in got]
+
+
+def test_quality_does_not_depend_on_the_join(spark, odd, labels, monkeypatch):
+    marks = labels.union(labels.limit(3)).union(spark.createDataFrame([(11, 0, 1), (13, 1, 0)], labels.schema))
+    want = rows_of(quality.judge(odd, marks, keep=("source",)))
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, rows_of(quality.judge(odd, marks, keep=("source",))))) == sorted(map(str, want))
+
+
 def test_edits_count_like_encoding_anew(spark, odd, none):
     enc = bpe.encoder(bpe.default_path())
     random.seed(3)
