@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -173,6 +173,7 @@ def map_texts(df: DataFrame, added: str, work: Callable, column: str = "text") -
             values = [pa.array(v, k) if not isinstance(v, pa.Array) else v
                       for v, k in zip(make(batch.column(batch.schema.names.index(column))), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *values], names=[*batch.schema.names, *new.names])
+        make = batch = values = None  # what the task remembered is freed before memory is given back
         release()
 
     return kept.mapInArrow(run, schema)

@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 import string
+from array import array
 from bisect import bisect_right
 from dataclasses import dataclass, field
 
@@ -52,6 +53,10 @@ REPORTING = frozenset((
 ).split())
 
 
+def _pairs(state: bytes) -> list[tuple[int, int]]:
+    return [(x >> 2, x & 3) for x in array("I", state)]  # two edits at most
+
+
 class LexiconAutomaton:
     """Trie of terms walked by all their Levenshtein automata at once; transitions are remembered."""
 
@@ -93,8 +98,8 @@ class LexiconAutomaton:
         self.steps: list[dict[str, int]] = [{}]
         self.ends: list = [self._accept(first)]
 
-    def _close(self, pairs: dict[int, int]) -> frozenset:
-        """Add letters of the trie that the word leaves out."""
+    def _close(self, pairs: dict[int, int]) -> bytes:
+        """Add letters of the trie that the word leaves out; a state is four bytes a pair, in order."""
         todo = list(pairs)
         while todo:
             node = todo.pop()
@@ -103,10 +108,10 @@ class LexiconAutomaton:
                 if e <= self.allowed[child] and e < pairs.get(child, 9):
                     pairs[child] = e
                     todo.append(child)
-        return frozenset(pairs.items())
+        return array("I", sorted(node << 2 | e for node, e in pairs.items())).tobytes()
 
-    def _accept(self, state: frozenset):
-        found = [(e, -self.weight[self.term[n]], self.term[n]) for n, e in state
+    def _accept(self, state: bytes):
+        found = [(e, -self.weight[self.term[n]], self.term[n]) for n, e in _pairs(state)
                  if self.term[n] is not None and (e == 0 or self.near and e <= self.edits(len(self.term[n])))]
         return min(found, default=None)
 
@@ -117,7 +122,7 @@ class LexiconAutomaton:
             if e <= self.allowed[node] and e < pairs.get(node, 9):
                 pairs[node] = e
 
-        for node, e in self.states[state]:
+        for node, e in _pairs(self.states[state]):
             for c, child in self.children[node].items():
                 put(child, e + (c != letter))  # the letter, or another one in its place
             put(node, e + 1)  # a letter too many
