@@ -299,6 +299,7 @@ class Network:
     def choices(self, h: np.ndarray, y: np.ndarray, back: bool = False):
         """Natural log probability of each symbol ``y`` after state ``h``; with ``back`` gradients too."""
         w = self.w
+        small, small_word = _small(w["kind"].T, w["kind0"], 1)[0], _small(w["word"], w["word0"], CLASSES)
         kind = np.where(y < HEAD, y // CLASS_WORDS, y - HEAD + CLASSES)
         score, grads, dh = np.empty(len(y)), {}, None
         if back:
@@ -308,7 +309,7 @@ class Network:
             hc, place = h[low:low + _CACHED], kind[low:low + _CACHED]
             p = hc @ w["kind"]
             p += w["kind0"]
-            score[low:low + _CACHED] = _softmax(p, place)
+            score[low:low + _CACHED] = _softmax(p, place, small, back)
             if back:
                 p[np.arange(len(place)), place] -= 1
                 grads["kind"] += hc.T @ p
@@ -325,7 +326,7 @@ class Network:
             hc, place = h[at], y[at] - c * CLASS_WORDS
             q = hc @ w["word"][span].T
             q += w["word0"][span]
-            score[at] += _softmax(q, place)
+            score[at] += _softmax(q, place, small_word[c], back)
             if back:
                 q[np.arange(len(at)), place] -= 1
                 grads["word"][span], grads["word0"][span] = q.T @ hc, q.sum(axis=0)
@@ -391,14 +392,26 @@ class Network:
         return out[-1], float(score.sum())
 
 
-def _softmax(p: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Log probability of a place in each row; the rows become probabilities."""
-    p -= p.max(axis=1, keepdims=True)
+def _small(weights: np.ndarray, biases: np.ndarray, groups: int) -> np.ndarray:
+    """Of each group of choices, whether no state, whose units lie within 1 of 0, can take their exponentials out of range."""
+    reach = np.abs(weights).sum(axis=1)
+    high, low = (x.reshape(groups, -1).max(axis=1) for x in (biases + reach, biases - reach))
+    return (high < 80) & (low > -80)
+
+
+def _softmax(p: np.ndarray, place: np.ndarray, small: bool, whole: bool) -> np.ndarray:
+    """Log probability of a place in each row; with ``whole`` the rows become probabilities.
+
+    Only values that are not ``small`` need their row's largest one taken away first.
+    """
+    if not small:
+        p -= p.max(axis=1, keepdims=True)
     own = p[np.arange(len(place)), place].astype(np.float64)
     np.exp(p, out=p)
-    total = p.sum(axis=1, keepdims=True)
-    p /= total
-    return own - np.log(total[:, 0])
+    total = p @ np.ones(p.shape[1], np.float32)
+    if whole:
+        p /= total[:, None]
+    return own - np.log(total)
 
 
 def rows_of(units: np.ndarray) -> np.ndarray:

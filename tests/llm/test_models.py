@@ -140,6 +140,26 @@ def test_gradients_equal_differences():
         assert (net.g2[name] >= squares).all()
 
 
+def test_softmax_without_the_largest_value():
+    draw = np.random.default_rng(1)
+    for scale in (1, 30):  # weights that are small, and some that are not
+        weights, biases = draw.normal(0, scale, (64, 16)).astype(np.float32), draw.normal(0, 5, 64).astype(np.float32)
+        weights[:32] *= 0.1
+        biases[::9] = -60
+        biases[32:][0] = 200 if scale > 1 else 0
+        assert recurrent._small(weights, biases, 2).tolist() == [True, scale == 1]
+        for c, small in enumerate(recurrent._small(weights, biases, 2)):
+            h = draw.uniform(-1, 1, (500, 16)).astype(np.float32)
+            p = h @ weights[32 * c:32 * c + 32].T + biases[32 * c:32 * c + 32]
+            exact = p.astype(np.float64)
+            exact -= exact.max(axis=1, keepdims=True)
+            exact -= np.log(np.exp(exact).sum(axis=1, keepdims=True))
+            place = draw.integers(0, 32, 500)
+            found = recurrent._softmax(p, place, small, True)
+            assert found == pytest.approx(exact[np.arange(500), place], abs=1e-4)
+            assert p == pytest.approx(np.exp(exact), abs=1e-5)
+
+
 def test_windows_do_not_change_scores(monkeypatch):
     """A text's score is that of one run over all its tokens, however lanes and windows are cut."""
     net = recurrent.Network.fresh(some_vocabulary(), 9)
