@@ -309,7 +309,7 @@ class Network:
             hc, place = h[low:low + _CACHED], kind[low:low + _CACHED]
             p = hc @ w["kind"]
             p += w["kind0"]
-            score[low:low + _CACHED] = _softmax(p, place, small, back)
+            score[low:low + _CACHED] = _softmax(p, place) if back else _log_share(p, place, small)
             if back:
                 p[np.arange(len(place)), place] -= 1
                 grads["kind"] += hc.T @ p
@@ -326,7 +326,7 @@ class Network:
             hc, place = h[at], y[at] - c * CLASS_WORDS
             q = hc @ w["word"][span].T
             q += w["word0"][span]
-            score[at] += _softmax(q, place, small_word[c], back)
+            score[at] += _softmax(q, place) if back else _log_share(q, place, small_word[c])
             if back:
                 q[np.arange(len(at)), place] -= 1
                 grads["word"][span], grads["word0"][span] = q.T @ hc, q.sum(axis=0)
@@ -399,19 +399,23 @@ def _small(weights: np.ndarray, biases: np.ndarray, groups: int) -> np.ndarray:
     return (high < 80) & (low > -80)
 
 
-def _softmax(p: np.ndarray, place: np.ndarray, small: bool, whole: bool) -> np.ndarray:
-    """Log probability of a place in each row; with ``whole`` the rows become probabilities.
+def _softmax(p: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Log probability of a place in each row; the rows become probabilities."""
+    p -= p.max(axis=1, keepdims=True)
+    own = p[np.arange(len(place)), place].astype(np.float64)
+    np.exp(p, out=p)
+    total = p.sum(axis=1, keepdims=True)
+    p /= total
+    return own - np.log(total[:, 0])
 
-    Only values that are not ``small`` need their row's largest one taken away first.
-    """
+
+def _log_share(p: np.ndarray, place: np.ndarray, small: bool) -> np.ndarray:
+    """The same log probability where no gradients follow: values that are ``small`` stay as they are; the rows are used up."""
     if not small:
         p -= p.max(axis=1, keepdims=True)
     own = p[np.arange(len(place)), place].astype(np.float64)
     np.exp(p, out=p)
-    total = p @ np.ones(p.shape[1], np.float32)
-    if whole:
-        p /= total[:, None]
-    return own - np.log(total)
+    return own - np.log(p @ np.ones(p.shape[1], np.float32))
 
 
 def rows_of(units: np.ndarray) -> np.ndarray:
