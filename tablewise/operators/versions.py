@@ -96,13 +96,14 @@ def version_conflicts(versions: DataFrame) -> DataFrame:
 def restore(versions: DataFrame, targets: DataFrame, operator: str = "local") -> tuple[DataFrame, DataFrame]:
     """Copies of old snapshots as next versions, and the refused targets with the cause.
 
-    ``targets (app_key, target_version)``; a null target undoes the latest change.
+    ``targets (app_key, target_version)``; a null target undoes the latest change. The versions are merged,
+    never broadcast: a planner that guesses the length of made text would gather all snapshots on the driver.
     """
     now = versions.groupBy("app_key").agg(F.max("version").alias("now"))
-    asked = targets.join(now, "app_key", "left").withColumn("undo", F.col("target_version").isNull())
+    asked = targets.join(now.hint("merge"), "app_key", "left").withColumn("undo", F.col("target_version").isNull())
     asked = asked.withColumn("wanted", F.coalesce("target_version", F.col("now") - 1))
     old = versions.select("app_key", F.col("version").alias("wanted"), "snapshot").dropDuplicates(["app_key", "wanted"])
-    placed = asked.join(old.withColumn("found", F.lit(True)), ["app_key", "wanted"], "left").withColumn(
+    placed = asked.join(old.withColumn("found", F.lit(True)).hint("merge"), ["app_key", "wanted"], "left").withColumn(
         "cause", F.when(F.col("now").isNull(), "app not found")
         .when(F.col("undo") & (F.col("now") <= 1), "nothing to undo")
         .when(F.col("wanted") == F.col("now"), "already current")

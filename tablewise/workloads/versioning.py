@@ -109,7 +109,7 @@ def restore_version(spark, sf):
     rows, _ = v.restore(all_, _targets(all_))
     old = all_.select("app_key", F.concat(F.lit("restored from version "), F.col("version").cast("string")).alias("source_request"),
                       F.col("snapshot").alias("old"))
-    return rows.join(old, ["app_key", "source_request"]).select(
+    return rows.join(old.hint("merge"), ["app_key", "source_request"]).select(
         "app_key", "version", "source_request", (F.col("snapshot") == F.col("old")).alias("same"))
 
 
