@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tablewise.operators import profile, query as q
+from tablewise.operators import infer, profile, query as q
 from tablewise.operators.numbering import number_rows
+from tablewise.session import materialize
+from tablewise.sources.parquet import indexed_parquet
 from tablewise.workloads import fixtures as fx
 from tablewise.workloads import all_queries
 
@@ -74,3 +76,35 @@ def test_small_batches_do_not_shuffle_the_table(spark):
     for df in frames:
         assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
     assert [df.count() for df in frames] == [200_001, 1, 200_000, 1, 199_999, 1]
+
+
+def test_row_numbers_of_files_need_no_shuffle_of_rows(spark, sf_dir):
+    """Joined by a shuffle on the file, all rows of a file met in one task."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(indexed_parquet(fx.read(spark, sf_dir, "lineitem")))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text
+
+
+def test_versions_are_not_broadcast(spark, sf_dir):
+    """Made snapshots look small to the planner; all of them came to the driver."""
+    text = plan(all_queries()["restore_version"](spark, sf_dir))
+    assert "BroadcastExchange" not in text
+
+
+def test_value_counts_are_read_once_for_the_facts(spark, sf_dir):
+    """One pass gives profiles and formats, one more the values of narrow columns, neither sorts the values."""
+    counts = materialize(profile.value_counts(fx.corpus_rows(spark, sf_dir, {"order"})), "counts")
+    fields = infer.infer_fields(fx.corpus_columns(spark, sf_dir, {"order"}), counts)
+    text = plan(fields)
+    assert text.count(counts._stored_at.rsplit("/", 1)[1]) <= 1 and "Window" not in text
+
+
+def test_profiles_of_linked_tables_are_stored(spark, sf_dir):
+    from tablewise.workloads.linking import profiled
+
+    _, _, profiles, counts = profiled(spark, sf_dir)
+    assert "_stored_at" in vars(profiles) and "_stored_at" in vars(counts)
