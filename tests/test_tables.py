@@ -284,3 +284,14 @@ def test_tables_are_named_in_the_order_of_their_workbook(spark):
     named = {r["sheet"]: r["entity"] for r in catalog.build_plans(entities, places).collect()}
     assert named == {"gamma": "order", "alpha": "order_2", "beta": "order_3"}
     assert {r["sheet"]: r["entity"] for r in catalog.build_plans(entities).collect()} == {"alpha": "order", "beta": "order_2", "gamma": "order_3"}
+
+
+def test_value_sets_by_facts(spark):
+    """The distinct counts choose the columns; the values are those the ranks give."""
+    values = {0: ["a", "b", None, "n/a", "-"], 1: [f"v{i}" for i in range(30)], 2: ["n/a", None], 3: [f"w{i}" for i in range(20)],
+              4: [f"missing: {i}" for i in range(40)] + ["x"]}
+    rows = [(t, "s", pos, v, 2) for t in ("b", None) for pos, vs in values.items() for v in vs]
+    counts = spark.createDataFrame(rows, "source_file string, sheet string, pos int, value string, n bigint")
+    got = profile.value_sets(counts, facts=profile.effective_counts(counts))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, profile.value_sets(counts).collect()), key=str)
+    assert {(r["pos"], len(r["values"])) for r in got.collect()} == {(0, 2), (3, 20), (4, 1)}

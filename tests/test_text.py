@@ -83,3 +83,21 @@ def test_distinct_values_stay_distinct_as_text(spark):
         times = spark.sql(f"SELECT CAST(v AS {kind}) AS v FROM VALUES ('2024-01-02 03:04:05'), ('2024-01-02 03:04:05.12') AS t(v)")
         assert sorted(r[0] for r in times.select(text.as_text(times, "v")).collect()) == [
             "2024-01-02T03:04:05", "2024-01-02T03:04:05.120000"]
+
+
+def test_shortcuts_change_nothing(spark):
+    """Values the shortcuts pass by are those that the patterns alone refuse, odd signs and blanks included."""
+    base = MISSING[:12] + REAL[:12] + ["12", "¥12", "12 元", "2020-1-2", "２０２０年1月2日", "1999", "13812345678", "010-1234567", "$", "元", "é", "😀5"]
+    blanks = ["", " ", "\t", "\n", "\x85", " ", "　", "\x1c", "​"]
+    cells = [a + v + b for v in base for a in blanks for b in blanks] + [None]
+    one, both = F.translate(F.btrim("v", F.lit(text.WHITESPACE)), text.FULL_WIDTH_DIGITS, "0123456789"), F.btrim("v", F.lit(text.WHITESPACE))
+    plain = {
+        "strip": both, "date_text": one, "is_money": both.rlike(V.MONEY_MARK) & both.rlike(V.MONEY),
+        "is_phone": F.regexp_replace("v", r"(?U)[\s\-]", "").rlike(V.PHONE),
+        "is_date": one.rlike(V.PERIOD) | F.coalesce(text._full_date(one).isNotNull(), F.lit(False)),
+        "bare_number": F.translate(F.regexp_replace("v", rf"(?U)[{V.CURRENCY},\s]|[元块]", ""), text.FULL_WIDTH_DIGITS, "0123456789"),
+    }
+    df = spark.createDataFrame([(v,) for v in cells], "v string")
+    for name, want in plain.items():
+        differ = df.filter(~getattr(text, name)(F.col("v")).eqNullSafe(want))
+        assert [r["v"] for r in differ.collect()] == [], name
