@@ -185,8 +185,11 @@ def typed_tables(rows: DataFrame, placed: list[tuple[str, Entity, dict[str, int]
     errors = F.flatten(F.transform("typed", lambda x: F.array_compact(F.array(
         F.when(x["cause"].isNotNull(), F.struct(x["key"].alias("field"), x["cell"].alias("value"), x["cause"].alias("cause"))),
         F.when(x["no_key"].isNotNull(), F.struct(x["key"].alias("field"), x["cell"].alias("value"), x["no_key"].alias("cause")))))))
+    # Most rows are sound, and only the others have their errors gathered.
+    broken = F.exists("typed", lambda x: x["cause"].isNotNull() | x["no_key"].isNotNull())
     filled = F.exists("typed", lambda x: x["cell"].isNotNull())
-    row = F.struct("entity", "row_no", "slots", "typed", errors.alias("errors"))
+    row = F.struct("entity", "row_no", "slots", "typed", F.when(broken, errors).otherwise(
+        F.array().cast(f"array<{REJECT}>")).alias("errors"))
     # Through a generator, so that later projections do not type the cells again.
     made = typed.select(F.inline_outer(F.array(F.when(filled, row)))).filter(F.col("row_no").isNotNull())
     return made.select(
@@ -194,14 +197,28 @@ def typed_tables(rows: DataFrame, placed: list[tuple[str, Entity, dict[str, int]
         *[F.get("typed", F.get("slots", F.lit(k)))[c.rsplit("__", 1)[1]].alias(c) for k, c in enumerate(columns)], "errors")
 
 
+def _distinct_cells(rows: DataFrame, spec: DataFrame, width: int) -> DataFrame:
+    """``(entity, row_no, cells, spec)`` with one field each: every distinct cell and the first row that has it."""
+    slots = F.array(*[F.struct(F.lit(k).alias("slot"), F.get("cells", F.get("spec", F.lit(k))["pos"]).alias("cell"))
+                      for k in range(width)])
+    cells = rows.join(F.broadcast(spec), "sheet").select("sheet", "row_no", F.inline(slots)).filter(
+        F.col("cell").isNotNull()).groupBy("sheet", "slot", "cell").agg(F.min("row_no").alias("row_no"))
+    return cells.join(F.broadcast(spec), "sheet").select(
+        "entity", "row_no", F.array("cell").alias("cells"),
+        F.array(F.get("spec", F.col("slot")).withField("pos", F.lit(0))).alias("spec"))
+
+
 def widen_tables(rows: DataFrame, placed: list[tuple[str, Entity, dict[str, int]]]) -> list[tuple[str, Entity, dict[str, int]]]:
-    """``widen_enums`` for all tables of a workbook from one scan; at most 21 labels of a field reach the driver."""
+    """``widen_enums`` for all tables of a workbook from one scan; at most 21 labels of a field reach the driver.
+
+    Equal cells of a field are one before they are compared with its labels.
+    """
     narrow = [(s, replace(e, fields=tuple(f for f in e.fields if f.type == "enum")), p) for s, e, p in placed]
     narrow = [x for x in narrow if x[1].fields]
     if not narrow:
         return placed
     spec, _ = typing_spec(rows.sparkSession, narrow)
-    typed = rows.join(F.broadcast(spec), "sheet").select("entity", "row_no", F.inline(F.filter(
+    typed = _distinct_cells(rows, spec, max(len(e.fields) for _, e, _ in narrow)).select("entity", "row_no", F.inline(F.filter(
         _typed_cells(), lambda x: x["cause"].isNotNull() & (F.length(x["text"]) > 0))))
     order = Window.partitionBy("entity", "key").orderBy("first_row", "text")
     fresh = typed.groupBy("entity", "key", "text").agg(F.min("row_no").alias("first_row")).withColumn(

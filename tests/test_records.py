@@ -247,3 +247,13 @@ def test_publication_requests(spark):
     assert after == {"a": ("one", 2, "published"), "b": ("two", 1, "unpublished"), "c": ("new", 3, "published")}
     none = asked.limit(0)
     assert versions.publish_update(made, none, known).count() == 2
+
+
+def test_equal_cells_are_compared_with_labels_once(spark):
+    rows = spark.createDataFrame([("b", "s", i, ["x", "new" if i % 3 else "old"]) for i in range(3, 60)] + [("b", "s", 1, [None, None])],
+                                 "source_file string, sheet string, row_no bigint, cells array<string>")
+    placed = [("s", Entity("e", "id", (Field("state", "enum", values=("old",)),)), {"state": 1})]
+    spec, _ = load.typing_spec(spark, placed)
+    cells = load._distinct_cells(rows, spec, 1).select("entity", "row_no", "cells", F.col("spec")[0]["pos"].alias("pos"))
+    assert sorted(map(tuple, cells.collect())) == [("e", 3, ["old"], 0), ("e", 4, ["new"], 0)]
+    assert load.widen_tables(rows, placed)[0][1].field("state").values == ("old", "new")
